@@ -47,3 +47,31 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
 def wanted(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns never reach an operator, whatever they are called."""
     return df.select(*[F.col(n) for n in names])
+
+
+def carry(docs: DataFrame, inputs: dict[str, Column], run, found: str) -> DataFrame:
+    """Rows (row, *found): every row whole as a struct, whatever its columns are called, beside what ``run`` finds for it.
+
+    ``run`` is a mapInArrow function over ``inputs`` that yields one batch, in order, for each batch that it gets.
+    """
+    from collections import deque
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    names = list(inputs)
+    packed = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in inputs.items()])
+    schema = T.StructType([packed.schema["row"], *T._parse_datatype_string(found).fields])
+
+    def outer(batches):
+        waiting: deque = deque()
+
+        def feed():
+            for batch in batches:
+                waiting.append(batch.column("row"))
+                yield batch.select(names)
+
+        for out in run(feed()):
+            yield pa.RecordBatch.from_arrays([waiting.popleft(), *out.columns], names=["row", *out.schema.names])
+
+    return packed.mapInArrow(outer, schema)

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import wanted
+from crateforge.llm.common import carry, wanted
 
 #: ASCII letters in lower case and digits stay, all other ASCII separates words, bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -104,21 +105,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: i
     hash into as many automata as needed, every document is scanned by each, and the marked runs are merged per document,
     so nothing that grows with the benchmark is ever broadcast whole.
     """
-    spark = docs.sparkSession
     docs = wanted(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    scans = [docs.mapInArrow(run, SCHEMA) for run in _scans(items, n, shard_chars)]
+    return scans[0] if len(scans) == 1 else _merged(docs, reduce(DataFrame.unionByName, scans))
+
+
+def _scans(items: DataFrame, n: int, shard_chars: int) -> list:
+    """A mapInArrow function for each automaton."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_chars))
-    found = None
-    for k in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        sent = spark.sparkContext.broadcast(patterns_of([(r[0], r[1].encode()) for r in part.collect()], n))
-        one = docs.mapInArrow(_scan(sent, n), SCHEMA)
-        if shards == 1:
-            return one
-        one = one.withColumn("shard", F.lit(k))
-        found = one if found is None else found.unionByName(one)
-    return _merged(docs, found)
+    parts = [items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) for k in range(shards)]
+    send = items.sparkSession.sparkContext.broadcast
+    return [_scan(send(patterns_of([(r[0], r[1].encode()) for r in part.collect()], n)), n) for part in parts]
+
+
+def carried(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: int = 1 << 25) -> DataFrame:
+    """n_hit beside each whole row of ``docs`` (column row); of several automata, a row passes each in turn and n_hit is their sum, as only its being zero is of use."""
+    inputs = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
+    scans = _scans(items, n, shard_chars)
+    found = carry(docs, inputs, scans[0], SCHEMA).select("row", "n_hit")
+    for run in scans[1:]:
+        inner = {"doc_id": F.col("row").getField("doc_id").cast("long"), "text": F.col("row").getField("text").cast("string")}
+        again = carry(found, inner, run, SCHEMA)
+        found = again.select(F.col("row").getField("row").alias("row"), (F.col("row").getField("n_hit") + F.col("n_hit")).alias("n_hit"))
+    return found
 
 
 def _merged(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,14 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crateforge.llm import decontaminate, pii, secrets, simhash
+from crateforge.llm import decontaminate, embeddings, langid, packing, pii, ppm, quality, secrets, simhash, toxicity
 from crateforge.llm.common import read
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary lies on this machine; it is the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(read(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), tokenizer_path())).drop("ids")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents")).drop("positions")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("hits")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents")).drop("found")
 
@@ -22,15 +49,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_pii": op3_pii,
-    "op7_secrets": op7_secrets,
-    "op8_simhash": op8_simhash,
-    "op10_decontamination": op10_decontamination,
+    f.__name__: f for f in (op1_quality, op2_ppm, op3_pii, op4_packing, op5_language, op6_toxicity, op7_secrets, op8_simhash, op9_embeddings, op10_decontamination)
 }
 
 ORACLE_SQL: dict[str, str] = {}

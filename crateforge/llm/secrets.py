@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateforge.llm import spans
-from crateforge.llm.common import wanted
+from crateforge.llm.common import carry, wanted
 
 KINDS = ["assign", "access", "hex"]
 # The patterns of the base kinds.
@@ -201,3 +201,10 @@ def secrets(docs: DataFrame, credentials: list[tuple[str, str]] | None = None, t
     docs = wanted(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     sent = docs.sparkSession.sparkContext.broadcast(Model(labelled() if credentials is None else credentials))
     return docs.mapInArrow(spans.scan(lambda: lambda text: find(text, sent.value, threshold), KINDS), spans.schema(KINDS))
+
+
+def carried(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The operator's columns beside each whole row of ``docs`` (column row)."""
+    sent = docs.sparkSession.sparkContext.broadcast(Model(labelled()))
+    inputs = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
+    return carry(docs, inputs, spans.scan(lambda: lambda text: find(text, sent.value, threshold), KINDS), spans.schema(KINDS))
