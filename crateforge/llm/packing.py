@@ -15,6 +15,7 @@ keeps its pieces; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 
 import numpy as np
@@ -28,64 +29,143 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+class Codes(dict):
+    """Words numbered as they come; ``new`` has those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
+SPACE, ALNUM, MARK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", string.ascii_letters.encode() + string.digits.encode(), b".,!?|"))
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words of all texts in a row, and how many each text has.
+
+    A mark that closes a word of ASCII letters or digits is a token group of its own and becomes a word. The tokenizer
+    folds case itself, so folding ASCII here changes nothing; only its special tokens, which have "<|", mind it.
+    """
+    raw = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(raw, np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    if b"<|" not in raw:
+        data = LOWER[data]
+    marks = np.flatnonzero(MARK[data[1:-1]] & ALNUM[data[:-2]] & SPACE[data[2:]]) + 1
+    data = np.insert(data, marks, 32)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    starts += np.searchsorted(marks, starts)
+    space = SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    return data.tobytes().split(), np.add.reduceat(begins, starts, dtype=np.int64)
+
+
 class Encoder:
-    """Ids of texts through a cache of words; the cache is emptied when it holds ``most`` words."""
+    """Ids of texts through a cache of words, of which those used once are dropped when it holds ``most``."""
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        last = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.closes = np.zeros(max(last, default=0) + 1, bool)
+        self.closes[last] = True
         self._empty()
 
     def _empty(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = Codes()
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Keeps the words used more than once, up to half of what fits; ids move together."""
+        words = np.array(list(self.code), object)
+        often = np.flatnonzero(self.uses[: len(words)] > 1)
+        often = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: self.most // 2]])
+        start, size, uses, pool = self.start[often], self.size[often], self.uses[often], self.pool
+        self._empty()
+        for w in words[often]:
+            self.code[w]
+        self.code.new.clear()
+        n, ends = len(often), np.cumsum(size)
+        self.start, self.size, self.uses = (self._room(x, n) for x in (self.start, self.size, self.uses))
+        self.used = int(ends[-1]) if n else 0
+        self.pool = self._room(self.pool, self.used)
+        self.pool[: self.used] = pool[np.repeat(start - (ends - size), size) + np.arange(self.used)]
+        self.start[:n], self.size[:n], self.uses[:n] = ends - size, size, uses
 
     def _room(self, array: np.ndarray, need: int) -> np.ndarray:
         return array if need <= len(array) else np.concatenate((array, np.zeros(max(need - len(array), len(array)), array.dtype)))
 
-    def _learn(self, words: list[bytes]) -> None:
-        encodings = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encodings]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.code), int(sizes.sum())
-        self.pool = self._room(self.pool, self.used + total)
-        self.start, self.size = self._room(self.start, n + len(words)), self._room(self.size, n + len(words))
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(words)] = sizes
-        self.used += total
-        self.code.update(zip(words, range(n, n + len(words))))
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has. Words of letters are encoded as one text and told apart by the ids that close a word."""
+        if all(w.isalpha() for w in map(bytes.decode, words)):
+            ids = np.array(self._ids([b" ".join(words).decode()])[0], np.uint32)
+            ends = np.flatnonzero((ids < len(self.closes)) & self.closes[np.minimum(ids, len(self.closes) - 1)]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        each = self._ids([w.decode() for w in words])
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self) -> None:
+        letters = [w for w in self.code.new if w.decode().isalpha()]
+        others = [w for w in self.code.new if not w.decode().isalpha()]
+        self.start, self.size, self.uses = (self._room(x, len(self.code)) for x in (self.start, self.size, self.uses))
+        for group in (letters, others):
+            for k in range(0, len(group), 2000):
+                part = group[k : k + 2000]
+                ids, sizes = self._encoded(part)
+                at = np.fromiter(map(self.code.__getitem__, part), np.int64, len(part))
+                self.pool = self._room(self.pool, self.used + len(ids))
+                self.pool[self.used : self.used + len(ids)] = ids
+                self.start[at] = self.used + np.cumsum(sizes) - sizes
+                self.size[at] = sizes
+                self.used += len(ids)
+        self.code.new.clear()
+
+    def __call__(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
         if len(self.code) > self.most:
-            self._empty()
-        split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
-        codes = list(map(self.code.get, words))
-        new = list(dict.fromkeys(w for w, c in zip(words, codes) if c is None))
-        if new:
-            self._learn(new)
-            codes = list(map(self.code.get, words))
-        at = np.array(codes, np.int64)
+            self._shrink()
+        words, counts = split_words(texts)
+        at = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.new:
+            self._learn()
+        np.add.at(self.uses, at, 1)
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         flat = self.pool[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(s) for s in split])))]
-        end = np.array([self.end_id], np.uint32)
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        end = np.array([end_id], np.uint32)
         return [np.concatenate((flat[a:b], end)) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+#: One for each vocabulary, kept for the tasks that a Python worker runs one after the other.
+ENCODERS: dict[str, Encoder] = {}
+
+
 def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool, chunk: int = 4 << 20):
     def run(batches):
-        encode = Encoder(path, end_id)
+        if path not in ENCODERS:
+            ENCODERS[path] = Encoder(path)
+        encode = ENCODERS[path]
 
         def emit(docs, texts):
             rows: list[tuple] = []
-            for doc, ids in zip(docs, encode(texts)):
+            for doc, ids in zip(docs, encode(texts, end_id)):
                 ids = ids.astype("<u4")
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity]
