@@ -24,10 +24,11 @@ class Reader(HTMLParser):
             self.hidden += 1
             for e in self.open:
                 e[3] = True
-        elif tag in self.tags:
+        else:
             entry = [tag, dict(attrs), [], False]
-            self.done.append(entry)
-            if tag not in VOID:
+            if tag in self.tags:
+                self.done.append(entry)
+            if tag not in VOID:  # of any tag, as the end of an element ends those left open in it
                 self.open.append(entry)
 
     def handle_startendtag(self, tag, attrs):
@@ -44,7 +45,8 @@ class Reader(HTMLParser):
     def handle_data(self, data):
         if not self.hidden:
             for e in self.open:
-                e[2].append(data)
+                if e[0] in self.tags:
+                    e[2].append(data)
 
 
 def select(page: str | None, tag: str, css_class: str | None = None, element_id: str | None = None, without_script: bool = False) -> list[tuple[dict, str]]:
