@@ -333,7 +333,13 @@ def src_lines(spark: SparkSession, d: str) -> DataFrame:
 # -- pages -------------------------------------------------------------------------------------------------------
 
 
-@query("select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) title, len(regexp_extract_all(html, '<li>')) items, cast(len(html) as int) size from pages")
+#: A title's text, its character references resolved as the reader resolves them.
+TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    TITLE = f"replace({TITLE}, '{_a}', '{_b}')"
+
+
+@query(f"select page_id, {TITLE} title, len(regexp_extract_all(html, '<li>')) items, cast(len(html) as int) size from pages")
 def album_infos(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     found = html.records(pages, {"title": ("title", None)}).select("page_id", F.try_element_at("info", F.lit("title")).alias("title"))
