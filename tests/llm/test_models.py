@@ -238,6 +238,31 @@ def test_similarity_dedup(spark):
     assert kept[0].asDict().keys() == set(docs.columns) and similar.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [{}, {"list_block": 50, "block": 16}])
+def test_similarity_finds_lone_pairs_among_texts_of_one_template(spark, blocks):
+    draw = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in draw.integers(0, 10**9, n)]
+    template, texts = words(150), []
+    for k in range(300):
+        own = words(25)
+        texts.append(" ".join(template + own))
+        if k % 10 == 0:
+            texts.append(" ".join(template + own[:-18] + words(18)))
+    sets = [set(similar.shingles(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                root = [root[i] if r == root[j] else r for r in root] if root[i] != root[j] else root
+    want = {frozenset(t for t, r in zip(texts, root) if r == k) for k in set(root)}
+    assert len(want) == 300 and 0.7 < jaccard(sets[1], sets[-1]) < 0.8
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found, of = defaultdict(set), {__import__("hashlib").md5(t.encode()).hexdigest(): t for t in texts}
+    for r in similar.groups(docs, **blocks).collect():
+        found[r.root].add(of[r.digest])
+    assert {frozenset(g) for g in found.values()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
