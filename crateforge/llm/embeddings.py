@@ -1,9 +1,9 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by all pairs of a label.
 
-Each pass hashes a vector to the signs of random projections and orders the vectors of a label by those bits, first bit
-first; a vector is compared, in double precision, with the next ``window`` in that order. Pairs that reach the threshold
-are united across passes. A window bounds the comparisons, not the links: within every group the passes united, all pairs
-are then compared block by block, so that a large group keeps every link between its members.
+The vectors of a label and length are dealt into blocks that meet pairwise; each meeting is one matrix product in double
+precision. What leaves it is the number of links of each vector and a star per group of linked ones, never the pairs, so
+that rows grow with the number of blocks only. Every pair is compared, whatever the data look like; the work grows with
+the square of a label.
 
 Equal vectors of a label are one node with a multiplicity; they link with each other.
 
@@ -43,105 +43,56 @@ def _units(vecs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _signatures(passes: int, bits: int, seed: int):
-    """Rows (pass, label, size, sig, node, vec), one for each vector and pass."""
-
-    def run(batches):
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            vecs = batch.column("vec").to_pylist()
-            sizes = np.array([len(v) for v in vecs])
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                if size not in planes:
-                    planes[size] = np.random.default_rng(seed).standard_normal((size // 8, passes * bits))
-                for k in range(0, len(at), 1000):
-                    part = at[k : k + 1000]
-                    sign = (_units([vecs[i] for i in part]) @ planes[size] > 0).reshape(len(part), passes, bits)
-                    sig = (sign * (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=2)
-                    take = batch.take(pa.array(np.repeat(part, passes)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.arange(passes, dtype=np.int32), len(part))), take.column("label"), pa.array(np.full(len(part) * passes, size, np.int32)), pa.array(sig.ravel()), take.column("node"), take.column("vec")],
-                        names=["pass", "label", "size", "sig", "node", "vec"],
-                    )
-
-    return run
-
-
-def _windows(window: int, threshold: float):
-    """Sorted rows -> edges (u, v): each vector with the next ``window`` of its pass and label, as stars of what linked."""
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key = np.stack([table.column(c).to_numpy() for c in ("pass", "label", "size")], axis=1)
-            node = table.column("node").to_numpy()
-            vecs, left, right = table.column("vec").to_pylist(), [], []
-            sizes = key[:, 2]
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                x, own = _units([vecs[i] for i in at]), key[at]
-                for step in range(1, min(window, len(at) - 1) + 1):
-                    cos = np.einsum("ij,ij->i", x[:-step], x[step:])
-                    ok = np.flatnonzero((cos >= threshold) & (own[:-step] == own[step:]).all(axis=1))
-                    left.append(at[ok])
-                    right.append(at[ok + step])
-            if left:
-                member, root = _stars(node, np.concatenate(left), np.concatenate(right))
-                yield pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[root])], names=["u", "v"])
-            rest = table.slice(max(0, table.num_rows - window)).combine_chunks()
-
-    return run
-
-
 def _all_pairs(threshold: float):
-    """Sorted rows (root, a, b, block, node, copies, vec) -> (node, n): links of a node among the pairs of blocks a and b."""
+    """Sorted rows (label, size, a, b, block, node, copies, vec) -> (node, n, root): a node's links among the pairs of blocks a and b, and the least of its group there."""
 
-    def count(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def count(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
         vecs = table.column("vec").to_pylist()
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         x = _units(vecs)
         linked = x @ x.T >= threshold
         linked &= ~np.eye(len(x), dtype=bool) if a == b else block[:, None] != block[None, :]
-        return node, linked @ copies
+        own = np.arange(len(node))
+        member, root = _stars(node, *np.nonzero(linked))
+        own[member] = root
+        return node, linked @ copies, node[own]
+
+    def out(done: list):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*done)], names=["node", "n", "root"])
 
     def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             table = table.combine_chunks()
-            key = np.stack([table.column(c).to_numpy() for c in ("root", "a", "b")], axis=1)
+            key = np.stack([table.column(c).to_numpy() for c in ("label", "size", "a", "b")], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
             done = [count(table.slice(i, j - i)) for i, j in zip(cuts, cuts[1:])]
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[0] for d in done])), pa.array(np.concatenate([d[1] for d in done]).astype(np.int64))], names=["node", "n"])
+                yield out(done)
             rest = table.slice(cuts[-1])
         if rest is not None and rest.num_rows:
-            node, n = count(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64))], names=["node", "n"])
+            yield out([count(rest)])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, passes: int = 16, bits: int = 48, window: int = 24, block: int = 1024, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 1024) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
     columns = wanted(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
     rows, _ = stage(columns.mapInArrow(_vectors, "vec_id long, label long, vec binary"))
     whole = rows.where("vec is not null")
     nodes, _ = stage(whole.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    signed = nodes.select("node", "label", "vec").mapInArrow(_signatures(passes, bits, seed), "pass int, label long, size int, sig long, node long, vec binary")
-    order = ["pass", "label", "size", "sig", "node"]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = signed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(window, threshold), "u long, v long")
-    roots, _ = stage(components(edges))
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = roots.join(sizes, "root").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    pairs = members.select("root", "block", "node", "copies", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies", "vec")
-    found = pairs.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node").mapInArrow(_all_pairs(threshold), "node long, n long")
+    order = ["label", "size", "a", "b"]
+    sized = nodes.withColumn("size", F.octet_length("vec"))
+    sizes = sized.groupBy("label", "size").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = sized.join(sizes, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = dealt.select("label", "size", "block", "node", "copies", "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("label", "size", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies", "vec")
+    found, _ = stage(pairs.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_all_pairs(threshold), "node long, n long, root long").where("n > 0"))
+    roots, _ = stage(components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
+    members = roots.join(nodes, "node")
     ids = members.groupBy("root").agg(F.min("least").alias("component"))
     known = nodes.join(links, "node", "left").join(roots, "node", "left").join(ids, "root", "left").select("label", "vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component"))
     return rows.join(known, ["label", "vec"], "left").select(

@@ -163,6 +163,16 @@ def test_embeddings(spark, block):
     assert embeddings.near_duplicates(every.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_dense_label(spark):
+    draw = np.random.default_rng(9)
+    x = np.array([1.0, *[0.0] * 63]) + draw.normal(0, 0.33 / 8, (3000, 64))
+    x = np.concatenate((x, x[:60] + draw.normal(0, 0.17 / 8, (60, 64))))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert 30 <= linked.sum() // 2 <= 3000 and {r.vec_id: r.n_links for r in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+
+
 # -- classifiers -------------------------------------------------------------------------------------------------
 
 
