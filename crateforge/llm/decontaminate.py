@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,12 +101,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: i
     """Per document: n_words, n_hit, item_ids (sorted as strings), spans (code points of hit runs).
 
     The items are measured first. Up to ``shard_chars`` characters they form one automaton; beyond it they are dealt by
-    hash into as many automata as needed, every document is scanned by each, and the marked runs are merged per document,
-    so nothing that grows with the benchmark is ever broadcast whole.
+    hash into as many automata as needed; every row passes each in turn and carries its marked runs along, which are
+    merged within the row, so nothing that grows with the benchmark is ever broadcast whole.
     """
     docs = wanted(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    scans = [docs.mapInArrow(run, SCHEMA) for run in _scans(items, n, shard_chars)]
-    return scans[0] if len(scans) == 1 else _merged(docs, reduce(DataFrame.unionByName, scans))
+    scans = _scans(items, n, shard_chars)
+    if len(scans) == 1:
+        return docs.mapInArrow(scans[0], SCHEMA)
+    found = docs.withColumns({"item_ids": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:long,end:long>>")})
+    for run in scans:
+        again = carry(found, {"doc_id": F.col("doc_id"), "text": F.col("text")}, run, SCHEMA)
+        merged = [F.concat(F.col("row").getField(c), F.col(c)).alias(c) for c in ("item_ids", "spans")]
+        found = again.select(*[F.col("row").getField(c).alias(c) for c in ("doc_id", "text")], *merged)
+    return _merged(found)
 
 
 def _scans(items: DataFrame, n: int, shard_chars: int) -> list:
@@ -132,9 +138,8 @@ def carried(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: int = 1
     return found
 
 
-def _merged(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Union of the runs that several automata marked; rows of a repeated doc_id share their marks only if their texts agree, as marks depend on the text alone."""
-    runs = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+def _merged(found: DataFrame) -> DataFrame:
+    """Union, row by row, of the runs and items that several automata marked."""
 
     def count(batches):
         for batch in batches:
@@ -157,7 +162,7 @@ def _merged(docs: DataFrame, found: DataFrame) -> DataFrame:
                 ),
             )
 
-    return docs.join(runs, "doc_id", "left").mapInArrow(count, SCHEMA)
+    return found.withColumn("item_ids", F.array_sort(F.array_distinct("item_ids"))).mapInArrow(count, SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -35,6 +35,15 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.decontaminate(docs.limit(0), items.limit(0)).count() == 0
 
 
+def test_decontamination_by_shards_keeps_null_and_repeated_ids(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    hit = [(None, items.first().text), (None, "clean"), (900005, items.first().text), (900005, "clean as well"), (900005, "x " + items.first().text)]
+    docs = rows(spark).unionByName(spark.createDataFrame(hit, "doc_id long, text string"))
+    plain = lambda r: (r.doc_id or -1, r.n_words, r.n_hit, r.item_ids, r.spans)
+    one, many = (sorted(map(plain, decontaminate.decontaminate(docs, items, shard_chars=n).collect())) for n in (1 << 25, 1500))
+    assert one == many and sum(r[0] == -1 and r[2] > 0 for r in many) == 1
+
+
 def test_decontamination_spans_are_code_points(spark):
     docs = spark.createDataFrame([(1, "Ä.. One two, THREE four five six seven eight nine ten eleven é")], "doc_id long, text string")
     items = spark.createDataFrame([(5, "one two three four five six seven eight nine ten")], "item_id long, text string")
