@@ -30,7 +30,9 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = "[A-Za-z0-9+/_.=-]{%d,}"
+#: Characters that may end a sentence instead of a token, and how many of them a token is tried with, besides all.
+TRAILING, TRIED = ".=-", 8
 ALNUM = string.ascii_letters + string.digits
 # Public credential formats as (name, parts); a part is a literal or (alphabet, length).
 FORMATS = [
@@ -161,10 +163,32 @@ class Model:
         names = sorted({k for k, _ in credentials})
         self.automata = {k: Automaton([w for x, w in credentials if x == k]) for k in names}
         self.rival = Bigrams(ordinary())
+        self.lengths = {k: {len(w) for x, w in credentials if x == k} for k in names}
+        self.least = min([16, *(n for own in self.lengths.values() for n in own)])
+        self.candidate = re.compile(CANDIDATE % self.least)
 
     def score(self, word: str) -> float:
         """Log likelihood per character of the best format over the rival's."""
-        return max((a.loglik(word) for a in self.automata.values()), default=-math.inf) / len(word) - self.rival.loglik(word) / len(word)
+        return self._over(word, self.automata)
+
+    def _over(self, word: str, names) -> float:
+        return max((self.automata[k].loglik(word) for k in names), default=-math.inf) / len(word) - self.rival.loglik(word) / len(word)
+
+    def token(self, run: str) -> tuple[int, float]:
+        """Length and score of the likeliest token that ``run`` begins with: all of it, or without some of its TRAILING end.
+
+        A token of digits or letters alone looks random under a merged automaton, which forgets lengths: it is held against
+        the formats that were learned with its length.
+        """
+        short = len(run.rstrip(TRAILING))
+        best = (0, -math.inf)
+        for n in sorted({*range(max(short, self.least), min(len(run), short + TRIED) + 1), len(run)}, reverse=True):
+            word = run[:n]
+            mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+            names = self.automata if mixed else [k for k, own in self.lengths.items() if n in own]
+            if names and (s := self._over(word, names)) > best[1]:
+                best = (n, s)
+        return best
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -182,12 +206,10 @@ def find(text: str, model: Model, threshold: float) -> tuple[list[tuple], list[t
     scored = lambda a, b: model.score(text[a:b])
     base = [(k, a, b, scored(a, b), True) for k, a, b in base_spans(text)]
     more = []
-    for m in CANDIDATE.finditer(text):
-        word = m[0].rstrip(".=-")
-        if len(word) < 16 or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        a, b = m.start(), m.start() + len(word)
-        if spans.free(a, b, base) and (s := scored(a, b)) >= threshold:
+    for m in model.candidate.finditer(text):
+        size, s = model.token(m[0])
+        a, b = m.start(), m.start() + size
+        if s >= threshold and spans.free(a, b, base):
             more.append(("format", a, b, s, False))
     order = [*KINDS, "format"]
     return base, sorted(base + more, key=lambda s: (s[1], order.index(s[0])))

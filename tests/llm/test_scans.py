@@ -105,6 +105,18 @@ def test_automata_tell_formats_apart():
     assert sum(model.score(w) >= 0.8 for w in secrets.ordinary(300, seed=5) if len(w) >= 16) <= 3
 
 
+def test_secrets_without_digits_and_with_trailing_marks():
+    model = secrets.Model(secrets.labelled())
+    letters = "qWzRtYbNmKpLxCvGhJdFsAeUiOQwZrTyBnMkPlXc"
+    keys = ["sk_live_" + letters[:24], "ghp_" + letters[:36], letters, "AIza" + "b7Q" * 11 + "x-", "AIza" + "b7Q" * 11 + "--"]
+    for key in keys:
+        for after in ("", ".", " and", "."):
+            text = f"see {key}{after}"
+            assert [text[s[1] : s[2]] for s in secrets.find(text, model, 0.8)[1]] == [key], text
+    for plain in ("internationalization", "beberschlichkeitge", "4465758382889437", "-" * 40, "=" * 20_000):
+        assert not secrets.find(plain, model, 0.8)[1]
+
+
 def plain_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
