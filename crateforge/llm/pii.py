@@ -81,17 +81,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Confirmed codes; the search goes on at the end of each, or one place after the start of what none confirmed."""
+    out, m = [], IBAN.search(text)
+    while m:
+        code = m[0]
+        while len(code) >= 15 and not mod97(code):  # the pattern may have run into the next word
+            code = code[:-1].rstrip(" ")
+        if len(code) >= 15:
+            out.append((m.start(), m.start() + len(code)))
+        m = IBAN.search(text, out[-1][1] if len(code) >= 15 else m.start() + 1)
+    return out
+
+
 def find(text: str, threshold: float = 0.6) -> tuple[list[tuple], list[tuple]]:
     """Base spans and all spans, each (kind, start, end, score, base), by kind, then start."""
     base = [(k, a, b, score(text, k, a, b), True) for k, a, b in base_spans(text)]
     more: list[tuple] = []
     if DIGIT.search(text):
-        for m in IBAN.finditer(text):
-            code = m[0]
-            while len(code) >= 15 and not mod97(code):  # the pattern may have run into the next word
-                code = code[:-1].rstrip(" ")
-            if len(code) >= 15:
-                more.append(("iban", m.start(), m.start() + len(code), score(text, "iban", m.start(), m.start() + len(code)), False))
+        more += [("iban", a, b, score(text, "iban", a, b), False) for a, b in ibans(text)]
         more += [("id_number", *m.span(), s, False) for m in ID_NUMBER.finditer(text) if (s := score(text, "id_number", *m.span())) >= threshold]
     return base, base + [s for s in more if s[3] >= threshold and spans.free(s[1], s[2], base)]
 

@@ -78,6 +78,12 @@ def test_pii(spark):
     assert pii.pii(rows(spark).limit(0)).count() == 0
 
 
+def test_neighbouring_ibans():
+    text = "DE89370400440532013000 GB82WEST12345698765432 DE89 3704 0044 0532 0130 00, XX12 DE89370400440532013000"
+    found = [text[s[1] : s[2]] for s in pii.find(text)[1] if s[0] == "iban"]
+    assert found == ["DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+
+
 def plain_secrets(text):
     letters = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     letters = re.sub(r"(?<![\\\[?x])\b(password\|passwd\|secret\|token\|api_\?key)", lambda m: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in m[0]), letters)
