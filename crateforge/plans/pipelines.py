@@ -41,6 +41,12 @@ def slider_knn(spark: SparkSession, d: str) -> DataFrame:
     return knn.knn_block(vectors, 5, slider=0.5, queries=vectors.where("vec_id < 50")).withColumn("distance", F.round("distance", 4))
 
 
+@query()
+def slider_knn_every(spark: SparkSession, d: str) -> DataFrame:
+    """Every row asks, at slider 0.5."""
+    return knn.knn_block(table(spark, d, "embeddings"), 5, slider=0.5).withColumn("distance", F.round("distance", 4))
+
+
 @query("select query_id, neighbour_id, cast(rank as int) as rank, round(distance, 4) distance from @knn where query_id = 7")
 def recommend(spark: SparkSession, d: str) -> DataFrame:
     return knn.recommend(table(spark, d, "embeddings"), 7, 5, audio=10**6).withColumn("distance", F.round("distance", 4))
@@ -359,6 +365,12 @@ def chart_rows(spark: SparkSession, d: str) -> DataFrame:
     return html.listing(table(spark, d, "pages"), "a", max_page=20).where(F.col("attrs").getItem("href").isNotNull()).select("page_id", F.col("rank").cast("int").alias("rank"), F.col("attrs").getItem("href").alias("href"))
 
 
+@query()
+def chart_rows_every(spark: SparkSession, d: str) -> DataFrame:
+    """The links of all pages."""
+    return html.listing(table(spark, d, "pages"), "a").where(F.col("attrs").getItem("href").isNotNull()).select("page_id", F.col("rank").cast("int").alias("rank"), F.col("attrs").getItem("href").alias("href"))
+
+
 @query("select p.page_id, p.url, cast(len(regexp_extract_all(p.html, '<li>')) as bigint) links, n.url next_url from pages p left join pages n on n.page_id = p.page_id + 1")
 def discography(spark: SparkSession, d: str) -> DataFrame:
     """Entries with an optional second page's columns; a missing one leaves nulls."""

@@ -195,3 +195,10 @@ def test_timelines(spark):
     assert {(str(r.day), r.n) for r in timeline.daily(events).collect()} == {("2024-01-01", 1), ("2024-01-02", 2)}
     assert sorted(r.n for r in timeline.sessions(events).collect()) == [1, 2]
     assert sum(r.n for r in timeline.hopping(events).collect()) == 6
+
+
+def test_every_vector_asks_and_every_page_is_read(spark):
+    every, some = (QUERIES[n](spark, SF).collect() for n in ("slider_knn_every", "slider_knn"))
+    assert {r.query_id for r in every} == {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()} and set(some) < set(every)
+    pages, first = (QUERIES[n](spark, SF).collect() for n in ("chart_rows_every", "chart_rows"))
+    assert max(r.page_id for r in pages) > 20 and set(first) == {r for r in pages if r.page_id <= 20}
