@@ -1,9 +1,15 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby move the score.
 
-Base kinds (always kept): email, ip, card (Luhn), phone. Added by the method: iban (mod-97) and id_number, which need
-a score of at least ``threshold`` after the context words are counted.
+Base kinds (always kept, whatever their score): email, ip, card (Luhn), phone. Added by the method, where they overlap no
+base span and reach ``threshold`` after the context words are counted: iban (mod-97), short_card (13 to 15 digits, Luhn),
+bank_code (9 digits, weights 3, 7, 1) and id_number. The last three look like ordinary numbers, so none reaches the
+threshold without a context word.
 
-Defined results: null and empty texts have no spans; offsets are code points; repeated rows give repeated results.
+Every pattern reads each run of characters once, so that time grows with the length of a text whatever it holds: very
+long texts, also of one run of digits, are scanned whole.
+
+Defined results: null and empty texts have no spans; an empty table gives no rows; offsets are code points; repeated rows
+give repeated results; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -19,13 +25,14 @@ from crateforge.llm.common import wanted
 KINDS = ["email", "ip", "card", "phone"]
 # The patterns of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # starts at the first digit of a run, as the leftmost match does
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 ID_NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+BANK_CODE = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z-])")
 DIGIT = re.compile(r"[0-9]")
 # Words that make a kind likelier when they stand within WINDOW code points.
 CONTEXT = {
@@ -35,9 +42,11 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "id_number": ("ssn", "social security", "taxpayer", "identity"),
+    "short_card": ("card", "visa", "amex", "american express", "diners", "credit", "karte", "tarjeta", "carte"),
+    "bank_code": ("routing", "aba", "transit", "sort code", "bank"),
 }
 #: Score before context, and what each context word adds up to TOP.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.75, "id_number": 0.35}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.75, "id_number": 0.35, "short_card": 0.5, "bank_code": 0.45}
 WINDOW, STEP, TOP = 48, 0.15, 0.99
 
 
@@ -51,6 +60,11 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def weighted_sum(digits: str) -> bool:
+    """The check of nine-digit bank codes: weights 3, 7, 1 in turn, a multiple of 10 and not all zeros."""
+    return any(c != "0" for c in digits) and sum(w * int(d) for w, d in zip((3, 7, 1) * 3, digits)) % 10 == 0
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower()
     return min(TOP, PRIOR[kind] + STEP * sum(w in near for w in CONTEXT[kind]))
@@ -70,13 +84,17 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def cards(text: str, least: int, most: int) -> list[tuple[int, int]]:
+    """Runs of digits, single blanks or hyphens between them, of so many digits, that Luhn's check confirms."""
+    return [m.span() for m in CARD.finditer(text) if least <= len(digits := m[0].replace(" ", "").replace("-", "")) <= most and luhn(digits)]
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans of the base kinds, by kind, then start."""
     found = [("email", *s) for s in emails(text)]
     if DIGIT.search(text):
         found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split("."))]
-        for m in CARD.finditer(text):
-            if 16 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
-                found.append(("card", *m.span()))
+        found += [("card", *s) for s in cards(text, 16, 19)]
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15] if "+" in text else []
     return found
 
@@ -97,11 +115,13 @@ def ibans(text: str) -> list[tuple[int, int]]:
 def find(text: str, threshold: float = 0.6) -> tuple[list[tuple], list[tuple]]:
     """Base spans and all spans, each (kind, start, end, score, base), by kind, then start."""
     base = [(k, a, b, score(text, k, a, b), True) for k, a, b in base_spans(text)]
-    more: list[tuple] = []
-    if DIGIT.search(text):
-        more += [("iban", a, b, score(text, "iban", a, b), False) for a, b in ibans(text)]
-        more += [("id_number", *m.span(), s, False) for m in ID_NUMBER.finditer(text) if (s := score(text, "id_number", *m.span())) >= threshold]
-    return base, base + [s for s in more if s[3] >= threshold and spans.free(s[1], s[2], base)]
+    if not DIGIT.search(text):
+        return base, base
+    proposed = [("iban", *s) for s in ibans(text)] + [("id_number", *m.span()) for m in ID_NUMBER.finditer(text)] + [("short_card", *s) for s in cards(text, 13, 15)]
+    proposed += [("bank_code", *m.span()) for m in BANK_CODE.finditer(text) if weighted_sum(m[0])]
+    taken = spans.Taken(base)
+    more = [(k, a, b, s, False) for k, a, b in proposed if taken.free(a, b) and (s := score(text, k, a, b)) >= threshold]
+    return base, base + more
 
 
 def pii(docs: DataFrame, threshold: float = 0.6) -> DataFrame:

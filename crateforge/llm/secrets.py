@@ -205,11 +205,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def find(text: str, model: Model, threshold: float) -> tuple[list[tuple], list[tuple]]:
     scored = lambda a, b: model.score(text[a:b])
     base = [(k, a, b, scored(a, b), True) for k, a, b in base_spans(text)]
-    more = []
+    more, taken = [], spans.Taken(base)
     for m in model.candidate.finditer(text):
         size, s = model.token(m[0])
         a, b = m.start(), m.start() + size
-        if s >= threshold and spans.free(a, b, base):
+        if s >= threshold and taken.free(a, b):
             more.append(("format", a, b, s, False))
     order = [*KINDS, "format"]
     return base, sorted(base + more, key=lambda s: (s[1], order.index(s[0])))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import pyarrow as pa
 
@@ -18,9 +19,23 @@ def digest(spans: list[tuple]) -> str:
     return hashlib.sha256(line(spans).encode()).hexdigest()
 
 
-def free(start: int, end: int, taken: list[tuple]) -> bool:
-    """Whether [start, end) overlaps no span."""
-    return all(end <= s[1] or start >= s[2] for s in taken)
+class Taken:
+    """The union of spans (kind, start, end, ...): one sort, then each question takes a binary search."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(s[1:3] for s in spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether [start, end) overlaps no span."""
+        k = bisect_right(self.ends, start)
+        return k == len(self.starts) or self.starts[k] >= end
 
 
 def scan(finder, kinds: list[str]):

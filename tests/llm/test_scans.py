@@ -1,6 +1,8 @@
 """Decontamination, PII, secrets and SimHash against plain versions."""
 
+import hashlib
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -21,12 +23,32 @@ def with_extras(df):
     return df.withColumns({"words": F.lit(1), "found": F.lit("x"), "fp": F.lit(2), "spans": F.lit(None).cast("string"), "n_email": F.lit(3), "key": F.lit(0), "u": F.lit(0)})
 
 
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]], n: int = 10) -> dict[int, tuple]:
+    """Plain version for tests: every window of every item against every position of every document."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    out = {}
+    for doc, text in docs:
+        words = word.findall(lower(text or ""))
+        hit, ids = set(), set()
+        for item, item_text in items:
+            own = word.findall(lower(item_text))
+            size = min(n, len(own))
+            wins = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+            for i in range(len(words) - size + 1):
+                if wins and tuple(words[i : i + size]) in wins:
+                    hit.update(range(i, i + size))
+                    ids.add(str(item))
+        out[doc] = (len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+    return out
+
+
 def test_decontamination_against_brute_force(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     short = spark.createDataFrame([(70001, "Ünïcode, SECRET"), (70002, "!!"), (70003, None), (70004, "")], "item_id long, text string")
     items = items.unionByName(short)
     docs = with_extras(rows(spark))
-    want = decontaminate.brute_force([tuple(r) for r in rows(spark).collect()], [(r[0], r[1] or "") for r in items.select("item_id", "text").collect()])
+    want = brute_force([tuple(r) for r in rows(spark).collect()], [(r[0], r[1] or "") for r in items.select("item_id", "text").collect()])
     got = decontaminate.digest(decontaminate.decontaminate(docs, items)).collect()
     assert len(got) == docs.count() and any(r.contaminated for r in got)
     assert all(tuple(r)[1:] == want[r.doc_id] for r in got)
@@ -78,6 +100,32 @@ def test_pii(spark):
     assert pii.pii(rows(spark).limit(0)).count() == 0
 
 
+def test_pii_time_grows_with_length_only():
+    for text in ("7" * 1_000_000, "1.2.3" * 100_000, "+1(" * 200_000, "a@" * 300_000, "a@b.co 1.2.3.4 DE89370400440532013000 " * 2_000):
+        began = time.process_time()
+        pii.find(text)
+        assert time.process_time() - began < 10
+
+
+def test_pii_leftmost_addresses_and_context():
+    plain, draw = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), np.random.default_rng(3)
+    for _ in range(3_000):
+        text = "".join(draw.choice(list("12.. 0a"), draw.integers(0, 40)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in pii.IP.finditer(text)]
+    kinds = lambda text: [s[0] for s in pii.find(text)[1]]
+    assert kinds("routing 021000021") == ["bank_code"] and kinds("part 021000021") == [] and kinds("routing 021000022") == []
+    assert kinds("amex 378282246310005") == ["short_card"] and kinds("item 378282246310005") == [] and kinds("amex 378282246310006") == []
+
+
+def test_taken_spans():
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        made = [("x", a, a + n) for a, n in draw.integers(1, 20, (draw.integers(0, 8), 2)).tolist()]
+        taken = spans.Taken(made)
+        for a, n in draw.integers(1, 25, (20, 2)).tolist():
+            assert taken.free(a, a + n) == all(a + n <= s[1] or a >= s[2] for s in made)
+
+
 def test_neighbouring_ibans():
     text = "DE89370400440532013000 GB82WEST12345698765432 DE89 3704 0044 0532 0130 00, XX12 DE89370400440532013000"
     found = [text[s[1] : s[2]] for s in pii.find(text)[1] if s[0] == "iban"]
