@@ -1,11 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
 A text's bytes are cut into windows that are run side by side. Forward and backward states meet in a head that labels
-every byte position; a document's probabilities are the mean of its positions'. Training is backpropagation through time
-on windows of a bounded sample of labelled documents (``per_language`` documents of each language, chosen by hash).
+every byte position; a document's probabilities are the mean of its positions'. Training is backpropagation through time.
+
+The bounded sample of labelled rows: every window of every labelled training text is a candidate, whatever the length of
+its text or its place in it, and is drawn with the same chance, so that about ``per_language`` windows of each language
+reach the driver. How many candidates there are is counted over all texts; nothing is ranked.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if nothing was
-learned; repeated rows give repeated results; a null doc_id counts as remainder 0.
+learned; very long texts are scored whole; an empty table gives no rows; repeated rows give repeated results; a null
+doc_id counts as remainder 0; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -14,15 +18,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateforge.llm.common import fold, wanted
 
-LETTER = re.compile(r"[^\W\d_]")
+WORDY = re.compile(r"[^\W\d_]")
 SPACE = 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numbers such as fractions and numerals, which are word characters too, are none."""
+    return any(m[0].isalpha() for m in WORDY.finditer(text))
+
+
 class Network:
     """Weights of both directions stacked on the first axis: tables of each byte's input to reset, update and candidate, and the recurrent matrices."""
 
@@ -131,28 +140,29 @@ class Network:
         return total / np.maximum(sizes, 1)[:, None], votes
 
 
-def _draw_windows(steps: int, per_doc: int, seed: int):
-    """Rows (lang, window): windows at random places of the whole text."""
+def _draw_windows(steps: int, chance: dict[str, float], seed: int):
+    """Rows (lang, window): of each text's windows those that chance draws; the draw depends on the document alone."""
 
     def run(batches):
         for batch in batches:
             langs, windows = [], []
             for doc, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                raw = (text.as_py() or b"").ljust(steps, b" ")
-                draw = np.random.default_rng((seed, abs(doc or 0)))
-                for at in draw.integers(0, len(raw) - steps + 1, per_doc).tolist():
+                raw = text.as_py()
+                draw = np.random.default_rng((seed, abs(doc or 0), len(raw)))
+                for k in np.flatnonzero(draw.random(-(-len(raw) // steps)) < chance[lang]).tolist():
                     langs.append(lang)
-                    windows.append(raw[at : at + steps])
+                    windows.append(raw[k * steps : (k + 1) * steps].ljust(steps, b" "))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
 
     return run
 
 
-def train(docs: DataFrame, per_language: int = 600, per_doc: int = 4, steps: int = 64, hidden: int = 8, epochs: int = 4) -> Network | None:
-    """Network of the languages of ``docs`` (doc_id, text, lang); at most per_language * per_doc windows of each reach the driver."""
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and doc_id is not null").select("lang", "doc_id").withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= per_language).select("doc_id").distinct()
-    drawn = docs.where("lang is not null and text rlike '\\\\p{L}'").join(F.broadcast(ids), "doc_id").mapInArrow(_draw_windows(steps, per_doc, 3), "lang string, window binary").toArrow()
+def train(docs: DataFrame, per_language: int = 2400, steps: int = 64, hidden: int = 8, epochs: int = 4) -> Network | None:
+    """Network of the languages of ``docs`` (doc_id, text, lang), from about ``per_language`` windows of each."""
+    known = docs.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "lang", "text")
+    count = known.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / F.lit(steps))).alias("n")).collect()
+    chance = {r.lang: per_language / r.n for r in count}
+    drawn = known.mapInArrow(_draw_windows(steps, chance, 3), "lang string, window binary").toArrow()
     langs = np.array(drawn.column("lang").to_pylist(), object)
     if not len(langs):
         return None
@@ -168,7 +178,7 @@ def _predict(sent):
         net = sent.value
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
-            known = [i for i, t in enumerate(texts) if net is not None and t and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
             pred, score, shares = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
             part, size = [], 0
             for i in [*known, None]:
@@ -185,7 +195,7 @@ def _predict(sent):
     return run
 
 
-def identify(docs: DataFrame, modulus: int = 4, out: int = 2, per_language: int = 600) -> DataFrame:
+def identify(docs: DataFrame, modulus: int = 4, out: int = 2, per_language: int = 2400) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, positions (how many bytes each learned language got, by name)."""
     docs = wanted(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (fold("doc_id", modulus) == out).alias("held_out"))
     sent = docs.sparkSession.sparkContext.broadcast(train(docs.where("not held_out"), per_language))

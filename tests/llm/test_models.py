@@ -192,6 +192,32 @@ def test_gradients_of_the_recurrent_network():
         assert abs((up - down) / (2 * step) - grad[name][at]) < 2e-4, (name, at)
 
 
+def test_forward_pass_equals_plain_version():
+    """Gate by gate, position by position; logistic gates of twice the stored input."""
+    net, text = langid.Network(["a", "b", "c"], hidden=3, seed=4), b"Sch\xc3\xb6n, oui"
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    states = []
+    for d, order in ((0, range(len(text))), (1, range(len(text) - 1, -1, -1))):
+        h, seen = [0.0] * 3, {}
+        for t in order:
+            pre = lambda k, v: [float(net.w["tab"][k, d, text[t], i]) + sum(v[j] * float(net.w["rec"][k, d, j, i]) for j in range(3)) for i in range(3)]
+            reset, update = ([logistic(2 * z) for z in pre(k, h)] for k in (0, 1))
+            fresh = [math.tanh(z) for z in pre(2, [r * x for r, x in zip(reset, h)])]
+            h = [u * x + (1 - u) * c for u, x, c in zip(update, h, fresh)]
+            seen[t] = h
+        states.append(seen)
+    shares = []
+    for t in range(len(text)):
+        z = [sum(x * float(net.w["head"][i, k]) for i, x in enumerate(states[0][t] + states[1][t])) + float(net.w["bias"][k]) for k in range(3)]
+        shares.append([math.exp(x) / sum(map(math.exp, z)) for x in z])
+    p, votes = net.score([text, b""], steps=len(text))
+    assert np.allclose(p[0], np.mean(shares, axis=0), atol=1e-5) and votes[0].sum() == len(text) and not p[1].any()
+
+
+def test_texts_without_a_letter():
+    assert not any(map(langid.has_letter, ("", "12 _ ½ ² Ⅷ ① ٣", "\U0001f600"))) and all(map(langid.has_letter, ("½a", "ª", "日", "²é")))
+
+
 def test_language(spark):
     docs = rows(spark, MID)
     got = langid.identify(docs).collect()
