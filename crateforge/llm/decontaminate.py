@@ -4,13 +4,14 @@ Every item becomes its windows of ``n`` consecutive words (a shorter item is one
 spaces, are the automaton's patterns. Each document is normalised the same way and scanned once; matches are mapped to
 word positions and from there to code points of the original text.
 
-Defined results: a null text has no words; an item without words has no window; repeated rows give repeated results;
-a null item_id is left out of the item list but its windows still mark words.
+Defined results: a null text has no words; an item without words has no window; very long texts are scanned whole;
+repeated rows, also of one doc_id with other texts, and null doc_ids get their own results; a null item_id is left out of
+the item list but its windows still mark words; an empty table gives no rows, an empty benchmark no hits; extra columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import carry, wanted
+from crateforge.llm.common import carry, stage, wanted
 
 #: ASCII letters in lower case and digits stay, all other ASCII separates words, bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -112,7 +113,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: i
     for run in scans:
         again = carry(found, {"doc_id": F.col("doc_id"), "text": F.col("text")}, run, SCHEMA)
         merged = [F.concat(F.col("row").getField(c), F.col(c)).alias(c) for c in ("item_ids", "spans")]
-        found = again.select(*[F.col("row").getField(c).alias(c) for c in ("doc_id", "text")], *merged)
+        found, _ = stage(again.select(*[F.col("row").getField(c).alias(c) for c in ("doc_id", "text")], *merged))  # one automaton at a time in a worker
     return _merged(found)
 
 
@@ -173,23 +174,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]], n: int = 10) -> dict[int, tuple]:
-    """Plain version for tests: every window of every item against every position of every document."""
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
-    out = {}
-    for doc, text in docs:
-        words = word.findall(lower(text or ""))
-        hit, ids = set(), set()
-        for item, item_text in items:
-            own = word.findall(lower(item_text))
-            size = min(n, len(own))
-            wins = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
-            for i in range(len(words) - size + 1):
-                if wins and tuple(words[i : i + size]) in wins:
-                    hit.update(range(i, i + size))
-                    ids.add(str(item))
-        out[doc] = (len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
-    return out

@@ -8,8 +8,9 @@ again; the new packing is taken if it has fewer bins.
 Tokens: white space separates what the tokenizer's patterns can match, so a text's ids are the ids of its
 white-space-separated words in order; words are looked up in a bounded cache and only new ones are encoded.
 
-Defined results: null and empty texts are one piece, the end id alone; repeated rows are packed once each; a null doc_id
-keeps its pieces; an empty table gives no rows.
+Defined results: null and empty texts are one piece, the end id alone; very long texts are cut into as many pieces as
+they need; repeated rows are packed once each; a null doc_id keeps its pieces; an empty table gives no rows; extra
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ reach the guaranteed 5 are kept, and the bits of those are counted. Lists are re
 is a star per group of linked fingerprints, never its pairs. Lists of more than ``list_limit`` fingerprints are not
 compared pair by pair but met at all fingerprints one bit away (exact, see ``_balls``).
 
-Defined results: a text without words (null, empty) has fingerprint zero and links like any other; repeated rows link
-with each other; a null doc_id keeps its row, with the component of its fingerprint.
+Defined results: a text without words (null, empty) has fingerprint zero and links like any other; very long texts are
+read whole; repeated rows link with each other; a null doc_id keeps its row, with the component of its fingerprint; an
+empty table gives no rows; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def _stars(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return moved, root[moved]
 
 
-def _within(list_limit: int):
+def _within(list_limit: int, pending: int = 1 << 20):
     """Sorted rows (block, key, fp) -> edges (u, v); rows of longer lists come out with v null, for the exact other way."""
 
     def run(batches):
@@ -126,6 +127,9 @@ def _within(list_limit: int):
                 left.append(here[ok])
                 right.append(here[ok] + step)
                 step += 1
+                if sum(map(len, left)) > pending:  # linked pairs become stars before they are many
+                    member, root = _stars(fp, np.concatenate(left), np.concatenate(right))
+                    left, right = [member], [root]
             a, b = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
             member, root = _stars(fp, a, b) if len(a) else (a, b)
             hot = np.flatnonzero(long[of])
