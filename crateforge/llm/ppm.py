@@ -5,32 +5,37 @@ from the longest known context (escape method C) and, after each escape, from th
 that the longer one has already ruled out (exclusion). A symbol seen in a context was also seen in each shorter one, so the
 ruled-out set depends on the longer context alone; every context stores what remains of its suffix.
 
-A node of the trie is kept if it holds at least ``share`` of the training positions. That rule is the same at every size
-and bounds each order by 1/share nodes, so the broadcast model is bounded however large the corpus is; a dropped context
-only means that its positions are coded by a shorter one. The counts themselves are made over everything.
-
-The base needs the exact count of every token. Documents are taken in blocks; each block has a row per distinct word
-and one with its postings; words are counted by a shuffle, and the counts alone return to the block.
-
-Defined results: null and empty texts are one end token and the end symbol; a null doc_id counts as training; repeated
-rows count and are scored each; an empty training set gives V = N = 0 and a uniform model.
+No node of the trie is ever dropped: it grows with the corpus, and it is never in one place. Documents are taken in blocks.
+A block asks for the log probability of each distinct gram (context and symbol) that it holds and for the count of each
+distinct word, and says how often its training texts have them. Questions are dealt into buckets, grams by the NEAR bytes
+next to the symbol, words by a hash; all contexts of NEAR bytes and more of a gram, and all grams in them, meet in
+one bucket, which therefore builds its part of the trie alone and answers every block. Shorter contexts, at most
+256^NEAR grams whatever the corpus, are broadcast. The answers return to their block, whose texts are then scored.
+A question is a compressed array of one block for one bucket, so that a very frequent gram or word is one entry of each
+block and no more.
+
+Defined results: null and empty texts are one end token and the end symbol; very long texts are scored whole; a null doc_id
+counts as training; repeated rows count and are scored each; an empty training set gives V = N = 0 and a uniform model; an
+empty table gives no rows; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import fold, stage, wanted
+from crateforge.llm.common import discard, fold, stage, wanted
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-END_WORD = b"\n"  # no word has white space
+END_WORD = b""  # every word has a byte
+NEAR = 3
 
 
 def _joined(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,40 +70,22 @@ def _chunks(texts: list[bytes], limit: int = 1 << 20):
         yield part
 
 
-def _count(order: int):
-    """Rows (gram, n) of the training texts; summed within the task before they are shuffled."""
-
-    def run(batches):
-        keys, counts, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-        def merge():
-            nonlocal keys, counts, pending
-            every = np.concatenate([keys, *(k for k, _ in pending)])
-            n = np.concatenate([counts, *(c for _, c in pending)])
-            by = np.argsort(every, kind="stable")
-            every, n = every[by], n[by]
-            starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            keys, counts, pending = every[starts], (np.add.reduceat(n, starts) if len(starts) else n), []
-
-        def hand_over():
-            nonlocal keys, counts
-            merge()
-            for k in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], names=["gram", "n"])
-            keys, counts = keys[:0].copy(), counts[:0].copy()
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, counts, len(distinct)).astype(np.int64)
 
-        for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-            for part in _chunks(texts):
-                data, _ = _joined(part, order)
-                pending.append(np.unique(_grams(data, order)[_symbols(data)[order:]], return_counts=True))
-                if sum(len(k) for k, _ in pending) > 1 << 20:
-                    merge()
-                if len(keys) > 1 << 21:  # bounded memory: hand over and go on
-                    yield from hand_over()
-        yield from hand_over()
 
-    return run
+def _counted(texts: list[bytes], held: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts and how often those that are not held out have each."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for out in (False, True):
+        for part in _chunks([t for t, h in zip(texts, held) if h == out]):
+            data, _ = _joined(part, order)
+            k, n = np.unique(_grams(data, order)[_symbols(data)[order:]], return_counts=True)
+            keys.append(k)
+            counts.append(np.zeros(len(k), np.int64) if out else n)
+    return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
 class Table:
@@ -136,53 +123,43 @@ class Table:
         return out
 
 
-class Model:
-    """grams[j], counts[j]: sorted keys of j context bytes and a symbol, with their counts.
+def orders(grams: np.ndarray, counts: np.ndarray, wanted_orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams of each order, sorted, with their counts, from those of the highest."""
+    return [_summed(grams & np.uint64((1 << (8 * (j + 1))) - 1), counts) for j in wanted_orders]
 
-    A context's total is its count over all training text, symbols whose nodes were dropped included; the share of those
-    goes to the escape, so that what a dropped node would have said is said by a shorter context.
-    """
 
-    def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray], positions: int = 0):
+class Model:
+    """A trie from the grams of each order with their counts, or the part of one whose higher orders hold whole contexts only."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        grams, counts = zip(*tables)
         self.order = len(grams) - 1
         self.grams = [Table(g) for g in grams]
-        self.log_count = [np.log10(c.astype(np.float64)).astype(np.float32) for c in counts]
+        logs = lambda x: np.log10(np.maximum(x, 1e-300)).astype(np.float32)
+        self.log_count = [logs(c.astype(np.float64)) for c in counts]
         self.contexts, self.own, self.down = [], [], []
-        total, kept, kinds, start = [], [], [], []
-        ends = int(counts[0][grams[0] == END].sum())  # documents; each is once in the context of pads alone
-        for j, (g, c) in enumerate(zip(grams, counts)):
+        total, kinds, start = [], [], []
+        for g, c in zip(grams, counts):
             ctx = g >> np.uint64(8)
             first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(g) else np.zeros(0, np.int64)
             start.append(first)
-            kept.append(np.add.reduceat(c, first).astype(np.float64) if len(first) else np.zeros(0))
+            total.append(np.add.reduceat(c, first).astype(np.float64) if len(first) else np.zeros(0))
             kinds.append(np.diff(np.concatenate((first, [len(g)]))).astype(np.float64))
             self.contexts.append(Table(ctx[first]))
-            if not j:
-                total.append(np.full(len(first), float(max(positions, c.sum()))))
-            else:
-                own = ctx[first]
-                at = self.grams[j - 1].find(own)
-                start_of_text = (own & np.uint64(0xFF)) == PAD
-                total.append(np.where(start_of_text, float(ends), counts[j - 1][at].astype(np.float64)) if len(first) else np.zeros(0))
-            total[j] = np.maximum(total[j], kept[j])
-        logs = lambda x: np.log10(np.maximum(x, 1e-300)).astype(np.float32)
-        for j, (g, c) in enumerate(zip(grams, counts)):
+        for j, g in enumerate(grams):
             # of this order's own context: denominator and escape
-            dropped = np.maximum(total[j] - kept[j], 0)
             whole = logs(total[j] + kinds[j])
-            self.own.append((whole, logs(dropped + kinds[j]) - whole))
+            self.own.append((whole, logs(kinds[j]) - whole))
             if not j:
                 self.down.append(None)
                 continue
             # of the next shorter context, without the symbols of this one
-            shorter = g & np.uint64((1 << (8 * j)) - 1)
-            at = self.grams[j - 1].find(shorter)
+            at = self.grams[j - 1].find(g & np.uint64((1 << (8 * j)) - 1))
             gone = np.add.reduceat(counts[j - 1][at], start[j]).astype(np.float64) if len(start[j]) else np.zeros(0)
             ctx = self.contexts[j - 1].find((g[start[j]] >> np.uint64(8)) & np.uint64((1 << (8 * (j - 1))) - 1))
             rest, some = np.maximum(total[j - 1][ctx] - gone, 0), kinds[j - 1][ctx] - kinds[j]
-            lost = np.maximum(total[j - 1][ctx] - kept[j - 1][ctx], 0)
-            empty = some + lost <= 0  # nothing is left there: the escape is certain
-            self.down.append((np.where(empty, 0, logs(rest + some)), np.where(empty, 0, logs(lost + some) - logs(rest + some))))
+            empty = some <= 0  # nothing is left there: the escape is certain
+            self.down.append((np.where(empty, 0, logs(rest + some)), np.where(empty, 0, logs(some) - logs(rest + some))))
         top = self.order
         owner = self.contexts[top].find(grams[top] >> np.uint64(8))
         self.direct = self.log_count[top] - self.own[top][0][owner] if len(grams[top]) else np.zeros(0, np.float32)
@@ -216,92 +193,73 @@ class Model:
         out[todo] += self.last
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each lower-cased text with its end."""
-        out = []
-        for part in _chunks(texts):
-            data, starts = _joined(part, self.order)
-            value = self.logs(_grams(data, self.order)).astype(np.float64)
-            value[~_symbols(data)[self.order :]] = 0
-            out.append(np.add.reduceat(value, starts - self.order))
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def train(docs: DataFrame, order: int = 5, share: float = 5e-7) -> Model:
-    """The trie of ``docs`` (text). Per order, the driver gets at most 1/share nodes."""
-    found, _ = stage(docs.select("text").mapInArrow(_count(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    positions = int(found.agg(F.sum("n")).first()[0] or 0)
-    least = max(1, math.ceil(positions * share))
-    grams, counts = [], []
-    for j in range(order + 1):
-        mask = (1 << (8 * (j + 1))) - 1
-        rows = found.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        g, c = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-        by = np.argsort(g)
-        grams.append(g[by])
-        counts.append(c[by])
-    return Model(grams, counts, positions)
-
-
-ROWS = pa.schema(
-    [("block", pa.int64()), ("code", pa.int32()), ("word", pa.binary()), ("n_train", pa.int64()), ("blob", pa.binary()), ("sizes", pa.list_(pa.int64()))]
-    + [("place", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())]
-)
-ROWS_SQL = "block long, code int, word binary, n_train long, blob binary, sizes array<long>, place long, doc_id long, held_out boolean, n_tokens long, score double"
-
-
-def _batch(n: int, **columns) -> pa.RecordBatch:
-    """A batch of ROWS with the named columns; the others are null."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in ROWS], schema=ROWS)
-
-
-def _packed(per_word: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[bytes, list[int]]:
-    """Postings of a block by word: how many each word has, and their places and times, as compressed arrays; and the arrays' bytes."""
-    parts = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (per_word, place, times)]  # byte planes: most are zero
-    return pa.compress(b"".join(parts), codec="zstd", asbytes=True), [len(x) for x in parts]
-
-
-def _unpacked(blob: bytes, sizes: list[int]) -> list[np.ndarray]:
-    raw, at, out = pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd", asbytes=True), 0, []
-    for size in sizes:
-        out.append(np.frombuffer(raw[at : at + size], np.uint8).reshape(4, -1).T.copy().view("<u4").ravel())
-        at += size
+
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8, 4 or 1 bytes an entry, as compressed byte planes, of which most are zero."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], "<i8").tobytes()
+    return head + pa.compress(b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def _arrays(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    shape = np.frombuffer(blob, "<i8", 2 * n, 8).reshape(n, 2).tolist()
+    raw, at, out = pa.decompress(blob[8 * (2 * n + 1) :], decompressed_size=sum(a * b for a, b in shape), codec="zstd", asbytes=True), 0, []
+    for width, size in shape:
+        out.append(np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size).T.copy().view(f"<u{width}").ravel())
+        at += width * size
     return out
 
 
-def _rows(sent, block_bytes: int = 12 << 20):
-    """A row for each document of a block, one for each distinct word, and one with all postings."""
+def _gram_bucket(keys: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    near = (keys >> np.uint64(8)) & np.uint64((1 << (8 * min(NEAR, order))) - 1)
+    return (((near + np.uint64(1)) * Table.MULTIPLIER) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _word_bucket(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+
+
+def _dealt(bucket: np.ndarray):
+    """The places of each bucket that has any, in their order."""
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[by[a]]), by[a:b]
 
-    def block(number, docs, held, texts, model):
-        n, score = len(docs), model.score(texts)
-        code: dict[bytes, int] = {}
-        codes, sizes = [], []
-        for t in texts:
-            words = t.translate(LOWER).split()
-            words.append(END_WORD)
-            codes.append(np.array([code.setdefault(w, len(code)) for w in words], np.int32))
-            sizes.append(len(words))
-        pairs = np.concatenate(codes).astype(np.int64)
-        codes.clear()
-        pairs *= n
-        pairs += np.repeat(np.arange(n, dtype=np.int32), sizes)
-        pairs.sort()
-        starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
-        times = np.diff(starts, append=len(pairs)).astype(np.uint32)
-        pairs = pairs[starts]
-        word, place = (x.astype(np.uint32) for x in np.divmod(pairs, n))
-        del pairs, starts
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        trained = np.add.reduceat(np.where(np.array(held)[place], 0, times), first)
-        m = len(code)
-        alone = lambda k: b" %d %d" % (number, k)  # noqa: E731  no word has white space: rows that are no words stand alone
-        blob, parts = _packed(np.diff(np.concatenate((first, [len(word)]))), place, times)
-        yield _batch(n, block=np.full(n, number), word=[alone(k) for k in range(n)], place=np.arange(n), doc_id=docs, held_out=held, n_tokens=sizes, score=score)
-        yield _batch(1, block=[number], word=[alone(-1)], blob=[blob], sizes=[parts])
-        words = list(code)
-        for k in range(0, m, 100_000):
-            j = min(m, k + 100_000)
-            yield _batch(j - k, block=np.full(j - k, number), code=np.arange(k, j, dtype=np.int32), word=words[k:j], n_train=trained[k:j])
+
+def _words(texts: list[bytes], held: list[bool]) -> Counter:
+    """How often the texts that are not held out have each word of any; the end is a word."""
+    found: Counter = Counter()
+    for text, out in zip(texts, held):
+        words = text.translate(LOWER).split()
+        words.append(END_WORD)
+        if out:
+            found.update(dict.fromkeys(words, 0))
+        else:
+            found.update(words)
+    return found
+
+
+BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary())])
+BLOCKS_SQL = "block long, kind string, bucket int, blob binary"
+
+
+def _ask(order: int, buckets: int, block_bytes: int):
+    """Rows of each block: its texts, and its questions about grams and words to each bucket."""
+
+    def block(number, docs, held, texts):
+        ids = np.array([d or 0 for d in docs], "<i8")
+        flags = [np.array(x, np.uint8) for x in ([d is None for d in docs], held)]
+        rows = [("text", -1, _blob(ids, *flags, np.array([len(t) for t in texts], "<u8"), np.frombuffer(b"".join(texts), np.uint8)))]
+        keys, n = _counted(texts, held, order)
+        for k, at in _dealt(_gram_bucket(keys, order, buckets)):
+            rows.append(("gram", k, _blob(np.diff(keys[at], prepend=np.uint64(0)), n[at].astype("<u4"))))
+        found = _words(texts, held)
+        words, n = list(found), np.fromiter(found.values(), np.int64, len(found))
+        for k, at in _dealt(_word_bucket(words, buckets)):
+            rows.append(("word", k, _blob(np.frombuffer(b"\n".join([words[i] for i in at.tolist()]), np.uint8), n[at].astype("<u4"))))
+        kinds, at, blobs = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), pa.array(kinds), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], schema=BLOCKS)
 
     def run(batches):
         from pyspark import TaskContext
@@ -315,52 +273,129 @@ def _rows(sent, block_bytes: int = 12 << 20):
                 texts.append(text.as_py() or b"")
                 size += len(texts[-1])
                 if size >= block_bytes:
-                    yield from block(number, docs, held, texts, sent.value)
+                    yield block(number, docs, held, texts)
                     number += 1
                     docs, held, texts, size = [], [], [], 0
         if docs:
-            yield from block(number, docs, held, texts, sent.value)
+            yield block(number, docs, held, texts)
 
     return run
 
 
-SUMS_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double, v long"
-
-
-def _sums(table: pa.Table) -> pa.Table:
-    """One block: its words' counts c and its postings -> sums per document; v: words that this block is the first to have."""
-    docs = table.filter(pc.is_valid(table.column("place"))).sort_by("place")
-    words = table.filter(pc.is_valid(table.column("code")))
-    posted = table.filter(pc.is_valid(table.column("blob")))
-    n = docs.num_rows
-    c = np.zeros(words.num_rows, np.int64)
-    c[words.column("code").to_numpy()] = words.column("c").to_numpy()
-    per_word, place, times = _unpacked(posted.column("blob")[0].as_py(), posted.column("sizes")[0].as_py())
-    per, times = np.repeat(c, per_word), times.astype(np.float64)
-    first = np.zeros(n, np.int64)
-    first[0] = pc.sum(words.column("first").cast(pa.int64())).as_py() or 0
-    return pa.table(
-        [
-            docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"),
-            pa.array(np.bincount(place, times * (per > 0), n).astype(np.int64)), pa.array(np.bincount(place, times * np.log10(per + 1.0), n)),
-            docs.column("score"), pa.array(first),
-        ],
-        names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score", "v"],
-    )
+def _question(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = _arrays(blob)
+    return np.cumsum(steps, dtype=np.uint64), n
 
 
-def score(docs: DataFrame, order: int = 5, share: float = 5e-7, modulus: int = 7, out: int = 2) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def _short(order: int):
+    """Rows (gram, n) of the longest contexts that every bucket is given."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                keys, n = _question(blob.as_py())
+                ((k, c),) = orders(keys[n > 0], n[n > 0], range(min(NEAR, order) - 1, min(NEAR, order)))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["gram", "n"])
+
+    return run
+
+
+ANSWERS_SQL = BLOCKS_SQL + ", n long, v long"
+
+
+def _answer(sent, order: int):
+    """One bucket: every block's questions -> the answers, in each question's order. A bucket of words adds its N and V."""
+
+    def grams(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+        asked = [_question(b) for b in blobs]
+        keys, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([n for _, n in asked]), len(keys)).astype(np.int64)
+        known = c > 0
+        value = Model([*sent.value, *orders(keys[known], c[known], range(min(NEAR, order), order + 1))]).logs(keys)
+        cuts = np.cumsum([len(k) for k, _ in asked])[:-1]
+        return [_blob(value[x].astype("<f4").view("<u4")) for x in np.split(at, cuts)], 0, 0
+
+    def words(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+        asked = [_arrays(b) for b in blobs]
+        every = [a.tobytes().split(b"\n") for a, _ in asked]
+        code = pa.array([w for part in every for w in part], pa.binary()).dictionary_encode()
+        at = code.indices.to_numpy()
+        c = np.bincount(at, np.concatenate([n for _, n in asked]), len(code.dictionary)).astype(np.int64)
+        return [_blob(c[x].astype("<u8")) for x in np.split(at, np.cumsum([len(p) for p in every])[:-1])], int(c.sum()), int((c > 0).sum())
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs, n, v = (words if table.column("kind")[0].as_py() == "word" else grams)(table.column("blob").to_pylist())
+        first = lambda x: pa.array([x] + [0] * (len(blobs) - 1), pa.int64())
+        return pa.table([table.column("block"), table.column("kind"), table.column("bucket"), pa.array(blobs, pa.binary()), first(n), first(v)], names=["block", "kind", "bucket", "blob", "n", "v"])
+
+    return run
+
+
+SUMS_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
+
+
+def _sums(order: int, buckets: int):
+    """One block: its texts and the answers to its questions -> sums per document."""
+
+    def values(keys: np.ndarray, bucket: np.ndarray, answers: dict[int, np.ndarray], kind) -> np.ndarray:
+        out = np.zeros(len(keys), kind)
+        for k, at in _dealt(bucket):
+            out[at] = answers[k].view(kind)
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        answers: dict[str, dict] = {"gram": {}, "word": {}}
+        for kind, bucket, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "blob"))):
+            if kind == "text":
+                ids, missing, held, sizes, raw = _arrays(blob)
+            else:
+                answers[kind][bucket] = _arrays(blob)[0]
+        ends, raw = np.cumsum(sizes).astype(np.int64), raw.tobytes()
+        texts = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        keys, _ = _counted(texts, held.tolist(), order)
+        value, of, score = values(keys, _gram_bucket(keys, order, buckets), answers["gram"], np.float32), Table(keys), []
+        for part in _chunks(texts):
+            data, starts = _joined(part, order)
+            real = _symbols(data)[order:]
+            logs = np.zeros(len(real))
+            logs[real] = value[of.find(_grams(data, order)[real])]
+            score.append(np.add.reduceat(logs, starts - order))
+        words = list(_words(texts, held.tolist()))
+        c = values(words, _word_bucket(words, buckets), answers["word"], np.int64)
+        log_of, known_of = dict(zip(words, np.log10(c + 1.0).tolist())), frozenset(w for w, k in zip(words, c.tolist()) if k)
+        n_tokens, n_known, log_sum = [], [], []
+        for t in texts:
+            own = t.translate(LOWER).split()
+            own.append(END_WORD)
+            n_tokens.append(len(own))
+            n_known.append(sum(map(known_of.__contains__, own)))
+            log_sum.append(math.fsum(map(log_of.__getitem__, own)))
+        doc = pa.array(ids.view(np.int64), mask=missing.astype(bool))
+        return pa.table([doc, pa.array(held.astype(bool)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_sum, pa.float64()), pa.array(np.concatenate(score))], names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score"])
+
+    return run
+
+
+def score(docs: DataFrame, order: int = 5, modulus: int = 7, out: int = 2, block_bytes: int = 12 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``block_bytes`` of text make a block, and there is a bucket for every ``bucket_bytes``: neither changes a result.
+    """
+    spark = docs.sparkSession
     docs = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", modulus) == out).alias("held_out"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs.where("not held_out"), order, share))
-    by_word = Window.partitionBy("word")
-    every = docs.mapInArrow(_rows(sent), ROWS_SQL).select(
-        "block", "code", "blob", "sizes", "place", "doc_id", "held_out", "n_tokens", "score",
-        F.sum("n_train").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("first"),
-    ).withColumn("first", F.expr("first and c > 0"))
-    sums, _ = stage(every.groupBy("block").applyInArrow(_sums, SUMS_SQL))
-    total = sums.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("v")).first()
-    n, v = int(total[0] or 0), int(total[1] or 0)
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    cores = spark.sparkContext.defaultParallelism
+    buckets = max(cores, -(-size // bucket_bytes))
+    asked, asked_path = stage(docs.mapInArrow(_ask(order, buckets, block_bytes), BLOCKS_SQL))
+    short = asked.where("kind = 'gram'").select("blob").mapInArrow(_short(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    low = orders(short.column("gram").to_numpy().view(np.uint64), short.column("n").to_numpy(), range(min(NEAR, order)))
+    questions = asked.where("kind <> 'text'").repartition(2 * buckets, "kind", "bucket")
+    answers, answers_path = stage(questions.groupBy("kind", "bucket").applyInArrow(_answer(spark.sparkContext.broadcast(low), order), ANSWERS_SQL))
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    both = asked.where("kind = 'text'").unionByName(answers.drop("n", "v"))
+    sums, _ = stage(both.repartition(max(cores, -(-size // block_bytes)), "block").groupBy("block").applyInArrow(_sums(order, buckets), SUMS_SQL))
+    discard(spark, asked_path)
+    discard(spark, answers_path)
     return sums.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_sum") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",

@@ -57,15 +57,21 @@ def plain_ppm(train, text, order):
     return total
 
 
-def test_ppm_equals_plain_version(spark):
-    texts = ["abracadabra abra", "the cat sat on the mat", "the bat", "", "Ünï the"]
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_ppm_equals_plain_version(spark, order):
+    """Blocks and buckets of few bytes, training and held-out rows, against one trie of dictionaries."""
+    draw = np.random.default_rng(order)
+    texts = ["abracadabra abra", "the cat sat on the mat", "the bat", "", None, "Ünï the", "zzz the q", "ünz", *("".join(draw.choice(list("abc é"), 30)) for _ in range(40))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = ppm.train(df, order=3)
-    raw = [t.encode().translate(ppm.LOWER) for t in texts]
-    asked = [b"abracadabra", b"the cat", b"zzz the q", b"", "ünz".encode()]
-    want = [plain_ppm(raw, t, 3) for t in asked]
-    assert np.allclose(model.score(asked), want, atol=1e-4)
-    # the probabilities of all symbols after a context sum to one
+    raw = [(t or "").encode().translate(ppm.LOWER) for t in texts]
+    train = [t for i, t in enumerate(raw) if crc(i, 7) != 2]
+    got = {r.doc_id: r.score for r in ppm.score(df, order=order, block_bytes=200, bucket_bytes=100).collect()}
+    assert 0 < len(train) < len(raw) and np.allclose([got[i] for i in range(len(raw))], [plain_ppm(train, t, order) for t in raw], atol=1e-4)
+
+
+def test_ppm_probabilities_sum_to_one():
+    raw = [b"abracadabra abra", b"the cat sat on the mat", b"the bat", b""]
+    model = ppm.Model(ppm.orders(*ppm._counted(raw, [False] * len(raw), 3), range(4)))
     for ctx in (b"abr", b"xyz", b"the"):
         key = np.array([int.from_bytes(ctx + bytes([s]), "big") for s in range(256)], np.uint64)
         assert abs((10 ** model.logs(key).astype(float)).sum() - 1) < 1e-4
