@@ -1,13 +1,15 @@
 """Idempotent loading: keys become ids in order of first appearance; a second run adds nothing.
 
-Ids number the distinct new keys only, by a sort of first places; dimensions are small beside their facts.
+Ids number the distinct new keys only, by first places, range by range, so that no task holds all keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crateforge.operators.ranges import numbered
+
 
 def number_new(rows: DataFrame, keys: list[str], order: list[str], id_name: str, existing: DataFrame | None = None, extra: list[str] | None = None) -> DataFrame:
     """(id, keys, extra) of the keys that ``existing`` lacks, numbered on from its largest id; extra columns are those of the first row."""
@@ -18,11 +20,11 @@ def number_new(rows: DataFrame, keys: list[str], order: list[str], id_name: str,
         offset = existing.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("_offset"))
     else:
         offset = None
-    numbered = first.withColumn("_n", F.row_number().over(Window.orderBy(*[F.col("_first").getField(o) for o in order], *keys)))
+    placed = numbered(first, [*[F.col("_first").getField(o) for o in order], *[F.col(k) for k in keys]], "_n")
     if offset is not None:
-        numbered = numbered.join(F.broadcast(offset))
+        placed = placed.join(F.broadcast(offset))
     start = F.col("_offset") if offset is not None else F.lit(0)
-    return numbered.select((F.col("_n") + start).cast("long").alias(id_name), *keys, *[F.col("_first").getField(e).alias(e) for e in extra])
+    return placed.select((F.col("_n") + 1 + start).cast("long").alias(id_name), *keys, *[F.col("_first").getField(e).alias(e) for e in extra])
 
 
 def get_or_insert(rows: DataFrame, keys: list[str], order: list[str], id_name: str, existing: DataFrame, extra: list[str] | None = None) -> DataFrame:
