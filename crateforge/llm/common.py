@@ -1,43 +1,18 @@
-"""Shared helpers of the training-data operators: reading, staging in the shared folder, folds."""
+"""Shared helpers of the training-data operators: reading, folds, rows carried whole; staging is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crateforge.sources.staging import discard, stage  # noqa: F401  the operators stage through this module
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the corpus, by a path only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; a temporary one only if that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="crateforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/crateforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a staged table through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id's text modulo ``modulus``; a null id counts as remainder 0."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

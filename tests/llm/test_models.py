@@ -155,28 +155,32 @@ def plain_links(data):
         least = new
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_embeddings(spark, block):
+@pytest.mark.parametrize("sizes", [{}, {"block": 3, "deal": 40}])
+def test_embeddings(spark, sizes):
     vectors = read(spark, SF, "embeddings")
     odd = [(9001, None, 1), (9002, [0.0] * 64, 1), (9003, [1.0, None], 2), (9004, [float("nan")] * 64, 3), (9005, [1.0] * 64, None), (9006, [2.0] * 64, 4), (9007, [1.0] * 64, 4), (9008, [1.0] * 3, 4), (9009, [1.0] * 64, 4)]
     base = spark.createDataFrame(odd, "vec_id long, embedding array<float>, label int")
     tight = spark.createDataFrame([(9100 + i, (np.ones(64) + np.random.default_rng(i).normal(0, 0.08, 64)).tolist(), 7) for i in range(30)], "vec_id long, embedding array<float>, label int")
     every = vectors.unionByName(base).unionByName(tight).withColumn("node", F.lit(1)).withColumn("root", F.lit("x"))
-    got = embeddings.near_duplicates(every, block=block).collect()
+    got = embeddings.near_duplicates(every, **sizes).collect()
     want = plain_links([(r.vec_id, r.embedding, r.label) for r in every.collect()])
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embeddings.near_duplicates(every.limit(0)).count() == 0
 
 
-def test_embeddings_of_a_dense_label(spark):
+@pytest.mark.parametrize(("n", "spread", "far"), [(3000, 0.33, 0.17), (20000, 0.33, 0.18), (20000, 1.0, 0.195)])
+def test_recall_of_embedding_links(spark, n, spread, far):
+    """Lone pairs just above the threshold in one hot label, whose vectors are dense (mutual cosine about 0.9) or not."""
     draw = np.random.default_rng(9)
-    x = np.array([1.0, *[0.0] * 63]) + draw.normal(0, 0.33 / 8, (3000, 64))
-    x = np.concatenate((x, x[:60] + draw.normal(0, 0.17 / 8, (60, 64))))
+    x = np.array([spread < 1, *[0.0] * 63]) + draw.normal(0, spread / 8, (n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate((x, x[:200] + draw.normal(0, far / 8, (200, 64))))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    linked = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
-    got = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
-    assert 30 <= linked.sum() // 2 <= 3000 and {r.vec_id: r.n_links for r in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+    want = {(i, j) for k in range(0, len(x), 1000) for i, j in zip(*np.nonzero(unit[k : k + 1000] @ unit.T >= 0.98)) for i in [i + k] if i < j}
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    same = sum(got[i].component_id == got[j].component_id for i, j in want)
+    assert len(want) >= 80 and same >= 0.95 * len(want) and 0.95 * 2 * len(want) <= sum(r.n_links for r in got.values()) <= 2 * len(want)
 
 
 # -- classifiers -------------------------------------------------------------------------------------------------
