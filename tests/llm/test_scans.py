@@ -152,11 +152,43 @@ def test_secrets(spark):
     assert secrets.secrets(rows(spark).limit(0)).count() == 0
 
 
+ORDINARY = """getUserProfileById2Handler 550e8400-e29b-41d4-a716-446655440000 package-name-1.2.3-beta.4 src/main/java/com/example/app/Main2.java
+    thisIsAVeryLongCamelCaseIdentifierName40 internationalization/localization/v2.10 2024-01-15T10:30:00.000Z mail8.example.com 4465758382889437
+    https://example.com/a/b/c/d?page=2 MAX_RETRY_COUNT_PER_REQUEST_V2=10 numpy-1.26.4-cp312-cp312-manylinux_2_17_x86_64.whl eyJ.eyJ.abc sk_live_short
+    SPDX-License-Identifier org.apache.spark.sql.execution.WholeStageCodegenExec""".split()
+
+
 def test_automata_tell_formats_apart():
     model = secrets.Model(secrets.labelled())
-    fresh = [w for _, w in secrets.labelled(20, seed=123)]
-    assert sum(model.score(w) >= 0.8 for w in fresh) >= 0.95 * len(fresh)
-    assert sum(model.score(w) >= 0.8 for w in secrets.ordinary(300, seed=5) if len(w) >= 16) <= 3
+    for name in {k for k, _ in secrets.FORMATS}:
+        fresh = [w for k, w in secrets.labelled(60, seed=123) if k == name]
+        assert sum(model.score(w) >= 0.8 for w in fresh) >= 0.95 * len(fresh), name
+        cut = [w[:-1] for w in fresh if name != "web_token"] + [w + "x" for w in fresh]
+        assert not any(end == len(w) for w in cut for end, _ in model.automata[name].ways(w, 0)), name  # another length is another format
+    assert sum(bool(model.tokens(w, 0.8)) for w in secrets.ordinary(300, seed=5)) <= 3
+    assert not [w for w in ORDINARY if secrets.find(w, model, 0.8)[1]]
+    places = {k: len(a.out) for k, a in model.automata.items()}
+    assert places["hex_digest"] == 41 and places["access_key"] == 21 and places["web_token"] < 120
+
+
+def test_keys_inside_longer_runs_and_time():
+    model = secrets.Model(secrets.labelled())
+    keys = {k: w for k, w in secrets.labelled(1, seed=9)}
+    for name in ("code_host", "payments", "maps_key", "web_token", "random_key"):
+        for text in (f"KEY={keys[name]}.", f"a/b/{keys[name]}", f"x={keys[name]}=y"):
+            assert keys[name] in [text[s[1] : s[2]] for s in secrets.find(text, model, 0.8)[1]] or name == "random_key", text
+    for text in ("a." * 100_000, "A" * 500_000, "eyJa." * 50_000, "eyJ" + "a" * 500_000, ("b" * 24 + " ") * 20_000):
+        began = time.process_time()
+        secrets.find(text, model, 0.8)
+        assert time.process_time() - began < 10
+
+
+def test_rival_is_learned_from_the_texts(spark):
+    texts = ["plain words stay here", None, "", "password=hunter2hunter2 more", "Ü é token: abcdefgh x"]
+    model = secrets.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    cut = [spans.redact(t, [s[1:3] for s in secrets.base_spans(t)], "\n") for t in texts if t]
+    want = secrets.Rival(secrets.pair_counts(cut))
+    assert np.allclose(model.rival.log, want.log) and not any("hunter" in t for t in cut)
 
 
 def test_secrets_without_digits_and_with_trailing_marks():
