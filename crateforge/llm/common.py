@@ -19,6 +19,12 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
 
 
+def sampled(ids: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the distinct doc_ids of ``ids``, or all if they are fewer: those whose hash is small enough; no row is ranked."""
+    n = ids.count()
+    return ids if n <= most else ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(most / n * (1 << 31)))
+
+
 def wanted(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns never reach an operator, whatever they are called."""
     return df.select(*[F.col(n) for n in names])

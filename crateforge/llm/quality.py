@@ -1,16 +1,21 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1 outside the held-out fold; unlabelled text is a sample of documents
-whatever they are. A small network minimises the non-negative unbiased risk: prior * R+(positives) plus the part of the
-unlabelled risk as negatives that positives do not explain, held at zero or above. The class prior is the smoothed share
-of quality 1 among the labelled rows outside the held-out fold.
-
-Features describe writing, not topic: how often a class of byte follows another, and how much words and lines repeat.
-The bounded sample: at most ``max_rows`` positives and as many unlabelled documents, chosen by hash of their id. All
-documents are scored, over their whole texts.
-
-Defined results: null and empty texts have zero features and get the score of such a text; without labels the prior is
-a half and every score is the prior; repeated rows get equal scores.
+Trusted positives are labelled rows of quality 1 outside the held-out fold; unlabelled text is every document outside that
+fold, whatever it is. A linear model z of the features minimises the non-negative unbiased risk with squared loss: prior *
+R+(positives) plus the part of the unlabelled risk as negatives that positives do not explain, held at zero or above. With
+this loss the risk depends on the rows only through their number, mean and outer products, which tasks sum up in one pass,
+so that all unlabelled text counts, exactly, and what is exchanged has the size of the features squared.
+
+The class prior is estimated from unlabelled scores: a first model scores all unlabelled text into a histogram, and the
+prior is the least quotient of the shares of unlabelled rows and of trusted positives that it was not fitted to above a
+score. Features describe writing, not topic: how often a class of byte follows another, and how much words and lines repeat.
+
+The bounded sample of labelled rows: about ``max_rows`` positives, chosen by hash of their id. Labels of other value are
+never read as negatives; a document is trusted only if all its labels are 1.
+
+Defined results: null and empty texts have zero features and get the score of such a text; very long texts are read whole;
+without trusted positives every score is a half; an empty table gives no rows; repeated rows get equal scores; extra
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -20,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import fold, wanted
-from crateforge.llm.toxicity import labelled_sample
+from crateforge.llm.common import fold, sampled, wanted
 
 # Classes of bytes; every byte not named is in the last class.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!?", "|", "#$%&*+=~^@", "()[]{}<>", "'\"`-_/\\"]
@@ -62,63 +66,93 @@ def features(texts: list[bytes]) -> np.ndarray:
     return np.hstack([np.sqrt(pair / by), np.sqrt(single / by), np.array([_repeats(t) for t in texts]).reshape(n, EXTRA)]).astype(np.float32)
 
 
-def _chunked(texts: list[bytes], limit: int = 2 << 20) -> np.ndarray:
-    out, part, size = [], [], 0
+def _parts(texts: list[bytes], limit: int = 2 << 20):
+    part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t)
         if size >= limit:
-            out.append(features(part))
+            yield part
             part, size = [], 0
-    if part or not out:
-        out.append(features(part))
-    return np.concatenate(out)
-
-
-class Network:
-    """One hidden layer, fitted to the non-negative positive-unlabelled risk with logistic loss."""
-
-    def __init__(self, width: int = WIDTH, hidden: int = 24, seed: int = 1):
-        draw = np.random.default_rng(seed)
-        self.mean, self.scale = np.zeros(width, np.float32), np.ones(width, np.float32)
-        self.w = [draw.standard_normal((width, hidden)).astype(np.float32) / np.sqrt(width), np.zeros(hidden, np.float32), draw.standard_normal(hidden).astype(np.float32) / np.sqrt(hidden), np.zeros(1, np.float32)]
-
-    def _forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.tanh(x @ self.w[0] + self.w[1])
-        return hidden, hidden @ self.w[2] + self.w[3]
-
-    def _backward(self, x: np.ndarray, hidden: np.ndarray, dz: np.ndarray) -> list[np.ndarray]:
-        dh = np.outer(dz, self.w[2]) * (1 - hidden * hidden)
-        return [x.T @ dh, dh.sum(axis=0), hidden.T @ dz, np.array([dz.sum()], np.float32)]
-
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.003, ridge: float = 1e-3, seed: int = 2) -> Network:
-        draw = np.random.default_rng(seed)
-        both = np.concatenate([positive, unlabelled])
-        self.mean, self.scale = both.mean(axis=0), 1 / (both.std(axis=0) + 0.02)
-        p, u = (positive - self.mean) * self.scale, (unlabelled - self.mean) * self.scale
-        first, second = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
-        logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        total = epochs * max(1, len(u) // batch)
-        for t in range(1, total + 1):
-            a, b = p[draw.integers(0, len(p), batch)], u[draw.integers(0, len(u), batch)]
-            (ha, za), (hb, zb) = self._forward(a), self._forward(b)
-            # as negatives, the loss is log(1 + e^z)
-            negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-            if negative >= 0:
-                da = prior * ((logistic(za) - 1) - logistic(za)) / len(a)
-                db = logistic(zb) / len(b)
-            else:  # the network has begun to fit the unlabelled rows: only the way back is taken
-                da, db = prior * logistic(za) / len(a), -logistic(zb) / len(b)
-            grads = [g + h + ridge * w for g, h, w in zip(self._backward(a, ha, da.astype(np.float32)), self._backward(b, hb, db.astype(np.float32)), self.w)]
-            pace = rate * (1 - 0.9 * t / total)
-            for k, g in enumerate(grads):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                self.w[k] = (self.w[k] - pace * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        return self
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._forward((x - self.mean) * self.scale)[1].astype(np.float64), -30, 30)))
+    if part:
+        yield part
+
+
+def _chunked(texts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros((0, WIDTH), np.float32), *(features(part) for part in _parts(texts))])
+
+
+class Moments:
+    """Number, mean and mean outer product of feature rows (a leading 1 included): all that the risk needs of them."""
+
+    def __init__(self, n: float, total: np.ndarray):
+        self.n = n
+        self.outer = total / max(n, 1)
+        self.mean = self.outer[0]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        x = with_one(x)
+        return cls(len(x), x.T @ x)
+
+    def as_negative(self, w: np.ndarray) -> float:
+        """Mean of (1 + z)^2 / 4, the squared loss of calling the rows negative."""
+        return float(1 + 2 * self.mean @ w + w @ self.outer @ w) / 4
+
+    def as_positive(self, w: np.ndarray) -> float:
+        return float(1 - 2 * self.mean @ w + w @ self.outer @ w) / 4
+
+
+def with_one(x: np.ndarray) -> np.ndarray:
+    return np.hstack([np.ones((len(x), 1)), x.astype(np.float64)])
+
+
+def risk(w: np.ndarray, positive: Moments, unlabelled: Moments, prior: float) -> tuple[float, float]:
+    """The positives' part, and the part of the unlabelled rows as negatives that positives do not explain."""
+    return prior * positive.as_positive(w), unlabelled.as_negative(w) - prior * positive.as_negative(w)
+
+
+def descend(positive: Moments, unlabelled: Moments, prior: float, ridge: float = 1e-4, rounds: int = 200, rate: float = 0.2) -> np.ndarray:
+    """Weights of least non-negative risk found: scaled gradient steps; while the second part is under zero, only the way back."""
+    width = len(positive.mean)
+    scale = np.linalg.inv(unlabelled.outer / 2 + ridge * np.eye(width))
+    w = scale @ (prior * positive.mean - unlabelled.mean / 2)  # least of the unbiased risk, where the second part may be negative
+    best, least = w, np.inf
+    for _ in range(rounds):
+        plus, minus = risk(w, positive, unlabelled, prior)
+        total = plus + max(0.0, minus) + ridge / 2 * float(w @ w)
+        if total < least:
+            best, least = w, total
+        back = (unlabelled.mean + unlabelled.outer @ w) / 2 - prior * (positive.mean + positive.outer @ w) / 2
+        g = prior * (positive.outer @ w - positive.mean) / 2 + back + ridge * w if minus >= 0 else -back
+        w = w - rate * scale @ g
+    return best
+
+
+#: z is twice the probability less one; this steepness gives score 0.3 where that probability is 0.3.
+STEEP = np.log(7 / 3) / 0.4
+
+
+def scores(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-STEEP * np.clip(with_one(x) @ w, -12, 12)))
+
+
+BINS = 2000
+
+
+def share_above(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Share of rows in each bin of the score or a higher one."""
+    full = np.bincount(places, counts, BINS)
+    return np.cumsum(full[::-1])[::-1] / max(1, full.sum())
+
+
+def estimate_prior(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int) -> float:
+    """Share of positives among the unlabelled rows, from the shares of both above each score: the least quotient of them, with room for chance."""
+    room = sum(np.sqrt(np.log(40) / 2 / max(n, 1)) for n in (n_positive, n_unlabelled))
+    enough = positive > 0.05
+    bound = np.where(enough, (unlabelled + 1.01 * room) / np.where(enough, positive, 1), np.inf)
+    k = int(np.argmin(bound))
+    return float(np.clip(unlabelled[k] / max(positive[k], 1e-9), 0.01, 0.99))
 
 
 def _features(batches):
@@ -133,24 +167,70 @@ def _matrix(df: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), WIDTH)
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 8_000) -> Network:
-    marks = labels.where((fold("doc_id", modulus) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    yes, every = marks.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count("*")).first()
-    prior = (yes + 1) / (every + 2)
-    net = Network()
-    if not yes:
-        net.w[2][:] = 0
-        return net
-    positive = _matrix(labelled_sample(docs, marks.where("quality = 1"), "quality", modulus, max_rows))
-    ids = docs.where("doc_id is not null and not held_out").select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(max_rows)
-    unlabelled = _matrix(docs.where("text is not null").join(F.broadcast(ids.distinct()), "doc_id"))
-    return net.fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else net
+def _moments(batches):
+    """A task's number of rows and sum of outer products."""
+    n, total = 0, np.zeros((WIDTH + 1, WIDTH + 1))
+    for batch in batches:
+        for part in _parts([t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]):
+            x = with_one(features(part))
+            n, total = n + len(x), total + x.T @ x
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
+
+
+def _added(batches):
+    """The sum of tasks' sums."""
+    n, total = 0, np.zeros((WIDTH + 1, WIDTH + 1))
+    for batch in batches:
+        for k, x in zip(batch.column("n").to_pylist(), batch.column("total").to_pylist()):
+            n, total = n + k, total + np.frombuffer(x).reshape(WIDTH + 1, WIDTH + 1)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
+
+
+def moments(docs: DataFrame, meet: int = 16) -> Moments:
+    """Of all rows of ``docs`` (text): tasks' sums meet in ``meet`` tasks, and those at the driver."""
+    rows = docs.select("text").mapInArrow(_moments, "n long, total binary").repartition(meet).mapInArrow(_added, "n long, total binary").collect()
+    return Moments(sum(r.n for r in rows), np.sum([np.frombuffer(r.total).reshape(WIDTH + 1, WIDTH + 1) for r in rows], axis=0) if rows else np.zeros((WIDTH + 1, WIDTH + 1)))
+
+
+def _histogram(sent):
+    def run(batches):
+        counts = np.zeros(BINS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_bins(scores(_chunked([t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]), sent.value)), minlength=BINS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bin", "n"])
+
+    return run
+
+
+def _bins(score: np.ndarray) -> np.ndarray:
+    return np.minimum((score * BINS).astype(np.int64), BINS - 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 8_000) -> tuple[np.ndarray, float]:
+    """Weights and estimated prior. Half of the trusted positives teach, the other half and all unlabelled rows tell the prior."""
+    spark = docs.sparkSession
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where((fold("doc_id", modulus) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    trusted = sampled(marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id"), max_rows)
+    rows = docs.where("text is not null").join(F.broadcast(trusted), "doc_id")
+    positive = _matrix(rows)
+    if len(positive) < 2:
+        return np.zeros(WIDTH + 1), 0.5
+    unlabelled = moments(docs.where("not held_out"))
+    taught, kept = Moments.of(positive[::2]), positive[1::2]
+    first = descend(taught, unlabelled, 0.5)
+    counted = docs.where("not held_out").select("text").mapInArrow(_histogram(spark.sparkContext.broadcast(first)), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    above = share_above(counted.column("bin").to_numpy(), counted.column("n").to_numpy())
+    prior = estimate_prior(share_above(_bins(scores(kept, first)), np.ones(len(kept))), len(kept), above, int(unlabelled.n))
+    return descend(Moments.of(positive), unlabelled, prior), prior
 
 
 def _score(sent, threshold: float):
     def run(batches):
         for batch in batches:
-            score = sent.value.score(_chunked([t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]))
+            score = scores(_chunked([t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -159,5 +239,5 @@ def _score(sent, threshold: float):
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, threshold: float = 0.3, max_rows: int = 8_000) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted."""
     docs = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", modulus) == 0).alias("held_out"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, modulus, max_rows))
-    return docs.mapInArrow(_score(sent, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    w, _ = fit(docs, labels, modulus, max_rows)
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(w), threshold), "doc_id long, held_out boolean, score double, predicted int")

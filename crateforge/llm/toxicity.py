@@ -1,45 +1,60 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: a fixed word list, phrase patterns, and seven induced lexicons (whole words and word
-beginnings of 3 to 8 letters) of terms that stand in toxic training rows more often than chance allows, each with its
-log likelihood ratio; such a voter votes by the sum over the distinct words that hit. A generative
-label model estimates each voter's accuracy and, from what its votes share with others' beyond the class, how much it
-counts; its posteriors are the labels that a linear classifier over voter strengths is trained on.
-
-The bounded sample: at most ``max_rows`` labelled rows, chosen by hash of their id, teach the lexicons and both models.
-All documents are scored.
-
-Defined results: null and empty texts have no hits and get the score of such a text; a null label teaches nothing;
-repeated rows get equal scores; without labels the fixed voters alone decide.
+Many voters look at each text: fixed word lists by family, phrase patterns by family, and induced lexicons. Those hold words and word beginnings of 3 to 8 letters that stand in toxic training rows more often than
+chance allows, each with its log likelihood ratio; a hash deals each kind into GROUPS lexicons, so that no two share a term.
+A voter says toxic, not toxic, or abstains.
+
+A generative label model estimates, without labels, each voter's accuracy and which voters hang together: within a class,
+votes follow a tree of dependences, in which each voter's vote depends on the class and on the voter it shares most with
+(conditional mutual information); expectation maximisation fits both. Its posteriors are the labels that a linear
+classifier over voter strengths is trained on.
+
+The bounded sample of labelled rows: about ``max_rows``, chosen by hash of their id, teach the lexicons and both models.
+Near copies would make the words of one text look frequent: of the sampled texts whose word pairs have the same least hash,
+under two hashes in turn, one teaches. All documents are scored, over their whole texts. Where labels disagree, of one doc_id or of equal texts, toxic wins.
+
+Defined results: null and empty texts have no hits and get the score of such a text; very long texts are read whole; a
+null label teaches nothing; without labelled texts the fixed word lists and phrases alone decide; an empty table gives no
+rows; repeated rows get equal scores; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import fold, stage, wanted
+from crateforge.llm.common import fold, sampled, stage, wanted
 
 WORD = re.compile(r"[^\W\d_]+")
-# Insults of the starting lexicon, and phrases.
-INSULTS = frozenset(
-    "idiot idiots moron morons stupid dumb loser losers trash garbage scum pathetic worthless disgusting clown clowns imbecile "
-    "cretin fool fools jerk creep freak pig pigs vermin filth filthy degenerate retard dimwit halfwit numbskull bastard bitch "
-    "asshole crap damn hell shit fuck fucking wanker twat slut whore".split()
-)
-PHRASES = re.compile(r"shut up|go to hell|drop dead|kill yourself|i hate you|hate you all|nobody likes you|you (?:are|'re) (?:a |an |such a |so )?(?:idiot|moron|stupid|loser|trash|scum|clown|pathetic|worthless|disgusting)", re.I)
-#: Every phrase has one of these words or an insult.
-STEMS = frozenset("shut hell dead kill hate nobody".split())
+# The starting word lists and phrases by family.
+LISTS = {
+    "insults": "idiot idiots moron morons stupid dumb loser losers clown clowns imbecile cretin fool fools jerk creep freak retard dimwit halfwit numbskull",
+    "contempt": "trash garbage scum pathetic worthless disgusting pig pigs vermin filth filthy degenerate",
+    "profanity": "bastard bitch asshole crap damn hell shit fuck fucking wanker twat slut whore",
+}
+PHRASES = {
+    "threats": r"go to hell|drop dead|kill yourself",
+    "dismissal": r"shut up|nobody likes you|get lost",
+    "hatred": r"i hate you|hate you all",
+    "address": r"you (?:are|'re) (?:a |an |such a |so )?(?:idiot|moron|stupid|loser|trash|scum|clown|pathetic|worthless|disgusting)",
+}
+#: Every phrase has one of these words or one of the lists.
+STEMS = frozenset("shut hell dead kill hate nobody lost".split())
 LENGTHS = (3, 4, 5, 6, 7, 8)
-#: Evidence (a sum of log likelihood ratios) from which an induced lexicon votes toxic.
-ENOUGH = 4.5
-VOTERS = ["fixed", "phrases", "words", *(f"start{k}" for k in LENGTHS)]
+GROUPS = 8
+#: Evidence (a sum of log likelihood ratios) from which an induced lexicon votes toxic; with less it abstains.
+ENOUGH = 4.0
+VOTERS = [*LISTS, *PHRASES, *(f"words{k}" for k in range(GROUPS)), *(f"starts{k}" for k in range(GROUPS))]
+FIXED = len(LISTS) + len(PHRASES)
+PATTERNS = [re.compile(p, re.I) for p in PHRASES.values()]
 
 
 def terms(text: str) -> set[str]:
@@ -50,18 +65,32 @@ def terms(text: str) -> set[str]:
 
 class Lexicons:
     def __init__(self, found: dict[str, float]):
-        self.words = {t[1:]: w for t, w in found.items() if t[0] == "w"}
-        self.starts = [{t[1:]: w for t, w in found.items() if t[0] == str(k)} for k in LENGTHS]
+        self.lists: dict[str, int] = {w: i for i, words in enumerate(LISTS.values()) for w in words.split()}
+        self.found = {t: (FIXED + (t[0] != "w") * GROUPS + zlib.crc32(t.encode()) % GROUPS, w) for t, w in found.items()}
+        self.known: dict[str, tuple] = {}
+
+    def _of(self, word: str) -> tuple:
+        """(voter, strength) of every term that the word is or begins with."""
+        got = tuple(x for t in ("w" + word, *(f"{k}{word[:k]}" for k in LENGTHS if len(word) >= k)) if (x := self.found.get(t)))
+        if word in self.lists:
+            got += ((self.lists[word], 1.0),)
+        if len(self.known) > 200_000:  # words seen so far, to be looked up once
+            self.known.clear()
+        self.known[word] = got
+        return got
 
     def hits(self, text: str) -> list[float]:
-        """Hits of the fixed voters, evidence of the induced ones, and the number of words."""
+        """Strength of each voter, and the number of words."""
         words = WORD.findall(text.lower())
-        count = Counter(words)
-        fixed = sum(count[w] for w in INSULTS & count.keys())
-        phrases = len(PHRASES.findall(text)) if fixed or not STEMS.isdisjoint(count) else 0
-        learned = sum(self.words[w] for w in self.words.keys() & count.keys())
-        starts = [sum(lexicon[w[:k]] for w in count if w[:k] in lexicon) if lexicon else 0.0 for k, lexicon in zip(LENGTHS, self.starts)]
-        return [float(fixed), float(phrases), float(learned), *map(float, starts), float(len(words))]
+        strength, known, fixed = [0.0] * len(VOTERS), self.known, False
+        distinct = set(words)
+        for w in distinct:
+            for voter, x in known[w] if w in known else self._of(w):
+                strength[voter] += x
+        if any(strength[: len(LISTS)]) or not STEMS.isdisjoint(distinct):
+            for i, pattern in enumerate(PATTERNS):
+                strength[len(LISTS) + i] = float(len(pattern.findall(text)))
+        return [*strength, float(len(words))]
 
 
 def _count_terms(most: int = 300_000):
@@ -106,53 +135,84 @@ def induce(sample: DataFrame, n_toxic: int, n_clean: int, max_terms: int = 20_00
 
 
 def votes(hits: np.ndarray) -> np.ndarray:
-    """1 for a hit or enough evidence; -1 without, but phrases then abstain."""
-    v = np.where(hits[:, : len(VOTERS)] >= np.array([1, 1, *[ENOUGH] * (len(VOTERS) - 2)]), 1, -1)
-    v[:, 1] = np.where(v[:, 1] > 0, 1, 0)
+    """1 for a hit or enough evidence. Without: word lists say -1; induced lexicons say -1 without any evidence and else abstain; patterns abstain."""
+    h = hits[:, : len(VOTERS)]
+    v = np.where(h >= np.array([1.0] * FIXED + [ENOUGH] * (len(VOTERS) - FIXED)), 1, np.where(h > 0, 0, -1))
+    v[:, len(LISTS) : FIXED] = np.maximum(v[:, len(LISTS) : FIXED], 0)
     return v
 
 
 class LabelModel:
-    """Two classes; each voter votes by class-conditional shares, weighted down by the correlation it has with others within the classes."""
+    """Two classes; within each, votes form a tree: parent[j] is the voter that j depends on besides the class, -1 for none."""
 
-    def fit(self, v: np.ndarray, rounds: int = 60) -> LabelModel:
+    def fit(self, v: np.ndarray, rounds: int = 80, weight: float = 4.0, least: float = 0.01) -> LabelModel:
         n, m = v.shape
+        one_hot = (v[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(np.float64)
         post = np.clip((v > 0).sum(axis=1) / 2.0, 0.02, 0.98)
-        self.weight = np.ones(m)
         for k in range(rounds):
-            self.prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-            self.share = {}
-            for y, p in ((0, 1 - post), (1, post)):
-                self.share[y] = np.stack([(p[:, None] * (v == x)).sum(axis=0) + 1 for x in (-1, 0, 1)]) / (p.sum() + 3)
-            if k % 10 == 0 and n > 10:
-                self.weight = 1 / (1 + self._shared(v, post))
+            self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
+            joint = [((one_hot * p[:, None]).T @ one_hot).reshape(m, 3, m, 3) for p in (1 - post, post)]
+            self.share = [(np.einsum("jaja->ja", j) + 1) / (p.sum() + 3) for j, p in zip(joint, (1 - post, post))]
+            if not k:
+                self.parent = [-1] * m  # first the classes, by voters as if independent; then what hangs together within them
+            elif k >= 10 and k % 5 == 0:
+                self.parent, self.information = self._tree(joint, n, least)
+            self.table = [self._tables(j, s, weight) for j, s in zip(joint, self.share)]
             post = self.posterior(v)
-        self.accuracy = self.prior * self.share[1][2] + (1 - self.prior) * self.share[0][0]
+        self.accuracy = self.prior * self.share[1][:, 2] + (1 - self.prior) * self.share[0][:, 0]
         return self
 
-    def _shared(self, v: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """Sum over the other voters of the absolute correlation that remains within the classes."""
-        a = (v > 0).astype(np.float64)
-        mean = post[:, None] * self.share[1][2] + (1 - post[:, None]) * self.share[0][2]
-        rest = a - mean
-        cov = rest.T @ rest / len(v)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-        self.correlation = np.clip(cov / np.outer(sd, sd), -1, 1)
-        return np.abs(self.correlation).sum(axis=1) - np.abs(np.diag(self.correlation))
+    @staticmethod
+    def _tree(joint: list[np.ndarray], n: int, least: float) -> tuple[list[int], np.ndarray]:
+        """Parents in the tree of greatest conditional mutual information; links under ``least`` are none."""
+        m = len(joint[0])
+        shared = np.zeros((m, m))
+        for j in joint:
+            p = j / n
+            alone = np.einsum("jaja->ja", p)
+            whole = max(alone[0].sum(), 1e-12)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shared += np.nansum(np.where(p > 0, p * np.log(p * whole / (alone[:, :, None, None] * alone[None, None])), 0), axis=(1, 3))
+        parent, reach = [-1] * m, [(-1.0, -1)] * m
+        left, now = set(range(1, m)), 0
+        while left:
+            for j in left:
+                if shared[now, j] > reach[j][0]:
+                    reach[j] = (shared[now, j], now)
+            now = max(left, key=lambda j: (reach[j][0], -j))
+            left.discard(now)
+            parent[now] = reach[now][1] if reach[now][0] >= least else -1
+        return parent, shared
+
+    def _tables(self, joint: np.ndarray, share: np.ndarray, weight: float) -> list[np.ndarray]:
+        """Probability of each voter's vote (columns) after its parent's (rows), drawn to its own share."""
+        found = []
+        for j, p in enumerate(self.parent):
+            counts = joint[p, :, j, :] if p >= 0 else np.zeros((3, 3))
+            found.append((counts + weight * share[j]) / (counts.sum(axis=1, keepdims=True) + weight))
+        return found
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         z = np.full(len(v), math.log(self.prior / (1 - self.prior)))
-        for j in range(v.shape[1]):
-            ratio = np.log(self.share[1][:, j] / self.share[0][:, j])
-            z += self.weight[j] * ratio[v[:, j] + 1]
+        for j, p in enumerate(self.parent):
+            above = v[:, p] + 1 if p >= 0 else 0
+            z += np.log(self.table[1][j] / self.table[0][j])[above, v[:, j] + 1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def features(hits: np.ndarray) -> np.ndarray:
-    """Of each voter: whether it votes toxic, how strongly, and how densely."""
+    """Of each voter: whether it votes toxic, how strongly, and how densely; and of the induced ones together."""
     h = hits[:, : len(VOTERS)].astype(np.float64)
     words = np.maximum(hits[:, -1:], 1)
-    return np.hstack([votes(hits) > 0, np.log1p(h), np.minimum(1, 10 * h / words), np.ones((len(h), 1))])
+    both = np.stack([h[:, FIXED : FIXED + GROUPS].sum(axis=1), h[:, FIXED + GROUPS :].sum(axis=1)], axis=1)
+    return np.hstack([votes(hits) > 0, np.log1p(h), np.minimum(1, 10 * h / words), np.log1p(both), np.minimum(1, 10 * both / words), np.ones((len(h), 1))])
+
+
+def unlearned() -> np.ndarray:
+    """Weights without a sample: a hit of a fixed list or phrase is toxic."""
+    w = np.zeros(features(np.zeros((1, len(VOTERS) + 1))).shape[1])
+    w[:FIXED], w[-1] = 4.0, -2.0
+    return w
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -182,7 +242,7 @@ def _score(sent):
     def run(batches):
         lexicons, w = sent.value
         for batch in batches:
-            hits = np.array([lexicons.hits(t.as_py() or "") for t in batch.column("text")], np.float64).reshape(-1, len(VOTERS) + 1)
+            hits = np.array([lexicons.hits(t.as_py() or "") for t in batch.column("text")]).reshape(-1, len(VOTERS) + 1)
             score = 1 / (1 + np.exp(-np.clip(features(hits) @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(hits[:, :-1].tolist(), pa.list_(pa.float64()))], names=["doc_id", "held_out", "score", "predicted", "hits"])
 
@@ -190,22 +250,42 @@ def _score(sent):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, max_rows: int) -> DataFrame:
-    """doc_id, text and label of at most ``max_rows`` rows outside the held-out fold, equal texts once."""
+    """text and label of about ``max_rows`` labelled doc_ids outside the held-out fold, equal texts once; where labels disagree the greatest holds."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias(column)).where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != 0))
-    marks = marks.groupBy("doc_id").agg(F.max(column).alias(column)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    marks = sampled(marks.groupBy("doc_id").agg(F.max(column).alias(column)), max_rows)
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marks), "doc_id")
-    return stage(found.dropDuplicates(["text"]))[0]
+    return stage(found.groupBy("text").agg(F.max(column).alias(column)))[0]
+
+
+def _families(batches):
+    """Rows (text, toxic, a, b): the least hash of the text's word pairs under either seed."""
+    for batch in batches:
+        keys: tuple[list, list] = ([], [])
+        for text in batch.column("text").to_pylist():
+            words = text.lower().split()
+            pairs = {f"{x} {y}".encode() for x, y in zip(words, words[1:])} or {" ".join(words).encode()}
+            for seed, out in zip((1, 2), keys):
+                out.append(min(xxhash.xxh64_intdigest(p, seed) for p in pairs) >> 1)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text", "toxic")), *(pa.array(k, pa.int64()) for k in keys)], names=["text", "toxic", "a", "b"])
+
+
+def one_of_each_family(sample: DataFrame) -> DataFrame:
+    """(text, toxic) of one text of each family of near copies."""
+    rows = sample.select("text", "toxic").mapInArrow(_families, "text string, toxic int, a long, b long")
+    for key in ("a", "b"):
+        rows = rows.groupBy(key).agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", *[c for c in ("a", "b") if c != key])).alias("one")).select("one.*", "toxic", key)
+    return stage(rows.select("text", "toxic"))[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 20_000) -> tuple[Lexicons, np.ndarray, LabelModel]:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 20_000) -> tuple[Lexicons, np.ndarray, LabelModel | None]:
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, "toxic", modulus, max_rows)
+    sample = one_of_each_family(labelled_sample(docs, labels, "toxic", modulus, max_rows))
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     lexicons = Lexicons(induce(sample, counts.get(1, 0), counts.get(0, 0)))
+    if not counts:
+        return lexicons, unlearned(), None
     rows = sample.select("text").mapInArrow(_hits(spark.sparkContext.broadcast(lexicons)), "hits array<double>").collect()
-    none = [0.0] * len(VOTERS) + [50.0]
-    seen = [none, [3.0, 1.0, *[9.0] * (len(VOTERS) - 2), 50.0]]  # one clear case of each class, so that either is known
-    hits = np.array(sorted(r.hits for r in rows) + seen)
+    hits = np.array(sorted(r.hits for r in rows))
     v = votes(hits)
     model = LabelModel().fit(v)
     return lexicons, logistic(features(hits), model.posterior(v)), model

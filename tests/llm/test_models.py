@@ -256,6 +256,69 @@ def test_classifiers(spark, module, column, cut):
     assert module(docs, labels.limit(0)).count() == docs.count() and module(docs.limit(0), labels).count() == 0
 
 
+def test_label_model_finds_accuracies_and_correlations():
+    """Planted voters: accuracies known, two that copy each other; no labels are given."""
+    draw = np.random.default_rng(7)
+    y = draw.random(6000) < 0.25
+    accuracy = [0.95, 0.9, 0.85, 0.9, 0.8]
+    v = np.stack([np.where(draw.random(len(y)) < a, np.where(y, 1, -1), np.where(y, -1, 1)) for a in accuracy], axis=1)
+    v = np.hstack([v, np.where(draw.random((len(y), 1)) < 0.95, v[:, 4:5], -v[:, 4:5])])  # the sixth follows the fifth
+    model = toxicity.LabelModel().fit(v)
+    assert np.abs(model.accuracy[:5] - accuracy).max() < 0.1 and abs(model.prior - 0.25) < 0.1
+    assert model.parent[5] == 4 or model.parent[4] == 5
+    assert ((model.posterior(v) >= 0.5) == y).mean() > 0.92
+
+
+def test_posterior_equals_plain_tree():
+    draw = np.random.default_rng(2)
+    v = draw.integers(-1, 2, (200, 4))
+    model = toxicity.LabelModel().fit(v, rounds=7)
+    for row, got in zip(v[:20], model.posterior(v[:20])):
+        odds = [1 - model.prior, model.prior]
+        for c in (0, 1):
+            for j, p in enumerate(model.parent):
+                odds[c] *= model.table[c][j][row[p] + 1 if p >= 0 else 0][row[j] + 1]
+        assert abs(odds[1] / sum(odds) - got) < 1e-9
+
+
+def test_families_and_conflicting_labels(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " more"), (4, "quite another text"), (6, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 0), (4, 0), (6, None)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "toxic", 10**6, 100)
+    assert {(r.text, r.toxic) for r in sample.collect()} == {(text, 1), (text + " more", 0), ("quite another text", 0)}
+    assert sorted(r.toxic for r in toxicity.one_of_each_family(sample).collect()) == [0, 1]
+
+
+def test_positive_unlabelled_risk():
+    """Moments give the plain risk; steps go down, and back while the second part is under zero."""
+    draw = np.random.default_rng(4)
+    p, u = draw.normal(1, 1, (40, 3)), np.concatenate([draw.normal(1, 1, (60, 3)), draw.normal(-1, 1, (60, 3))])
+    w = draw.normal(0, 0.3, 4)
+    z = lambda x: 1 * w[0] + x @ w[1:]
+    got = quality.risk(w, quality.Moments.of(p), quality.Moments.of(u), 0.4)
+    want = 0.4 * ((1 - z(p)) ** 2 / 4).mean(), ((1 + z(u)) ** 2 / 4).mean() - 0.4 * ((1 + z(p)) ** 2 / 4).mean()
+    assert np.allclose(got, want)
+    for prior in (0.5, 0.95):  # the second prior is far too high: the second part falls under zero without the way back
+        a, b = quality.Moments.of(p), quality.Moments.of(u)
+        unbiased = np.linalg.solve(b.outer / 2 + 1e-4 * np.eye(4), prior * a.mean - b.mean / 2)
+        found = quality.descend(a, b, prior)
+        total = lambda x: quality.risk(x, a, b, prior)[0] + max(0, quality.risk(x, a, b, prior)[1])
+        near = [total(found + s * e) for s in (-0.02, 0.02) for e in np.eye(4)]
+        assert total(found) <= total(unbiased) + 1e-9 and total(found) <= min(near) + 2e-3
+    assert quality.risk(unbiased, a, b, 0.95)[1] < 0
+
+
+def test_estimated_prior():
+    draw = np.random.default_rng(6)
+    for share in (0.2, 0.6):
+        n = 20_000
+        mixed = np.where(draw.random(n) < share, draw.normal(1, 1, n), draw.normal(-1.5, 1, n))
+        bins = lambda x: quality._bins(1 / (1 + np.exp(-x)))
+        got = quality.estimate_prior(quality.share_above(bins(draw.normal(1, 1, 5000)), np.ones(5000)), 5000, quality.share_above(bins(mixed), np.ones(n)), n)
+        assert abs(got - share) < 0.07, (share, got)
+
+
 # -- similarity and pipeline -------------------------------------------------------------------------------------
 
 
