@@ -72,7 +72,7 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 class Encoder:
     """Ids of texts through a cache of words, of which those used once are dropped when it holds ``most``."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -158,7 +158,7 @@ class Encoder:
 ENCODERS: dict[str, Encoder] = {}
 
 
-def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool, chunk: int = 4 << 20):
+def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool, chunk: int = 1 << 20):
     def run(batches):
         if path not in ENCODERS:
             ENCODERS[path] = Encoder(path)

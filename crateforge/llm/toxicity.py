@@ -74,7 +74,7 @@ class Lexicons:
         got = tuple(x for t in ("w" + word, *(f"{k}{word[:k]}" for k in LENGTHS if len(word) >= k)) if (x := self.found.get(t)))
         if word in self.lists:
             got += ((self.lists[word], 1.0),)
-        if len(self.known) > 200_000:  # words seen so far, to be looked up once
+        if len(self.known) > 50_000:  # words seen so far, to be looked up once
             self.known.clear()
         self.known[word] = got
         return got
