@@ -58,11 +58,18 @@ def _matrix(table: pa.Table | pa.RecordBatch, id_col: str, vec: str) -> tuple[np
     return ids, np.array(values, np.float64).reshape(len(ids), -1)
 
 
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows that can be compared: an id, and a vector without nulls in it; the others neither ask nor are found."""
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+
+
 def knn_block(vectors: DataFrame, k: int = 5, slider: float = 1.0, audio: int = 13, queries: DataFrame | None = None, block: int = 4096, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """All k nearest of every query among ``vectors`` (vec_id, embedding)."""
-    base = vectors.where("vec_id is not null and embedding is not null").select("vec_id", weighted("embedding", slider, audio).alias("v"))
-    asked = base if queries is None else queries.where("vec_id is not null and embedding is not null").select("vec_id", weighted("embedding", slider, audio).alias("v"))
-    rows, width = base.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    """All k nearest of every query among ``vectors`` (vec_id, embedding), of those as long as the longest; shorter ones are left out."""
+    base = usable(vectors).select("vec_id", weighted("embedding", slider, audio).alias("v"))
+    width = base.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    base = base.where(F.size("v") == width)
+    asked = base if queries is None else usable(queries).select("vec_id", weighted("embedding", slider, audio).alias("v")).where(F.size("v") == width)
+    rows = base.count()
     if not rows:
         return vectors.sparkSession.createDataFrame([], SCHEMA)
     if rows * width * 8 <= limit:

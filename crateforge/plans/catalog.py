@@ -20,7 +20,8 @@ def cents(c: str) -> Column:
 
 
 def mean(c: str) -> Column:
-    return F.sum(cents(c)) / (F.count("*") * F.lit(100.0))
+    """Over the tracks that have the feature; null if none has."""
+    return F.try_divide(F.sum(cents(c)), F.count(c) * F.lit(100.0))
 
 
 def artist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +39,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per album with tracks: means of its tracks' features, whatever their number."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("album_id")).agg(
         mean("l_quantity").alias("instrumentalness"), mean("l_discount").alias("speechiness"), (F.sum(cents("l_extendedprice")) / F.lit(100.0)).alias("duration_ms"),
-        mean("l_tax").alias("loudness"), mean("l_extendedprice").alias("tempo"), (F.sum("l_linenumber") / F.count("*")).alias("key"),
-        (F.count_if(F.col("l_returnflag") == "N") / F.count("*")).alias("mode"),
+        mean("l_tax").alias("loudness"), mean("l_extendedprice").alias("tempo"), F.avg("l_linenumber").alias("key"),
+        F.try_divide(F.count_if(F.col("l_returnflag") == "N"), F.count("l_returnflag")).alias("mode"),
     )
 
 
@@ -66,8 +67,10 @@ def album_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("album_id", "descriptor_id", weight(F.col("pos")).alias("weighting"))
 
 
-def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = knn.knn_block(table(spark, sf_dir, "embeddings"), k=5)
+def recommendation(spark: SparkSession, sf_dir: str, album_id: int | None = None) -> DataFrame:
+    """Edges of every album, or of the one that is asked for: only its vector is then held against the others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = knn.knn_block(vectors, k=5, queries=None if album_id is None else vectors.where(F.col("vec_id") == album_id))
     return found.select(F.col("query_id").alias("album_id"), F.col("neighbour_id").alias("recommended_id"), "rank", F.round("distance", 4).alias("score"))
 
 
@@ -75,10 +78,10 @@ def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "artist": "select c_custkey artist_id, c_name as name from customer",
     "album": "select o_orderkey album_id, 'Order#' || o_orderkey title, o_custkey artist_id, nullif(o_orderstatus, 'P') uri from orders",
-    "features": """select l_orderkey album_id, sum(cast(round(l_quantity * 100) as bigint)) / (count(*) * 100.0) instrumentalness,
-        sum(cast(round(l_discount * 100) as bigint)) / (count(*) * 100.0) speechiness, sum(cast(round(l_extendedprice * 100) as bigint)) / 100.0 duration_ms,
-        sum(cast(round(l_tax * 100) as bigint)) / (count(*) * 100.0) loudness, sum(cast(round(l_extendedprice * 100) as bigint)) / (count(*) * 100.0) tempo,
-        cast(sum(l_linenumber) as double) / count(*) as key, cast(count(*) filter (l_returnflag = 'N') as double) / count(*) as mode from lineitem group by l_orderkey""",
+    "features": """select l_orderkey album_id, sum(cast(round(l_quantity * 100) as bigint)) / (count(l_quantity) * 100.0) instrumentalness,
+        sum(cast(round(l_discount * 100) as bigint)) / (count(l_discount) * 100.0) speechiness, sum(cast(round(l_extendedprice * 100) as bigint)) / 100.0 duration_ms,
+        sum(cast(round(l_tax * 100) as bigint)) / (count(l_tax) * 100.0) loudness, sum(cast(round(l_extendedprice * 100) as bigint)) / (count(l_extendedprice) * 100.0) tempo,
+        avg(l_linenumber) as key, cast(count(*) filter (l_returnflag = 'N') as double) / count(l_returnflag) as mode from lineitem group by l_orderkey""",
     "descriptor": "select cast(row_number() over (order by p_name) as bigint) descriptor_id, p_name as name from (select distinct p_name from part)",
     "descriptor_list": """select album_id, name, row_number() over (partition by album_id order by line, name) - 1 pos from
         (select l_orderkey album_id, p_name as name, min(l_linenumber) line from lineitem join part on l_partkey = p_partkey group by all)""",

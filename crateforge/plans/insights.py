@@ -12,12 +12,6 @@ from crateforge.plans.registry import query
 ARTIST, ALBUM = "Customer#000000007", 7
 
 
-def _above(frame: DataFrame, *columns: str) -> DataFrame:
-    """Rows above the population's average in every column: one pass for all averages, joined as a single row."""
-    means = frame.agg(*[F.avg(x).alias(f"avg_{x}") for x in columns])
-    return frame.join(F.broadcast(means), [F.col(x) > F.col(f"avg_{x}") for x in columns])
-
-
 @query("select album_id, title from @album join @features using (album_id) where instrumentalness > (select avg(instrumentalness) from @features) and speechiness < (select avg(speechiness) from @features)")
 def q01(spark: SparkSession, d: str) -> DataFrame:
     f = c.features(spark, d)
@@ -37,14 +31,15 @@ def q03(spark: SparkSession, d: str) -> DataFrame:
     return c.artist(spark, d).join(albums, "artist_id").groupBy("name").agg(F.sum("count").alias("number_of_albums")).orderBy(F.desc("number_of_albums"), "name").limit(1)
 
 
-@query("select distinct name from @artist join @album using (artist_id) join @features using (album_id) group by artist_id, name having min(instrumentalness) > 5 and min(mode) > 0")
+@query("select distinct name from @artist join @album using (artist_id) join @features using (album_id) group by name having min(instrumentalness) > 5 and min(mode) > 0")
 def q04(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.album(spark, d).join(c.features(spark, d), "album_id").groupBy("artist_id").agg(F.min("instrumentalness").alias("i"), F.min("mode").alias("m")).where("i > 5 and m > 0")
-    return c.artist(spark, d).join(rows, "artist_id").select("name").distinct()
+    """By name: artists of one name are one."""
+    rows = c.album(spark, d).join(c.features(spark, d), "album_id").groupBy("artist_id").agg(F.min("instrumentalness").alias("i"), F.min("mode").alias("m"))
+    return c.artist(spark, d).join(rows, "artist_id").groupBy("name").agg(F.min("i").alias("i"), F.min("m").alias("m")).where("i > 5 and m > 0").select("name")
 
 
 def _recommended(spark: SparkSession, d: str) -> DataFrame:
-    return c.recommendation(spark, d).where(F.col("album_id") == ALBUM).join(c.album(spark, d).select(F.col("album_id").alias("recommended_id"), "title"), "recommended_id")
+    return c.recommendation(spark, d, ALBUM).join(c.album(spark, d).select(F.col("album_id").alias("recommended_id"), "title"), "recommended_id")
 
 
 @query(f"select recommended_id, title, score from @recommendation r join (select album_id recommended_id, title from @album) using (recommended_id) where r.album_id = {ALBUM}")
@@ -116,10 +111,10 @@ def q12_near(spark: SparkSession, d: str) -> DataFrame:
     return c.album(spark, d).join(c.features(spark, d).where("abs(mode - 0.57575756D) < 1e-1 and abs(key - 3) < 1e-6"), "album_id").select("album_id", "title")
 
 
-@query("select name from @artist join @album using (artist_id) group by artist_id, name having count(*) = 1")
+@query("select name from @artist join @album using (artist_id) group by name having count(*) = 1")
 def q13(spark: SparkSession, d: str) -> DataFrame:
-    one = c.album(spark, d).groupBy("artist_id").count().where("count = 1")
-    return c.artist(spark, d).join(one, "artist_id").select("name")
+    """By name: artists of one name with an album each have two."""
+    return q10(spark, d).where("album_count = 1").select("name")
 
 
 @query("select name, count(album_id) usage_count from @descriptor join @album_descriptor using (descriptor_id) group by name order by 2 desc, 1 limit 10")
@@ -128,9 +123,12 @@ def q14(spark: SparkSession, d: str) -> DataFrame:
     return c.descriptor(spark, d).join(used, "descriptor_id").orderBy(F.desc("usage_count"), "name").limit(10).select("name", "usage_count")
 
 
-@query("select album_id, title from @album join @features using (album_id) where loudness > (select avg(loudness) from @features) and tempo > (select avg(tempo) from @features)")
+@query("select album_id, title from @album join @features using (album_id) where loudness > (select avg(loudness) from @features) and tempo < (select avg(tempo) from @features)")
 def q15(spark: SparkSession, d: str) -> DataFrame:
-    return c.album(spark, d).join(_above(c.features(spark, d), "loudness", "tempo"), "album_id").select("album_id", "title")
+    """Above the average in one feature and below it in another: one pass for both averages, joined as a single row."""
+    f = c.features(spark, d)
+    means = f.agg(F.avg("loudness").alias("l"), F.avg("tempo").alias("t"))
+    return c.album(spark, d).join(f.join(F.broadcast(means), (F.col("loudness") > F.col("l")) & (F.col("tempo") < F.col("t"))), "album_id").select("album_id", "title")
 
 
 def _edges_by(spark: SparkSession, d: str, side: str) -> DataFrame:

@@ -31,14 +31,14 @@ def knn_tiled(spark: SparkSession, d: str) -> DataFrame:
 
 SLID = """select query_id, neighbour_id, cast(rank as int) as rank, round(distance, 4) distance from (select *, row_number() over (partition by query_id order by distance, neighbour_id) as rank from
   (select a.vec_id query_id, b.vec_id neighbour_id, sqrt(list_sum(list_transform(range(1, 14), lambda i: pow(a.e[i] - b.e[i], 2))) + list_sum(list_transform(range(14, 65), lambda i: pow((a.e[i] - b.e[i]) / 0.125, 2)))) distance
-   from (select vec_id, cast(embedding as double[]) e from embeddings where vec_id < 50) a join (select vec_id, cast(embedding as double[]) e from embeddings) b on a.vec_id <> b.vec_id)) where rank <= 5"""
+   from (select vec_id, cast(embedding as double[]) e from embeddings where vec_id % 20 = 0) a join (select vec_id, cast(embedding as double[]) e from embeddings) b on a.vec_id <> b.vec_id)) where rank <= 5"""
 
 
 @query(SLID)
 def slider_knn(spark: SparkSession, d: str) -> DataFrame:
-    """A stated set of queries (the first 50 rows) at slider 0.5, so that the mood dimensions weigh eightfold."""
+    """A stated set of queries (every row whose id is divisible by 20) at slider 0.5, so that the mood dimensions weigh eightfold."""
     vectors = table(spark, d, "embeddings")
-    return knn.knn_block(vectors, 5, slider=0.5, queries=vectors.where("vec_id < 50")).withColumn("distance", F.round("distance", 4))
+    return knn.knn_block(vectors, 5, slider=0.5, queries=vectors.where("vec_id % 20 = 0")).withColumn("distance", F.round("distance", 4))
 
 
 @query()
@@ -175,10 +175,11 @@ PLACED = f"select album_id, name, max(pos) pos from ({LISTS}) group by all"
 
 
 @query(f"""select l.album_id, l.n descriptor_count, cast(round(coalesce(v.total, 0) * 1e6) as bigint) total, coalesce(v.n, 0) filled from (select l_orderkey album_id, cast(count(*) as int) n from lineitem group by 1) l
-  left join (select album_id, sum((63 - pos) / 42.0) total, count(*) n from ({PLACED}) join (select * from @descriptor where descriptor_id <= 40) using (name) group by 1) v using (album_id)""")
+  left join (select album_id, sum((63 - pos) / 42.0) total, count(*) n from ({PLACED}) join (select * from @descriptor where descriptor_id % 2 = 1) using (name) group by 1) v using (album_id)""")
 def desc_vector(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors over the first 40 names, so that some names are outside the vocabulary; compared by count, sum and filled places."""
-    v = encode.encode(_lists(spark, d), c.descriptor(spark, d).where("descriptor_id <= 40"))
+    """Vectors over every second name, so that some names are outside the vocabulary; compared by count, sum and filled places."""
+    vocabulary = c.descriptor(spark, d).where("descriptor_id % 2 = 1").withColumn("descriptor_id", (F.col("descriptor_id") + 1) / 2)
+    v = encode.encode(_lists(spark, d), vocabulary.withColumn("descriptor_id", F.col("descriptor_id").cast("long")))
     total = F.aggregate("mood", F.lit(0.0), lambda s, x: s + x)
     return v.select("album_id", "descriptor_count", F.round(total * 1e6).cast("long").alias("total"), F.size(F.filter("mood", lambda x: x > 0)).cast("long").alias("filled"))
 
@@ -359,15 +360,9 @@ def artist_infos(spark: SparkSession, d: str) -> DataFrame:
     return html.records(table(spark, d, "pages"), {"name": ("h1", None), "footer": ("footer", None), "advert": ("div", "ad")}).select("page_id", F.to_json("info").alias("info"))
 
 
-@query("select page_id, cast(i as int) as rank, m[i] as href from (select page_id, unnest(range(1, len(m) + 1)) i, m from (select page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1) m from pages where page_id <= 20))")
+@query("select page_id, cast(i as int) as rank, m[i] as href from (select page_id, unnest(range(1, len(m) + 1)) i, m from (select page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1) m from pages))")
 def chart_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Links of the pages up to a cap, ranked by place."""
-    return html.listing(table(spark, d, "pages"), "a", max_page=20).where(F.col("attrs").getItem("href").isNotNull()).select("page_id", F.col("rank").cast("int").alias("rank"), F.col("attrs").getItem("href").alias("href"))
-
-
-@query()
-def chart_rows_every(spark: SparkSession, d: str) -> DataFrame:
-    """The links of all pages."""
+    """Links of all pages, ranked by place."""
     return html.listing(table(spark, d, "pages"), "a").where(F.col("attrs").getItem("href").isNotNull()).select("page_id", F.col("rank").cast("int").alias("rank"), F.col("attrs").getItem("href").alias("href"))
 
 
@@ -434,7 +429,7 @@ def list_tables(spark: SparkSession, d: str) -> DataFrame:
 @query("select count(*) n_results from @recommendation where album_id = 7")
 def api_response(spark: SparkSession, d: str) -> DataFrame:
     """A recommendation as the JSON body of a response, read back."""
-    rows = c.recommendation(spark, d).where("album_id = 7").withColumn("cover", F.coalesce(F.try_element_at(F.array().cast("array<string>"), F.lit(1)), F.lit("n/a")))
+    rows = c.recommendation(spark, d, 7).withColumn("cover", F.coalesce(F.try_element_at(F.array().cast("array<string>"), F.lit(1)), F.lit("n/a")))
     body = io.json_response(rows, ["rank"])
     parsed = F.from_json("body", "results array<struct<album_id:long,recommended_id:long,rank:int,score:double,cover:string>>")
     return body.select(F.size(parsed.getField("results")).cast("long").alias("n_results"))

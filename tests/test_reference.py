@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from crateforge.functions import fuzzy, html, text
 from crateforge.operators import encode, features, knn, loader
-from crateforge.plans import insights, pipelines  # noqa: F401
+from crateforge.operators.ranges import numbered
+from crateforge.plans import catalog, insights, pipelines  # noqa: F401
 from crateforge.plans.registry import ORACLE_SQL, QUERIES
 from crateforge.sources import io
 from crateforge.streaming import timeline
@@ -197,8 +198,47 @@ def test_timelines(spark):
     assert sum(r.n for r in timeline.hopping(events).collect()) == 6
 
 
-def test_every_vector_asks_and_every_page_is_read(spark):
+def test_stated_vectors_ask_and_every_page_is_read(spark):
     every, some = (QUERIES[n](spark, SF).collect() for n in ("slider_knn_every", "slider_knn"))
-    assert {r.query_id for r in every} == {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()} and set(some) < set(every)
-    pages, first = (QUERIES[n](spark, SF).collect() for n in ("chart_rows_every", "chart_rows"))
-    assert max(r.page_id for r in pages) > 20 and set(first) == {r for r in pages if r.page_id <= 20}
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    assert {r.query_id for r in every} == ids and set(some) < set(every) and {r.query_id for r in some} == {i for i in ids if i % 20 == 0}
+    assert max(r.page_id for r in QUERIES["chart_rows"](spark, SF).collect()) > 20
+
+
+def star(spark, path):
+    """A small star: two artists of one name with an album each, and tracks with nulls."""
+    spark.createDataFrame([(1, "same"), (2, "same"), (3, "one"), (4, "none")], "c_custkey long, c_name string").write.parquet(f"{path}/customer.parquet")
+    orders = [(10, 1, "O"), (20, 2, "P"), (30, 3, "F")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{path}/orders.parquet")
+    tracks = [(10, 1, 4.0, 0.1, 8.0, 0.2, "N"), (10, 2, None, 0.3, 6.0, None, None), (20, 1, 9.0, 0.1, 2.0, 0.1, "N"), (30, None, None, None, None, None, None)]
+    spark.createDataFrame(tracks, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double, l_tax double, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_null_tracks_and_artists_of_one_name(spark, tmp_path):
+    d = star(spark, tmp_path)
+    got = {r.album_id: r for r in catalog.features(spark, d).collect()}
+    assert got[10].instrumentalness == 4.0 and got[10].speechiness == 0.2 and got[10].loudness == 0.2 and got[10].key == 1.5 and got[10].mode == 1.0
+    assert got[30].instrumentalness is None and got[30].key is None and got[30].mode is None
+    assert [r.name for r in QUERIES["q13"](spark, d).collect()] == ["one"]
+    assert [tuple(r) for r in QUERIES["q10"](spark, d).orderBy("name").collect()] == [("one", 1), ("same", 2)]
+    assert QUERIES["q04"](spark, d).count() == 0  # one album of the name has 4, which is not above 5
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    for name in ("q04", "q10", "q13", "track_means"):
+        df = QUERIES[name](spark, d)
+        want = con.sql(f"select {', '.join(sorted(df.columns))} from ({ORACLE_SQL[name]})").fetchall()
+        assert sorted((tuple(map(plain, r)) for r in df.select(*sorted(df.columns)).collect()), key=repr) == sorted((tuple(map(plain, r)) for r in want), key=repr), name
+
+
+def test_numbers_by_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("k"))
+    got = numbered(rows, ["k"], "n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.k)] == list(range(5000)) and numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_vectors_that_cannot_be_compared_are_left_out(spark):
+    df = vectors(spark, [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, [1.0, None]), (5, None), (None, [1.0, 1.0])])
+    for limit in (1 << 20, 0):
+        assert {(r.query_id, r.neighbour_id) for r in knn.knn_block(df, 3, limit=limit).collect()} == {(1, 2), (2, 1)}
