@@ -81,7 +81,7 @@ SQL = {
     "features": """select l_orderkey album_id, sum(cast(round(l_quantity * 100) as bigint)) / (count(l_quantity) * 100.0) instrumentalness,
         sum(cast(round(l_discount * 100) as bigint)) / (count(l_discount) * 100.0) speechiness, sum(cast(round(l_extendedprice * 100) as bigint)) / 100.0 duration_ms,
         sum(cast(round(l_tax * 100) as bigint)) / (count(l_tax) * 100.0) loudness, sum(cast(round(l_extendedprice * 100) as bigint)) / (count(l_extendedprice) * 100.0) tempo,
-        avg(l_linenumber) as key, cast(count(*) filter (l_returnflag = 'N') as double) / count(l_returnflag) as mode from lineitem group by l_orderkey""",
+        avg(l_linenumber) as key, cast(count(*) filter (l_returnflag = 'N') as double) / nullif(count(l_returnflag), 0) as mode from lineitem group by l_orderkey""",
     "descriptor": "select cast(row_number() over (order by p_name) as bigint) descriptor_id, p_name as name from (select distinct p_name from part)",
     "descriptor_list": """select album_id, name, row_number() over (partition by album_id order by line, name) - 1 pos from
         (select l_orderkey album_id, p_name as name, min(l_linenumber) line from lineitem join part on l_partkey = p_partkey group by all)""",
