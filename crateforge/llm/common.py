@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from crateforge.sources.staging import discard, stage  # noqa: F401  the operators stage through this module
 
 
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the corpus, by a path only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -33,13 +36,15 @@ def wanted(df: DataFrame, *names: str) -> DataFrame:
 def carry(docs: DataFrame, inputs: dict[str, Column], run, found: str) -> DataFrame:
     """Rows (row, *found): every row whole as a struct, whatever its columns are called, beside what ``run`` finds for it.
 
-    ``run`` is a mapInArrow function over ``inputs`` that yields one batch, in order, for each batch that it gets.
+    ``run`` is a mapInArrow function over ``inputs`` that yields one batch, in order, for each batch that it gets. Such rows
+    are wide, their texts twice: the session is set to BATCH_ROWS a batch, so that little memory outside the heap is held.
     """
     from collections import deque
 
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     names = list(inputs)
     packed = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in inputs.items()])
     schema = T.StructType([packed.schema["row"], *T._parse_datatype_string(found).fields])
