@@ -79,3 +79,34 @@ def merged(a: Column, b: Column) -> Column:
 def zipped(a: Column, b: Column) -> Column:
     """Pairs of two lists, as many as the shorter has."""
     return F.slice(F.arrays_zip(a.alias("a"), b.alias("b")), 1, F.least(F.size(a), F.size(b)))
+
+
+def title_and_artist(c: Column) -> Column:
+    """Of a heading's lines, the first as title and the third, without 'By ', as artist."""
+    lines = F.split(c, "\n")
+    return F.struct(F.get(lines, 0).alias("title"), F.substring(F.get(lines, 2), 4, 2**31 - 1).alias("artist"))
+
+
+def of_class(classes: Column, prefix: str) -> Column:
+    """Those of a list of class names that begin with ``prefix``."""
+    return F.filter(classes, lambda x: F.startswith(x, F.lit(prefix)))
+
+
+def joined(c: Column) -> Column:
+    return F.array_join(c, ", ")
+
+
+def search_keys(artist: Column, album: Column) -> Column:
+    """What an album is looked up by, in turn: with the artist, with a dash, with the artist's first five letters."""
+    return F.array(F.concat_ws(" ", album, artist), F.concat_ws(" - ", artist, album), F.concat_ws(" ", album, F.substring(artist, 1, 5)))
+
+
+def search_url(term: Column) -> Column:
+    """Address of a search; spaces become plus signs."""
+    return F.concat(F.lit(f"{HOST}/search?searchterm="), F.replace(term, F.lit(" "), F.lit("+")))
+
+
+def export_name(url: Column) -> Column:
+    """A file name from an address: its last part that is not empty, spaces as underscores."""
+    parts = F.filter(F.split(url, "/"), lambda x: x != "")
+    return F.replace(F.try_element_at(parts, F.lit(-1)), F.lit(" "), F.lit("_"))

@@ -32,9 +32,9 @@ def read_glob(spark: SparkSession, pattern: str, schema: str, sep: str = ",") ->
     return read_csv(spark, pattern, schema, sep).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one array of objects, or lines of objects."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Files that are one array of objects or one object each, or with ``lines`` an object in every line."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

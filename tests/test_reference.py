@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crateforge.functions import fuzzy, html, text
 from crateforge.operators import encode, features, knn, loader
 from crateforge.operators.ranges import numbered
-from crateforge.plans import catalog, insights, pipelines  # noqa: F401
+from crateforge.plans import catalog, insights, pipelines, records  # noqa: F401
 from crateforge.plans.registry import ORACLE_SQL, QUERIES
 from crateforge.sources import io
 from crateforge.streaming import timeline
@@ -242,3 +242,21 @@ def test_vectors_that_cannot_be_compared_are_left_out(spark):
     df = vectors(spark, [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, [1.0, None]), (5, None), (None, [1.0, 1.0])])
     for limit in (1 << 20, 0):
         assert {(r.query_id, r.neighbour_id) for r in knn.knn_block(df, 3, limit=limit).collect()} == {(1, 2), (2, 1)}
+
+
+def test_scraper_helpers(spark):
+    row = spark.sql("select 'T\\n\\nBy A B' heading, array('x', 'disco_type_s') classes, 'https://h/chart/top/1990s rock/' url").select(
+        text.title_and_artist(F.col("heading")).alias("h"), text.of_class(F.col("classes"), "disco_").alias("c"), text.export_name(F.col("url")).alias("e"),
+        text.search_url(F.lit("a b")).alias("s"), text.search_keys(F.lit("Radiohead"), F.lit("Kid A")).alias("k"), text.joined(F.col("classes")).alias("j"),
+    ).first()
+    assert (row.h.title, row.h.artist, row.c, row.e) == ("T", "A B", ["disco_type_s"], "1990s_rock")
+    assert row.s.endswith("searchterm=a+b") and row.k == ["Kid A Radiohead", "Radiohead - Kid A", "Kid A Radio"] and row.j == "x, disco_type_s"
+    none = spark.sql("select cast(null as string) t, 'one line' u").select(text.title_and_artist(F.col("u")).alias("h"), text.export_name(F.col("t")).alias("e"), text.search_url(F.col("t")).alias("s")).first()
+    assert (none.h.title, none.h.artist, none.e, none.s) == ("one line", None, None, None)
+
+
+def test_json_lines_and_arrays(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"id": 1}\n{"id": 2}\n{"id": 3}\n')
+    (tmp_path / "array.json").write_text('[{"id": 1},\n {"id": 2}]')
+    assert io.read_json(spark, str(tmp_path / "lines.json"), "id int", lines=True).count() == 3
+    assert io.read_json(spark, str(tmp_path / "array.json"), "id int").count() == 2
