@@ -393,10 +393,7 @@ def timeline_daily(spark: SparkSession, d: str) -> DataFrame:
 @query(DAILY)
 def timeline_stream(spark: SparkSession, d: str) -> DataFrame:
     """Extension: the same count as a stream with a watermark, run to the end of its input."""
-    import uuid
-
-    schema = table(spark, d, "events").schema
-    return tl.stream_daily(spark, f"{d}/events.parquet*", schema, f"daily_{uuid.uuid4().hex}")
+    return tl.stream_daily(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
 
 
 @query("select event_id, cast(cast(ts as date) as varchar) as day, user_id from events")

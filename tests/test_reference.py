@@ -260,3 +260,12 @@ def test_json_lines_and_arrays(spark, tmp_path):
     (tmp_path / "array.json").write_text('[{"id": 1},\n {"id": 2}]')
     assert io.read_json(spark, str(tmp_path / "lines.json"), "id int", lines=True).count() == 3
     assert io.read_json(spark, str(tmp_path / "array.json"), "id int").count() == 2
+
+
+def test_stream_of_nothing_and_of_two_files(spark, tmp_path):
+    events = spark.sql("select timestamp'2024-01-01 10:00:00' ts, 1L user_id union all select timestamp'2024-01-01 11:00:00', 2L union all select timestamp'2024-01-02 01:00:00', 1L")
+    for k in (1, 2):
+        events.write.parquet(str(tmp_path / f"e{k}"))
+    events.limit(0).write.parquet(str(tmp_path / "none"))
+    assert {(str(r.day), r.n) for r in timeline.stream_daily(spark, str(tmp_path / "e*"), events.schema).collect()} == {("2024-01-01", 4), ("2024-01-02", 2)}
+    assert timeline.stream_daily(spark, str(tmp_path / "none"), events.schema).count() == 0
