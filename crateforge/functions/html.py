@@ -13,19 +13,22 @@ HIDDEN = frozenset(("script", "style"))
 
 
 class Reader(HTMLParser):
-    """Collects (tag, attributes, text) of elements of the wanted tags; text of scripts and styles is left out."""
+    """Collects (tag, attributes, text, script inside, parent) of elements of the wanted tags; text of scripts and styles is left out."""
 
     def __init__(self, tags: set[str]):
         super().__init__(convert_charrefs=True)
         self.tags, self.open, self.done, self.hidden = tags, [], [], 0
 
+    def _parent(self):
+        return self.open[-1] if self.open else None
+
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
             for e in self.open:
                 e[3] = True
         else:
-            entry = [tag, dict(attrs), [], False]
+            entry = [tag, dict(attrs), [], False, self._parent()]
             if tag in self.tags:
                 self.done.append(entry)
             if tag not in VOID:  # of any tag, as the end of an element ends those left open in it
@@ -33,7 +36,7 @@ class Reader(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         if tag in self.tags:
-            self.done.append([tag, dict(attrs), [], False])
+            self.done.append([tag, dict(attrs), [], False, self._parent()])
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
@@ -49,14 +52,22 @@ class Reader(HTMLParser):
                     e[2].append(data)
 
 
-def select(page: str | None, tag: str, css_class: str | None = None, element_id: str | None = None, without_script: bool = False) -> list[tuple[dict, str]]:
-    """Attributes and text of the page's elements that match, in page order."""
-    reader = Reader({tag})
+def _has_class(attrs: dict, css_class: str | None) -> bool:
+    return css_class is None or css_class in (attrs.get("class") or "").split()
+
+
+def _read(page: str | None, tags: set[str]) -> list:
+    reader = Reader(tags)
     reader.feed(page or "")
     reader.close()
+    return reader.done
+
+
+def select(page: str | None, tag: str, css_class: str | None = None, element_id: str | None = None, without_script: bool = False) -> list[tuple[dict, str]]:
+    """Attributes and text of the page's elements that match, in page order."""
     out = []
-    for _, attrs, text, script in reader.done:
-        if css_class is not None and css_class not in (attrs.get("class") or "").split():
+    for _, attrs, text, script, _ in _read(page, {tag}):
+        if not _has_class(attrs, css_class):
             continue
         if element_id is not None and attrs.get("id") != element_id or without_script and script:
             continue
@@ -64,6 +75,19 @@ def select(page: str | None, tag: str, css_class: str | None = None, element_id:
     return out
 
 
+def siblings(page: str | None, tag: str, sibling: str, css_class: str | None = None) -> list[tuple[str, str | None]]:
+    """(text, text of the next ``sibling`` element under the same parent, null if there is none) of the elements that match, in page order."""
+    following: dict = {}  # parent -> text of its latest ``sibling``, as the page is gone through backwards
+    out = []
+    for name, attrs, text, _, parent in reversed(_read(page, {tag, sibling})):
+        words = " ".join("".join(text).split())
+        if name == tag and _has_class(attrs, css_class):
+            out.append((words, following.get(id(parent))))
+        if name == sibling:
+            following[id(parent)] = words
+    return out[::-1]
+
+
 FOUND = "array<struct<text:string,attrs:map<string,string>>>"
 
 
@@ -77,6 +101,16 @@ def elements(page: Column, tag: str, css_class: str | None = None, element_id: s
     return run(page)
 
 
+def labelled(page: Column, tag: str, sibling: str, css_class: str | None = None) -> Column:
+    """Column of labels and values: matching elements with what stands next to them."""
+
+    @F.pandas_udf("array<struct<label:string,value:string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: [{"label": a, "value": b} for a, b in siblings(p, tag, sibling, css_class)])
+
+    return run(page)
+
+
 def records(pages: DataFrame, fields: dict[str, tuple[str, str | None]], key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, info): for each page the text of the first element of each field's (tag, class); absent ones have no entry."""
     found = pages.select(key, *[F.get(elements(F.col(html), tag, css), 0).getField("text").alias(name) for name, (tag, css) in fields.items()])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateforge.functions import text
+from crateforge.functions import html, text
 from crateforge.operators import loader
 from crateforge.plans import catalog as c
 from crateforge.plans.catalog import table
@@ -165,3 +165,25 @@ def process_first_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("select max(n) most from (select count(*) n from @descriptor_list group by album_id)")
 def most_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return c.descriptor_list(spark, d).groupBy("album_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+
+
+# -- pages and answers -------------------------------------------------------------------------------------------
+
+BESIDE = "regexp_extract(html, '</nav>(?:<!--[^>]*-->)?<div class=\"ad\">([^<]*)</div>', 1)"
+
+
+@query(f"select page_id, len({BESIDE}) > 0 as found, md5(regexp_replace({BESIDE}, '\\s', '', 'g')) as digest from pages where html is not null")
+def page_siblings(spark: SparkSession, d: str) -> DataFrame:
+    """What stands beside each page's first list of links; its white space is left out of the digest."""
+    beside = F.coalesce(F.get(html.labelled(F.col("html"), "nav", "div"), 0).getField("value"), F.lit(""))
+    found = table(spark, d, "pages").where("html is not null").select("page_id", beside.alias("value"))
+    return found.select("page_id", (F.length("value") > 0).alias("found"), F.md5(F.replace("value", F.lit(" "), F.lit("")).cast("binary")).alias("digest"))
+
+
+@query("select name, status, n from (values ('regions', 200, (select count(*) from region)), ('nothing', 404, null)) t(name, status, n)")
+def api_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A known query's answer and an unknown one's."""
+    known = {"regions": lambda: table(spark, d, "region").select("r_regionkey", "r_name")}
+    answers = [io.answer(spark, known, n, ["r_regionkey"]).withColumn("name", F.lit(n)) for n in ("regions", "nothing")]
+    rows = F.from_json("body", "results array<struct<r_regionkey:long>>").getField("results")
+    return answers[0].unionByName(answers[1]).select("name", "status", F.when(rows.isNotNull(), F.size(rows).cast("long")).alias("n"))

@@ -91,6 +91,14 @@ def json_response(df: DataFrame, order: list[str]) -> DataFrame:
     return df.agg(F.to_json(F.struct(F.transform(listed, lambda x: x.getField("r")).alias("results"))).alias("body"))
 
 
+def answer(spark: SparkSession, known: dict, name: str, order: list[str]) -> DataFrame:
+    """(status, body) of a request by a query's name: 200 and its rows, or 404 and an error that names what is unknown."""
+    if name not in known:
+        error = F.to_json(F.struct(F.lit(f"unknown query: {name}").alias("error")))
+        return spark.range(1).select(F.lit(404).alias("status"), error.alias("body"))
+    return json_response(known[name](), order).select(F.lit(200).alias("status"), "body")
+
+
 def table_summary(spark: SparkSession, names: list[str]) -> DataFrame:
     """(name, rows) of registered views."""
     parts = [spark.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]

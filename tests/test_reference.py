@@ -161,6 +161,10 @@ def test_html(spark):
     got = {r.page_id: r["info"] for r in html.records(pages, {"first": ("div", "row"), "none": ("h9", None)}).collect()}
     assert got == {1: {"first": "One & twox"}, 2: {}, 3: {}}
     assert html.listing(pages, "div", "row", max_page=1).count() == 1
+    info = "<div class=h>Born</div> , <p>1970</p><div class=h>Genres<p>inside</p></div><div class=x>no</div><p>Rock &amp; <b>Pop</b></p><section><div class=h>Last</div></section><p>far"
+    assert html.siblings(info, "div", "p", "h") == [("Born", "1970"), ("Genresinside", "Rock & Pop"), ("Last", None)]
+    assert html.siblings("<p>1<p>2", "p", "p", "h") == [] and html.siblings(None, "div", "p") == []
+    assert html.siblings("<div>a</div><div>b</div>", "div", "div") == [("a", "b"), ("b", None)]
 
 
 def test_sources_and_sinks(spark, tmp_path):
