@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crateforge.llm import decontaminate, embeddings, langid, packing, pii, ppm, quality, secrets, simhash, toxicity
+from crateforge.llm import decontaminate, divergence, embeddings, langid, packing, pii, ppm, quality, runs, secrets, simhash, tokencount, toxicity
 from crateforge.llm.common import read
 
 
@@ -57,8 +57,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_ppm, op3_pii, op4_packing, op5_language, op6_toxicity, op7_secrets, op8_simhash, op9_embeddings, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_quality, op2_ppm, op3_pii, op4_packing, op5_language, op6_toxicity, op7_secrets, op8_simhash, op9_embeddings, op10_decontamination,
+        op11_token_counts, op12_divergence, op13_periodic_runs,
+    )
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -83,4 +99,22 @@ g as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids f
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
        sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join n using (doc_id) left join g using (doc_id)""",
+    "op12_divergence": r"""
+with d as (select doc_id, coalesce(lang, '') lang, coalesce(source, '') source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w, row_number() over () rid from documents),
+t as (select rid, lang, source, unnest(w) term from d),
+k as (select lang, term from (select distinct rid, lang, term from t) group by all having count(*) >= 30),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) n from t join k using (lang, term) group by all),
+x as (select g.lang, g.source, k.term, coalesce(c.n, 0) n from g join k using (lang) left join c using (lang, source, term)),
+s as (select *, sum(n) over (partition by lang, source) tot, count(*) over (partition by lang, source) v from x),
+l as (select lang, term, sum(n) n, sum(sum(n)) over (partition by lang) tot, count(*) over (partition by lang) v from x group by lang, term),
+p as (select lang, source, term, n, cast(1 + (1000000000 * (n + 5)::hugeint) // (tot + 5 * v) as bigint) p from s),
+q as (select lang, term, cast(1 + (1000000000 * (n + 5)::hugeint) // (tot + 5 * v) as bigint) q from l),
+f as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' part, b.source item, cast(coalesce(f, 0) as bigint) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all select lang, source, 'term', term, p - q from p join q using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, value, cast(rank as int) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r) where part = 'pair' or rank <= 50""",
 }
