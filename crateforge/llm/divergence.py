@@ -24,6 +24,7 @@ as often as they stand; an empty table gives no rows; extra columns, whatever th
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def _counted(batches):
     """Rows (text, lang, source) -> rows COUNTED, a term once for each group of a batch."""
     con = _duck()
     for batch in batches:
-        sizes, start, held, slices = [x or 0 for x in pa.compute.binary_length(batch.column("text").cast(pa.binary())).to_pylist()], 0, 0, []
+        sizes, start, held, slices = [x or 0 for x in pc.binary_length(batch.column("text").cast(pa.binary())).to_pylist()], 0, 0, []
         for i, size in enumerate(sizes):
             if i > start and held + size > SLICE:
                 slices.append((start, i))
@@ -128,8 +129,6 @@ def _parts(top: int):
 
 def divergence(docs: DataFrame, least: int = 30, top: int = 50, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): every other source of the language, and the terms that mark a source."""
-    import pyarrow.compute  # noqa: F401  loaded before tasks are sent
-
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     groups, _ = stage(rows.groupBy("lang", "source").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")))
     size = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]

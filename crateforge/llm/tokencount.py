@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,12 +246,10 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
         v = vocabulary(model)
         for batch in batches:
             column = batch.column("text").cast(pa.binary())
-            sizes = [x or 0 for x in pa.compute.binary_length(column).to_pylist()]
+            sizes = [x or 0 for x in pc.binary_length(column).to_pylist()]
             n = [_counts(v, [t or b"" for t in column.slice(a, b - a).to_pylist()]) for a, b in _slices(sizes)]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    import pyarrow.compute  # noqa: F401  pa.compute is loaded before tasks are sent
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
