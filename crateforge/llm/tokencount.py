@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 LONG = 256
 #: Bytes of text whose pre-tokens are held at once (one text may be longer).
-SLICE = 8 << 20
+SLICE = 2 << 20
 SPACE = "▁"
 
 
