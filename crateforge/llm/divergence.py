@@ -32,7 +32,7 @@ from crateforge.llm.common import stage
 
 TERM = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
 #: Bytes of text that DuckDB counts at once, bytes of text for a shard of counts, and kept counts for a shard of sums.
-SLICE, SHARD_BYTES, SHARD_ROWS = 8 << 20, 32 << 20, 200_000
+SLICE, SHARD_BYTES, SHARD_ROWS = 4 << 20, 16 << 20, 200_000
 SCALE, PRIOR = 1_000_000_000, 5
 
 COUNTED = "lang string, source string, term string, n long, df long"
