@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crateforge.functions import fuzzy, html, text
-from crateforge.operators import encode, features, knn, loader
+from crateforge.operators import editjoin, encode, features, knn, loader, pivots, skyband
 from crateforge.plans import catalog as c
 from crateforge.plans.catalog import table
 from crateforge.plans.registry import query
 from crateforge.sources import io
+from crateforge.sources.staging import stage
 from crateforge.streaming import timeline as tl
 
 # -- nearest neighbours ------------------------------------------------------------------------------------------
@@ -29,6 +32,30 @@ def knn_tiled(spark: SparkSession, d: str) -> DataFrame:
     return knn.knn_block(table(spark, d, "embeddings"), 5, audio=10**6, limit=0, block=256).withColumn("distance", F.round("distance", 4))
 
 
+@query(KNN)
+def knn_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Without a broadcast of the base: queries visit only the rings that can hold a neighbour."""
+    return pivots.knn_pivot(table(spark, d, "embeddings"), 5, audio=10**6, ring=256).withColumn("distance", F.round("distance", 4))
+
+
+SLIDERS = (0.0, 0.5, 1.0, 2.0)
+SLIDER_ANY = """with e as (select vec_id, cast(embedding as double[]) e from embeddings),
+p as (select a.vec_id query_id, b.vec_id neighbour_id, list_sum(list_transform(range(1, 14), lambda i: pow(a.e[i] - b.e[i], 2))) x, list_sum(list_transform(range(14, 65), lambda i: pow(a.e[i] - b.e[i], 2))) y
+      from e a join e b on a.vec_id <> b.vec_id),
+s as (select unnest([0.0, 0.5, 1.0, 2.0]) slider),
+r as (select slider, query_id, neighbour_id, sqrt(x + y / pow(greatest(pow(slider, 3), 1e-5), 2)) distance from p, s)
+select cast(slider as double) slider, query_id, neighbour_id, cast(rank as int) as rank, round(distance, 4) distance
+from (select *, row_number() over (partition by slider, query_id order by distance, neighbour_id) as rank from r) where rank <= 5"""
+
+
+@query(SLIDER_ANY)
+def slider_any(spark: SparkSession, d: str) -> DataFrame:
+    """Four sliders answered from one staged table of candidates."""
+    found, _ = stage(skyband.skyband(table(spark, d, "embeddings"), 5))
+    answers = [skyband.at_slider(found, s, 5).select(F.lit(s).alias("slider"), "query_id", "neighbour_id", "rank", F.round("distance", 4).alias("distance")) for s in SLIDERS]
+    return reduce(DataFrame.unionByName, answers)
+
+
 SLID = """select query_id, neighbour_id, cast(rank as int) as rank, round(distance, 4) distance from (select *, row_number() over (partition by query_id order by distance, neighbour_id) as rank from
   (select a.vec_id query_id, b.vec_id neighbour_id, sqrt(list_sum(list_transform(range(1, 14), lambda i: pow(a.e[i] - b.e[i], 2))) + list_sum(list_transform(range(14, 65), lambda i: pow((a.e[i] - b.e[i]) / 0.125, 2)))) distance
    from (select vec_id, cast(embedding as double[]) e from embeddings where vec_id % 20 = 0) a join (select vec_id, cast(embedding as double[]) e from embeddings) b on a.vec_id <> b.vec_id)) where rank <= 5"""
@@ -310,11 +337,16 @@ def fuzzy_next_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select distinct a.p_name, b.p_name other, levenshtein(a.p_name, b.p_name) distance from (select distinct p_name from part) a join (select distinct p_name from part) b on a.p_name < b.p_name where levenshtein(a.p_name, b.p_name) <= 5")
 def fuzzy_join(spark: SparkSession, d: str) -> DataFrame:
-    """Names of the vocabulary within 5 edits; only those of like length are compared."""
-    a = table(spark, d, "part").select("p_name").distinct()
-    b = a.select(F.col("p_name").alias("other"))
-    near = a.join(b, (F.col("p_name") < F.col("other")) & (F.abs(F.length("p_name") - F.length("other")) <= 5))
-    return near.withColumn("distance", F.levenshtein("p_name", "other").cast("long")).where("distance <= 5")
+    """Names of the vocabulary within 5 edits, found by segments."""
+    near = editjoin.edit_join(table(spark, d, "part").select(F.col("p_name").alias("name")), 5)
+    return near.select(F.col("first").alias("p_name"), F.col("second").alias("other"), "distance")
+
+
+@query()
+def word_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents one edit apart: spellings that a vocabulary would count twice."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{8,})"), F.lit(1))).alias("name")).distinct()
+    return editjoin.edit_join(words, 1).select("first", "second", "distance")
 
 
 @query()
