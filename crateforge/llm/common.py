@@ -1,14 +1,13 @@
-"""Shared helpers of the training-data operators: reading, folds, rows carried whole; staging is the library's."""
+"""Shared helpers of the training-data operators: reading, folds, whole rows beside what is found; staging is the library's."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateforge.sources.staging import discard, stage  # noqa: F401  the operators stage through this module
+from crateforge.sources.staging import discard, stage, tidy  # noqa: F401  the operators stage through this module
 
-
-BATCH_ROWS = 1000
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,31 +32,44 @@ def wanted(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
-def carry(docs: DataFrame, inputs: dict[str, Column], run, found: str) -> DataFrame:
-    """Rows (row, *found): every row whole as a struct, whatever its columns are called, beside what ``run`` finds for it.
+def column_of(docs: DataFrame, name: str) -> str:
+    """The column that Spark finds under ``name``, by its own spelling."""
+    return next((c for c in docs.columns if c == name), None) or next(c for c in docs.columns if c.lower() == name)
+
 
-    ``run`` is a mapInArrow function over ``inputs`` that yields one batch, in order, for each batch that it gets. Such rows
-    are wide, their texts twice: the session is set to BATCH_ROWS a batch, so that little memory outside the heap is held.
+def over_rows(docs: DataFrame, run, combine, schema=None) -> DataFrame:
+    """Whole rows of ``docs``, whatever their columns are called, as ``combine`` leaves them beside what ``run`` finds for them.
+
+    ``run`` is a mapInArrow function over (doc_id, text) that yields one batch, in order, for each batch that it gets;
+    ``combine`` makes rows of ``schema``, by default that of ``docs``, of such a batch and the rows it belongs to. A row
+    crosses to Python once and back once, in slices of SLICE_ROWS rows or about SLICE_BYTES of text.
     """
     from collections import deque
 
     import pyarrow as pa
-    from pyspark.sql import types as T
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    names = list(inputs)
-    packed = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in inputs.items()])
-    schema = T.StructType([packed.schema["row"], *T._parse_datatype_string(found).fields])
+    of_id, of_text = docs.columns.index(column_of(docs, "doc_id")), docs.columns.index(column_of(docs, "text"))
+
+    def slices(batch):
+        start, held = 0, 0
+        for i, text in enumerate(batch.column(of_text).cast(pa.binary())):
+            size = len(text.as_buffer()) if text.is_valid else 0
+            if i > start and (held + size > SLICE_BYTES or i - start == SLICE_ROWS):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        yield batch.slice(start)
 
     def outer(batches):
         waiting: deque = deque()
 
         def feed():
             for batch in batches:
-                waiting.append(batch.column("row"))
-                yield batch.select(names)
+                for part in slices(batch):
+                    waiting.append(part)
+                    yield pa.RecordBatch.from_arrays([part.column(of_id).cast(pa.int64()), part.column(of_text).cast(pa.string())], names=["doc_id", "text"])
 
-        for out in run(feed()):
-            yield pa.RecordBatch.from_arrays([waiting.popleft(), *out.columns], names=["row", *out.schema.names])
+        for found in run(feed()):
+            yield combine(waiting.popleft(), found)
 
-    return packed.mapInArrow(outer, schema)
+    return docs.mapInArrow(outer, schema or docs.schema)

@@ -13,13 +13,15 @@ whatever their names, are left out.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import carry, stage, wanted
+from crateforge.llm.common import over_rows, stage, tidy, wanted
 
 #: ASCII letters in lower case and digits stay, all other ASCII separates words, bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -98,45 +100,61 @@ def _spans(raw: bytes, marked: np.ndarray) -> list[dict[str, int]]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])]
 
 
+@tidy
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: int = 1 << 25) -> DataFrame:
     """Per document: n_words, n_hit, item_ids (sorted as strings), spans (code points of hit runs).
 
     The items are measured first. Up to ``shard_chars`` characters they form one automaton; beyond it they are dealt by
     hash into as many automata as needed; every row passes each in turn and carries its marked runs along, which are
-    merged within the row, so nothing that grows with the benchmark is ever broadcast whole.
+    merged within the row. A shard's patterns are collected and broadcast when its scan starts and given up when it has
+    ended, so nothing that grows with the benchmark is ever broadcast whole.
     """
     docs = wanted(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     scans = _scans(items, n, shard_chars)
     if len(scans) == 1:
-        return docs.mapInArrow(scans[0], SCHEMA)
+        return docs.mapInArrow(scans[0](), SCHEMA)
     found = docs.withColumns({"item_ids": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:long,end:long>>")})
-    for run in scans:
-        again = carry(found, {"doc_id": F.col("doc_id"), "text": F.col("text")}, run, SCHEMA)
-        merged = [F.concat(F.col("row").getField(c), F.col(c)).alias(c) for c in ("item_ids", "spans")]
-        found, _ = stage(again.select(*[F.col("row").getField(c).alias(c) for c in ("doc_id", "text")], *merged))  # one automaton at a time in a worker
+
+    def merged(rows: pa.RecordBatch, again: pa.RecordBatch) -> pa.RecordBatch:
+        both = [pa.array([[*(a or []), *(b or [])] for a, b in zip(rows.column(c).to_pylist(), again.column(c).to_pylist())], rows.column(c).type) for c in ("item_ids", "spans")]
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *both], schema=rows.schema)
+
+    for make in scans:
+        scan = make()
+        found, _ = stage(over_rows(found, scan, merged))  # one automaton at a time in a worker
+        scan.patterns.unpersist()
     return _merged(found)
 
 
 def _scans(items: DataFrame, n: int, shard_chars: int) -> list:
-    """A mapInArrow function for each automaton."""
+    """For each automaton what makes its mapInArrow function: its patterns are collected and broadcast only then."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_chars))
     parts = [items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) for k in range(shards)]
-    send = items.sparkSession.sparkContext.broadcast
-    return [_scan(send(patterns_of([(r[0], r[1].encode()) for r in part.collect()], n)), n) for part in parts]
 
+    def make(part: DataFrame):
+        patterns = part.sparkSession.sparkContext.broadcast(patterns_of([(r[0], r[1].encode()) for r in part.collect()], n))
+        scan = _scan(patterns, n)
+        scan.patterns = patterns
+        return scan
 
-def carried(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: int = 1 << 25) -> DataFrame:
-    """n_hit beside each whole row of ``docs`` (column row); of several automata, a row passes each in turn and n_hit is their sum, as only its being zero is of use."""
-    inputs = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
-    scans = _scans(items, n, shard_chars)
-    found = carry(docs, inputs, scans[0], SCHEMA).select("row", "n_hit")
-    for run in scans[1:]:
-        inner = {"doc_id": F.col("row").getField("doc_id").cast("long"), "text": F.col("row").getField("text").cast("string")}
-        again = carry(found, inner, run, SCHEMA)
-        found = again.select(F.col("row").getField("row").alias("row"), (F.col("row").getField("n_hit") + F.col("n_hit")).alias("n_hit"))
-    return found
+    return [partial(make, part) for part in parts]
+
+
+@tidy
+def clean(docs: DataFrame, items: DataFrame, n: int = 10, shard_chars: int = 1 << 25) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no item's window hits; of several automata each sees what the ones before it left."""
+
+    def untouched(rows: pa.RecordBatch, found: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.filter(pc.equal(found.column("n_hit"), 0))
+
+    *before, last = _scans(items, n, shard_chars)
+    for make in before:
+        scan = make()
+        docs, _ = stage(over_rows(docs, scan, untouched))
+        scan.patterns.unpersist()
+    return over_rows(docs, last(), untouched)
 
 
 def _merged(found: DataFrame) -> DataFrame:

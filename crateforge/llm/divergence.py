@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import stage
+from crateforge.llm.common import stage, tidy
 
 TERM = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
 #: Bytes of text that DuckDB counts at once, bytes of text for a shard of counts, and kept counts for a shard of sums.
@@ -120,13 +120,17 @@ def _parts(top: int):
     union all
     select 'term', lang, source, term, p - q from (select * from r where p > q qualify row_number() over (partition by lang, source order by p - q desc, term) <= {top})"""
 
+    schema = pa.schema([(n, pa.int64() if n == "value" else pa.string()) for n in ("part", "lang", "source", "item", "value")])
+
     def run(kept: pa.Table, totals: pa.Table) -> pa.Table:
-        found = _asked(_duck(), sql, kept=kept, totals=totals)
-        return pa.Table.from_batches(_typed(found, PARTS), pa.schema([(n, pa.int64() if n == "value" else pa.string()) for n in ("part", "lang", "source", "item", "value")]))
+        if not kept.num_rows or not totals.num_rows:  # a side without rows has no columns either
+            return schema.empty_table()
+        return pa.Table.from_batches(_typed(_asked(_duck(), sql, kept=kept.drop_columns("shard"), totals=totals.drop_columns("shard")), PARTS), schema)
 
     return run
 
 
+@tidy
 def divergence(docs: DataFrame, least: int = 30, top: int = 50, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): every other source of the language, and the terms that mark a source."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
@@ -143,8 +147,7 @@ def divergence(docs: DataFrame, least: int = 30, top: int = 50, shard_bytes: int
     shards = -(-kept.count() // shard_rows) or 1
     left = kept.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
     right = totals.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    run = _parts(top)
-    parts, _ = stage(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lambda a, b: run(a.drop_columns("shard"), b.drop_columns("shard")), PARTS))
+    parts, _ = stage(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_parts(top), PARTS))
 
     z = F.lit(1) + F.expr(f"cast({SCALE * PRIOR} as decimal(38, 0)) div (cast(total as decimal(38, 0)) + {PRIOR} * v)")
     zero = totals.select("lang", "source", "v", F.when(F.col("v") > 0, z).otherwise(F.lit(0)).cast("long").alias("z"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import stage, wanted
+from crateforge.llm.common import stage, tidy, wanted
 from crateforge.llm.components import components
 from crateforge.llm.simhash import _stars
 from crateforge.operators.ranges import numbered
@@ -182,6 +182,7 @@ def united(nodes: DataFrame, threshold: float, window: int, passes: int, deal: i
         k += 1
 
 
+@tidy
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 16, passes: int = 8, block: int = 1024, deal: int = 8192) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     columns = wanted(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import fold, wanted
+from crateforge.llm.common import fold, tidy, wanted
 
 WORDY = re.compile(r"[^\W\d_]")
 SPACE = 32
@@ -195,6 +195,7 @@ def _predict(sent):
     return run
 
 
+@tidy
 def identify(docs: DataFrame, modulus: int = 4, out: int = 2, per_language: int = 2400) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, positions (how many bytes each learned language got, by name)."""
     docs = wanted(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (fold("doc_id", modulus) == out).alias("held_out"))

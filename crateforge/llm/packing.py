@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import discard, stage, wanted
+from crateforge.llm.common import discard, stage, tidy, wanted
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -273,6 +273,7 @@ def _bins(df: DataFrame) -> int:
     return df.where("offset = 0").count()
 
 
+@tidy
 def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 200_000, rounds: int = 3) -> DataFrame:
     """The pieces with sequence_id and offset. Every partition holds about ``part_rows`` pieces, however large the input."""
     columns = [f.name for f in PIECES]

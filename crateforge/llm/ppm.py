@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import discard, fold, stage, wanted
+from crateforge.llm.common import discard, fold, stage, tidy, wanted
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -376,6 +376,7 @@ def _sums(order: int, buckets: int):
     return run
 
 
+@tidy
 def score(docs: DataFrame, order: int = 5, modulus: int = 7, out: int = 2, block_bytes: int = 12 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import fold, sampled, wanted
+from crateforge.llm.common import fold, sampled, tidy, wanted
 
 # Classes of bytes; every byte not named is in the last class.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!?", "|", "#$%&*+=~^@", "()[]{}<>", "'\"`-_/\\"]
@@ -236,6 +236,7 @@ def _score(sent, threshold: float):
     return run
 
 
+@tidy
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, threshold: float = 0.3, max_rows: int = 8_000) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted."""
     docs = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", modulus) == 0).alias("held_out"))

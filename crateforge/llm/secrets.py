@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crateforge.llm import spans
-from crateforge.llm.common import carry, wanted
+from crateforge.llm.common import column_of, over_rows, wanted
 
 KINDS = ["assign", "access", "hex"]
 # The patterns of the base kinds.
@@ -317,8 +318,16 @@ def secrets(docs: DataFrame, credentials: list[tuple[str, str]] | None = None, t
     return docs.mapInArrow(spans.scan(lambda: lambda text: find(text, sent.value, threshold), KINDS), spans.schema(KINDS))
 
 
-def carried(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The operator's columns beside each whole row of ``docs`` (column row)."""
-    inputs = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs.select(inputs["text"].alias("text"))))
-    return carry(docs, inputs, spans.scan(lambda: lambda text: find(text, sent.value, threshold), KINDS), spans.schema(KINDS))
+def redacted(docs: DataFrame, mark: str = "[secret]", threshold: float = 0.8) -> DataFrame:
+    """All rows of ``docs`` with all their columns; every secret of a text is the mark, and n_chars, if there, follows."""
+    of_text, of_chars = column_of(docs, "text"), next((c for c in docs.columns if c.lower() == "n_chars"), None)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("text").cast("string").alias("text"))))
+
+    def changed(rows: pa.RecordBatch, found: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t if not f else spans.redact(t, [(s["start"], s["end"]) for s in f], mark) for t, f in zip(rows.column(of_text).cast(pa.string()).to_pylist(), found.column("found").to_pylist())]
+        new = {of_text: pa.array(texts, pa.string()), of_chars: pa.array([len(t or "") for t in texts], pa.int64())}
+        return pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in rows.schema.names], names=rows.schema.names)
+
+    kinds = {of_text: T.StringType(), of_chars: T.LongType()}
+    schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in docs.schema])
+    return over_rows(docs, spans.scan(lambda: lambda text: find(text, sent.value, threshold), KINDS), changed, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import stage, wanted
+from crateforge.llm.common import stage, tidy, wanted
 from crateforge.llm.components import components
 
 MAX_BITS, LEAST_BYTES = 3, 5
@@ -194,6 +194,7 @@ def links(distinct: DataFrame, list_limit: int = 8192) -> DataFrame:
     return edges.distinct()
 
 
+@tidy
 def simhash(docs: DataFrame, size: int = 3, list_limit: int = 8192) -> DataFrame:
     """Per row: doc_id, fp (long), fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
     each, _ = stage(fingerprints(docs, size))

@@ -27,11 +27,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import fold, sampled, stage, wanted
+from crateforge.llm.common import fold, over_rows, sampled, stage, tidy, wanted
 
 WORD = re.compile(r"[^\W\d_]+")
 # The starting word lists and phrases by family.
@@ -291,9 +292,23 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 20
     return lexicons, logistic(features(hits), model.posterior(v)), model
 
 
+@tidy
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = 20_000) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted, hits (of each voter, in VOTERS' order)."""
     docs = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", modulus) == 0).alias("held_out"))
     lexicons, w, _ = fit(docs, labels, modulus, max_rows)
     sent = docs.sparkSession.sparkContext.broadcast((lexicons, w))
     return docs.mapInArrow(_score(sent), "doc_id long, held_out boolean, score double, predicted int, hits array<double>")
+
+
+@tidy
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not predict to be toxic."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", 5) == 0).alias("held_out"))
+    lexicons, w, _ = fit(plain, labels)
+    score = _score(docs.sparkSession.sparkContext.broadcast((lexicons, w)))
+
+    def run(batches):
+        return score(b.append_column("held_out", pa.array([False] * b.num_rows)) for b in batches)
+
+    return over_rows(docs, run, lambda rows, found: rows.filter(pc.equal(found.column("predicted"), 0)))

@@ -80,7 +80,7 @@ def _sql_of_divergence(docs: list[tuple], least: int) -> list[tuple]:
     return sorted(tuple(dict(zip(names, r))[n] for n in ("lang", "source", "part", "item", "value", "rank")) for r in out.fetchall())
 
 
-@pytest.mark.parametrize("shard_bytes,shard_rows", [(1 << 25, 200_000), (2000, 20)])
+@pytest.mark.parametrize("shard_bytes,shard_rows", [(1 << 25, 200_000), (2000, 20), (500, 1)])
 def test_divergence_equals_sql(spark, shard_bytes, shard_rows):
     rnd = random.Random(5)
     words = ["Alpha", "beta", "ÉTÉ", "été", "gamma", "x1y2", "日本", "Ωmega", "don't", "tail", *[f"w{chr(97 + i)}" for i in range(26)]]
