@@ -18,7 +18,7 @@ def positions(lists: DataFrame, key: str = "album_id", column: str = "descriptor
 def encode(lists: DataFrame, vocabulary: DataFrame, key: str = "album_id", column: str = "descriptors") -> DataFrame:
     """(key, mood, descriptor_count): weights in vocabulary order, zero where absent; names outside the vocabulary count but have no place."""
     size = vocabulary.count()
-    placed = positions(lists, key, column).join(F.broadcast(vocabulary), "name").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("descriptor_id", position_weight(F.col("pos")).alias("w")))).alias("at"))
+    placed = positions(lists, key, column).join(vocabulary, "name").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("descriptor_id", position_weight(F.col("pos")).alias("w")))).alias("at"))
     mood = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long")), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0)))
     counted = lists.select(key, F.coalesce(F.greatest(F.size(column), F.lit(0)), F.lit(0)).alias("descriptor_count"))
     return counted.join(placed, key, "left").select(key, mood.alias("mood") if size else F.array().cast("array<double>").alias("mood"), "descriptor_count")

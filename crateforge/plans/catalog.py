@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crateforge.operators import knn
+from crateforge.operators.ranges import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +46,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary: names with ids in name order. The single-partition window runs over distinct names only."""
+    """The vocabulary: names with ids in name order, numbered by ranges."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("descriptor_id"), "name")
+    return numbered(names, ["name"], "n").select((F.col("n") + 1).alias("descriptor_id"), "name")
 
 
 def descriptor_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def _recommended(spark: SparkSession, d: str) -> DataFrame:
     return c.recommendation(spark, d, ALBUM).join(c.album(spark, d).select(F.col("album_id").alias("recommended_id"), "title"), "recommended_id")
 
 
-@query(f"select recommended_id, title, score from @recommendation r join (select album_id recommended_id, title from @album) using (recommended_id) where r.album_id = {ALBUM}")
+@query(f"select recommended_id, title, score from @recommendation r join (select album_id recommended_id, title from @album) using (recommended_id) where r.album_id = {ALBUM} order by score desc, recommended_id")
 def q05(spark: SparkSession, d: str) -> DataFrame:
     """The score is a distance, so this order is farthest first."""
     return _recommended(spark, d).orderBy(F.desc("score"), "recommended_id").select("recommended_id", "title", "score")
@@ -134,18 +134,18 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
 def _edges_by(spark: SparkSession, d: str, side: str) -> DataFrame:
     edges = c.recommendation(spark, d).groupBy(F.col(side).alias("album_id")).count()
     albums = c.album(spark, d).join(edges, "album_id").groupBy("artist_id").agg(F.sum("count").alias("n"))
-    return c.artist(spark, d).join(albums, "artist_id").groupBy("name").agg(F.sum("n").alias("recommendation_count"))
+    return c.artist(spark, d).join(albums, "artist_id").groupBy("name").agg(F.sum("n").alias("recommendation_count")).orderBy(F.desc("recommendation_count"), "name")
 
 
-@query("select name, count(*) recommendation_count from @artist join @album using (artist_id) join @recommendation r using (album_id) group by name")
+@query("select name, count(*) recommendation_count from @artist join @album using (artist_id) join @recommendation r using (album_id) group by name order by 2 desc, 1")
 def q16(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that leave an artist's albums, as written."""
+    """Edges that leave an artist's albums, as written; most first."""
     return _edges_by(spark, d, "album_id")
 
 
-@query("select name, count(*) recommendation_count from @artist join @album b using (artist_id) join @recommendation r on r.recommended_id = b.album_id group by name")
+@query("select name, count(*) recommendation_count from @artist join @album b using (artist_id) join @recommendation r on r.recommended_id = b.album_id group by name order by 2 desc, 1")
 def q16_recommended(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that reach an artist's albums, as meant."""
+    """Edges that reach an artist's albums, as meant; most first."""
     return _edges_by(spark, d, "recommended_id")
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crateforge.functions import fuzzy, html, text
-from crateforge.operators import editjoin, encode, features, knn, loader, pivots, skyband
+from crateforge.operators import editjoin, encode, features, knn, loader, musicmap, pivots, skyband
 from crateforge.plans import catalog as c
 from crateforge.plans.catalog import table
 from crateforge.plans.registry import query
 from crateforge.sources import io
-from crateforge.sources.staging import stage
+from crateforge.sources.staging import stage, tidy
+from crateforge.streaming import stateful
 from crateforge.streaming import timeline as tl
 
 # -- nearest neighbours ------------------------------------------------------------------------------------------
@@ -219,8 +220,11 @@ def extract_descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select album_id, descriptor_id, round(weighting, 6) weighting from @album_descriptor where weighting > 0")
 def load_descriptors(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.album_descriptor(spark, d).where("weighting > 0 and not isnan(weighting)")
-    return loader.insert_unseen(rows, rows.limit(0), ["album_id", "descriptor_id"], ["weighting"]).withColumn("weighting", F.round("weighting", 6))
+    """Every third album is there from an earlier load; the whole load, run again, adds the others only."""
+    rows, _ = stage(c.album_descriptor(spark, d).where("weighting > 0 and not isnan(weighting)"))
+    keys = ["album_id", "descriptor_id"]
+    there, _ = stage(loader.insert_unseen(rows.where("album_id % 3 = 0"), rows.limit(0), keys, ["weighting"]))
+    return there.unionByName(loader.insert_unseen(rows, there, keys, ["weighting"])).withColumn("weighting", F.round("weighting", 6))
 
 
 @query("select p_name as name, count(*) n from lineitem join part on l_partkey = p_partkey group by 1")
@@ -335,6 +339,16 @@ def fuzzy_next_page(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("share", F.round("share", 6))
 
 
+BOTH_NAMES = "least(levenshtein(lower(title), lower('Order#77')) / cast(greatest(length(title), 8) as double), levenshtein(lower(name), lower('Order#77')) / cast(greatest(length(name), 8) as double))"
+
+
+@query(f"select album_id, title, name, round({BOTH_NAMES}, 6) as share from @album join @artist using (artist_id) where {BOTH_NAMES} <= 0.3 order by {BOTH_NAMES}, album_id limit 5")
+def fuzzy_search_both(spark: SparkSession, d: str) -> DataFrame:
+    """The same over titles and artists: a row is as near as the nearer of the two."""
+    corpus = c.album(spark, d).join(c.artist(spark, d), "artist_id").select("album_id", "title", "name")
+    return fuzzy.search(corpus, "Order#77", ["title", "name"], "album_id").withColumn("share", F.round("share", 6))
+
+
 @query("select distinct a.p_name, b.p_name other, levenshtein(a.p_name, b.p_name) distance from (select distinct p_name from part) a join (select distinct p_name from part) b on a.p_name < b.p_name where levenshtein(a.p_name, b.p_name) <= 5")
 def fuzzy_join(spark: SparkSession, d: str) -> DataFrame:
     """Names of the vocabulary within 5 edits, found by segments."""
@@ -412,6 +426,23 @@ def src_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where("url is not null").select("page_id", "url", F.length("html").cast("long").alias("size"))
 
 
+# -- map ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+@tidy
+def music_map(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: every vector's place on a map of two principal components; held against numpy in the tests."""
+    return musicmap.project(table(spark, d, "embeddings")).select("vec_id", F.round(F.col("point")[0], 6).alias("x"), F.round(F.col("point")[1], 6).alias("y"))
+
+
+@query()
+@tidy
+def music_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: eight clusters on the map."""
+    return musicmap.clusters(musicmap.project(table(spark, d, "embeddings"))).select("vec_id", "cluster")
+
+
 # -- timelines and catalogue -------------------------------------------------------------------------------------
 
 DAILY = "select cast(date_trunc('day', ts) as date) as day, count(*) n from events group by 1"
@@ -441,6 +472,37 @@ def timeline_sessions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", F.col("start").cast("date").alias("day"), "n")
 
 
+@query("""select user_id, min(ts)::date as day, cast(count(*) as bigint) n from (select *, sum(cast(gap as int)) over (partition by user_id order by ts, event_id) s from
+  (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 12 hours, true) gap from events)) group by user_id, s""")
+def sessions_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: the same sessions as a stream with state, run to the end of its input."""
+    found = stateful.stream_sessions(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, 12 * 3600)
+    return found.select("user_id", F.col("start").cast("date").alias("day"), "n")
+
+
+HOPS = """select cast(start as date) as day, event_type, count(*) n from (select event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) start from events) group by all"""
+
+
+@query(HOPS)
+def timeline_hopping(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: events by type in windows of two days, a new one every day."""
+    return tl.hopping(tl.stamped(table(spark, d, "events"))).select(F.col("start").cast("date").alias("day"), "event_type", "n")
+
+
+@query(HOPS)
+def hopping_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: the same as a stream."""
+    found = stateful.stream_hopping(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    return found.select(F.col("start").cast("date").alias("day"), "event_type", "n")
+
+
+@query("select count(distinct user_id) keys, count(distinct user_id) ids, true as from_one from events")
+def ids_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: an id for every user as it first comes, in a stream with state; ids are unique and start at 1 or above."""
+    found = stateful.stream_ids(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, "user_id")
+    return found.agg(F.count("key").alias("keys"), F.count_distinct("id").alias("ids"), (F.min("id") >= 1).alias("from_one"))
+
+
 @query("select 'customer' as name, count(*) as rows from customer union all select 'orders', count(*) from orders")
 def table_summary(spark: SparkSession, d: str) -> DataFrame:
     for n in ("customer", "orders"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crateforge.functions import fuzzy, html, text
 from crateforge.operators import encode, features, knn, loader
 from crateforge.operators.ranges import numbered
-from crateforge.plans import catalog, insights, pipelines, records  # noqa: F401
+from crateforge.plans import catalog, graphs, insights, pages, pipelines, records  # noqa: F401
 from crateforge.plans.registry import ORACLE_SQL, QUERIES
 from crateforge.sources import io
 from crateforge.streaming import timeline
@@ -48,6 +48,18 @@ def test_query(spark, duck, name):
         assert got
 
 
+#: Queries whose rows have an order: those that the reference sorts, and pages of a search.
+SORTED = ["q02", "q03", "q05", "q05_nearest", "q06", "q11", "q14", "q16", "q16_recommended", "api_longest", "api_top_artist", "fuzzy_search", "fuzzy_next_page", "fuzzy_search_both"]
+
+
+@pytest.mark.parametrize("name", SORTED)
+def test_order(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    want = duck.sql(ORACLE_SQL[name])
+    got = [tuple(map(plain, r)) for r in df.select(*want.columns).collect()]
+    assert got == [tuple(map(plain, r)) for r in want.fetchall()] and got
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
