@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,7 +106,7 @@ def test_packing(spark):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     docs = rows(spark)
     cut = packing.pieces(docs, tokenizer_path(), keep_ids=True)
-    packed = packing.pack(cut, part_rows=60).collect()
+    packed = packing.pack(cut, part_rows=60, least_rows=1).collect()
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     whole = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in texts}
     assert sum(r.length for r in packed) == sum(len(whole[d]) for d, _ in texts)
@@ -122,6 +124,7 @@ def test_packing(spark):
         assert at <= 4096
     least = packing.lower_bound(np.array([r.length for r in packed]), 4096)
     assert least <= len(bins) <= least + 1
+    assert {(r.n_sequences, r.n_bound) for r in packed} == {(len(bins), least)}
     assert packing.pack(packing.pieces(docs.limit(0), tokenizer_path())).count() == 0
 
 
@@ -155,7 +158,7 @@ def plain_links(data):
         least = new
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 3, "deal": 40}])
+@pytest.mark.parametrize("sizes", [{}, {"block": 3, "deal": 40, "window": 8}])
 def test_embeddings(spark, sizes):
     vectors = read(spark, SF, "embeddings")
     odd = [(9001, None, 1), (9002, [0.0] * 64, 1), (9003, [1.0, None], 2), (9004, [float("nan")] * 64, 3), (9005, [1.0] * 64, None), (9006, [2.0] * 64, 4), (9007, [1.0] * 64, 4), (9008, [1.0] * 3, 4), (9009, [1.0] * 64, 4)]
@@ -183,6 +186,47 @@ def test_recall_of_embedding_links(spark, n, spread, far):
     assert len(want) >= 80 and same >= 0.95 * len(want) and 0.95 * 2 * len(want) <= sum(r.n_links for r in got.values()) <= 2 * len(want)
 
 
+@pytest.mark.parametrize(("n", "pairs", "seeds"), [(50_000, 1, (1, 2)), (50_000, 3, (4, 5)), (50_000, 200, (6,)), (120_000, 3, (7,))])
+def test_lone_pairs_of_a_dense_label_are_found(spark, tmp_path, n, pairs, seeds):
+    """Pairs at cosine 0.981 in one label of vectors whose mutual cosine is about 0.9: few of them must not be lost more than many."""
+    found = 0
+    for seed in seeds:
+        draw = np.random.default_rng(seed)
+        x = np.zeros((n, 64), np.float32)
+        x[:, 0] = 1
+        x += draw.normal(0, 0.33 / 8, x.shape).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.concatenate((x, embeddings.turned(x[:pairs].astype(float), draw.standard_normal((pairs, 64)), 0.981).astype(np.float32)))
+        path = str(tmp_path / f"v{seed}.parquet")
+        table = pa.table([pa.array(np.arange(len(x))), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32())), pa.array(np.ones(len(x), np.int32))], names=["vec_id", "embedding", "label"])
+        pq.write_table(table, path, row_group_size=10_000)
+        got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(spark.read.parquet(path)).where("n_links > 0").collect()}
+        found += sum(got.get(i, -1) == got.get(n + i, -2) for i in range(pairs))
+    assert found >= 0.95 * pairs * len(seeds)
+
+
+def test_embeddings_of_any_scale_and_rings_of_large_groups(spark):
+    """Components whose squares overflow or underflow link like others; large groups are counted in rings, tight ones without comparisons."""
+    draw = np.random.default_rng(4)
+    base = draw.standard_normal((1, 8))
+    chain = [(float(np.cos(a)), float(np.sin(a))) for a in np.arange(0, 3, 0.01)]  # one group, of which only near angles link
+    rows = [(i, (v * 10.0 ** (200 if i % 2 else -200)).tolist(), 1) for i, v in enumerate(base + draw.normal(0, 0.05, (20, 8)))]
+    rows += [(100 + i, list(c), 2) for i, c in enumerate(chain)] + [(1000 + i, (base[0] + draw.normal(0, 0.01, 8)).tolist(), 3) for i in range(90)]
+    rows += [(None, [1.0, 0.0, 0.0], 4), (2000, [1.0, 0.0, 0.0], 4), (2001, [1.0, 1e-3, 0.0], 4)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=16).collect()
+
+    def unit(v):
+        v = np.array(v) / np.abs(v).max()
+        return v / np.linalg.norm(v)
+
+    for label in (1, 2, 3, 4):
+        own = [(i, unit(v)) for i, v, k in rows if k == label]
+        links = (np.array([u for _, u in own]) @ np.array([u for _, u in own]).T >= 0.98).sum(axis=1) - 1
+        ids = {i for i, _ in own}
+        assert sorted((str(r.vec_id), r.n_links) for r in got if r.vec_id in ids) == sorted((str(i), int(k)) for (i, _), k in zip(own, links))
+    assert {r.component_id for r in got if r.vec_id in (None, 2000, 2001)} == {2000}
+
+
 # -- classifiers -------------------------------------------------------------------------------------------------
 
 
