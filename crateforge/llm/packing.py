@@ -1,9 +1,11 @@
 """Best-fit packing with bound-certified repacking.
 
-Documents become token ids, are cut into pieces of at most ``capacity``, and the pieces are dealt evenly into partitions.
-Each partition is packed by best-fit decreasing; dual-feasible functions bound its bin count from below. Partitions above
-their bound give all their pieces, certified ones their least filled bin, to an exchange, which is dealt anew and packed
-again; the new packing is taken if it has fewer bins.
+Documents become token ids, are cut into pieces of at most ``capacity``, and the pieces are dealt evenly into partitions,
+one for each core at least. Each partition is packed by best-fit decreasing; dual-feasible functions bound its bin count
+from below. Partitions above their bound give all their pieces, certified ones their least filled bin, to an exchange, which
+is dealt anew, into fewer partitions, and packed again by best-fit decreasing; the new packing is taken if it has fewer bins.
+The bound of all pieces together, from the counts of their lengths, certifies the whole: exchanges end when it is met, or
+when one gains nothing. The result says how many sequences there are and how many are proven necessary.
 
 Tokens: white space separates what the tokenizer's patterns can match, so a text's ids are the ids of its
 white-space-separated words in order; words are looked up in a bounded cache and only new ones are encoded.
@@ -226,7 +228,11 @@ def lower_bound(lengths: np.ndarray, capacity: int, depth: int = 24) -> int:
 
     u_k rounds a size to multiples of 1/k unless (k+1) times it is whole; U_e drops sizes under e, rounds those over 1-e up to 1.
     """
-    sizes, counts = np.unique(lengths, return_counts=True)
+    return bound_of(*np.unique(lengths, return_counts=True), capacity, depth)
+
+
+def bound_of(sizes: np.ndarray, counts: np.ndarray, capacity: int, depth: int = 24) -> int:
+    """The same for distinct sizes, ascending, and how many pieces have each."""
     if not len(sizes):
         return 0
     best = -(-int(sizes @ counts) // capacity)
@@ -264,9 +270,9 @@ def _pack(capacity: int, base: int):
     return run
 
 
-def _packed(rows: DataFrame, count: int, capacity: int, part_rows: int, base: int) -> tuple[DataFrame, str]:
+def _packed(rows: DataFrame, parts: int, capacity: int, base: int) -> tuple[DataFrame, str]:
     """Dealt round-robin, so that neither a document nor repeated rows make a partition large."""
-    return stage(rows.repartition(max(1, -(-count // part_rows))).mapInArrow(_pack(capacity, base), PACKED_SQL))
+    return stage(rows.repartition(max(1, parts)).mapInArrow(_pack(capacity, base), PACKED_SQL))
 
 
 def _bins(df: DataFrame) -> int:
@@ -274,20 +280,31 @@ def _bins(df: DataFrame) -> int:
 
 
 @tidy
-def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 200_000, rounds: int = 3) -> DataFrame:
-    """The pieces with sequence_id and offset. Every partition holds about ``part_rows`` pieces, however large the input."""
+def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 200_000, rounds: int = 3, least_rows: int = 500) -> DataFrame:
+    """The pieces with sequence_id and offset, and on every row n_sequences and n_bound, the sequences proven necessary.
+
+    Every partition holds at most about ``part_rows`` pieces, however large the input, and about ``least_rows`` at least, where
+    there are not enough pieces for all cores.
+    """
     columns = [f.name for f in PIECES]
     cut, _ = stage(cut)
-    done, _ = _packed(cut, cut.count(), capacity, part_rows, 0)
+    count, cores = cut.count(), cut.sparkSession.sparkContext.defaultParallelism
+    lengths = sorted((r["length"], r["count"]) for r in cut.groupBy("length").count().collect())  # capacity rows at most
+    bound = bound_of(np.array([n for n, _ in lengths], np.int64), np.array([k for _, k in lengths], np.int64), capacity)
+    parts = max(-(-count // part_rows), min(cores, count // least_rows))
+    done, _ = _packed(cut, parts, capacity, 0)
+    used = _bins(done)
     for k in range(1, rounds + 1):
+        if used <= bound:
+            break
         pool = done.where("gap > 0 or loose")
-        parts = pool.select(F.shiftright("sequence_id", 28).alias("part")).distinct().limit(2).count()
-        if parts < 2:
+        if pool.select(F.shiftright("sequence_id", 28).alias("part")).distinct().limit(2).count() < 2:
             break
         before = _bins(pool)
-        again, path = _packed(pool.select(*columns), pool.count(), capacity, part_rows, k)
-        if _bins(again) >= before:
+        again, path = _packed(pool.select(*columns), -(-pool.count() // part_rows), capacity, k)
+        gained = before - _bins(again)
+        if gained <= 0:
             discard(cut.sparkSession, path)
             break
-        done = done.where("not (gap > 0 or loose)").unionByName(again)
-    return done.drop("gap", "loose")
+        done, used = done.where("not (gap > 0 or loose)").unionByName(again), used - gained
+    return done.drop("gap", "loose").withColumns({"n_sequences": F.lit(used).cast("long"), "n_bound": F.lit(bound).cast("long")})
