@@ -1,6 +1,8 @@
 """Secret scans by grammar inference.
 
-Labelled credentials of each format form a prefix tree; states that have equal rests to come and whose frequencies a
+Labelled credentials are of two sources: made ones of public formats, and values that the corpus's own texts assign to a
+password, secret, token or key, grouped by shape, so that a format which no list has is learned where it stands labelled and
+found where it does not. The credentials of each format form a prefix tree; states that have equal rests to come and whose frequencies a
 Hoeffding bound cannot tell apart are merged (red-blue order) into a probabilistic automaton per format. Every candidate
 token of a text is then scored by its log likelihood per symbol under the best automaton against that under ordinary
 tokens, whose symbol pairs are counted over all texts, base spans left out.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crateforge.llm import spans
-from crateforge.llm.common import column_of, over_rows, wanted
+from crateforge.llm.common import column_of, over_rows, stage, tidy, wanted
 
 KINDS = ["assign", "access", "hex"]
 # The patterns of the base kinds.
@@ -220,18 +222,51 @@ def pair_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(code[:-1] * WIDE + code[1:], minlength=WIDE * WIDE)
 
 
-def _pairs(batches):
-    """Rows (pair, n): a task's symbol pairs outside the base spans."""
-    counts = np.zeros(WIDE * WIDE, np.int64)
+#: What a value begins with if it names its kind: up to the last "_" or "-" of its first eight symbols.
+PREFIX = re.compile(r"[A-Za-z0-9_-]{1,7}[_-]")
+#: Bounds of the credentials that the corpus teaches: length of a value, distinct values of a shape, shapes, and values of a shape.
+SHORTEST, ENOUGH, SHAPES, TAUGHT = 16, 30, 16, 150
+
+
+def shape_of(value: str) -> str:
+    """Values of one shape are taken for one format: those of one prefix, or without one of one length."""
+    found = PREFIX.match(value)
+    return found[0] if found else f"#{len(value)}"
+
+
+def _seen(batches):
+    """Rows (pair, n, shape, value): a task's symbol pairs outside the base spans, and the distinct values that its texts assign."""
+    counts, values = np.zeros(WIDE * WIDE, np.int64), set()
+    names, kinds = ["pair", "n", "shape", "value"], [pa.int32(), pa.int64(), pa.string(), pa.string()]
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(columns[-1]), k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
     for batch in batches:
         texts = []
         for text in batch.column("text").to_pylist():
             if text:
                 found = base_spans(text)
                 texts.append(spans.redact(text, [s[1:3] for s in found], "\n") if found else text)
+                values.update(v for kind, a, b in found if kind == "assign" and len(v := ASSIGN.match(text, a, b)[1].rstrip(".=-")) >= SHORTEST)
         counts += pair_counts(texts)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["pair", "n"])
+        if len(values) > 10_000:
+            listed = sorted(values)
+            values.clear()
+            yield rows(None, None, [shape_of(v) for v in listed], listed)
+    listed, at = sorted(values), np.flatnonzero(counts)
+    yield rows(None, None, [shape_of(v) for v in listed], listed)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.string())], names=names)
+
+
+def taught(values: DataFrame) -> list[tuple[str, str]]:
+    """Credentials (shape, value) of the commonest shapes that enough distinct ``values`` (shape, value) have.
+
+    A bounded sample: SHAPES shapes, and of each about TAUGHT values, drawn by hash; no shape's values are ranked or meet.
+    """
+    shapes = values.groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") >= ENOUGH).orderBy(F.desc("n"), "shape").limit(SHAPES)
+    drawn = F.pmod(F.xxhash64("value"), F.lit(1 << 31)) < F.lit(float(TAUGHT << 31)) / F.col("n")
+    return sorted((r.shape, r.value) for r in values.join(F.broadcast(shapes), "shape").where(drawn).select("shape", "value").collect())
 
 
 class Rival:
@@ -303,12 +338,21 @@ def find(text: str, model: Model, threshold: float) -> tuple[list[tuple], list[t
     return base, sorted(base + more, key=lambda s: (s[1], order.index(s[0])))
 
 
+@tidy
 def fit(docs: DataFrame, credentials: list[tuple[str, str]] | None = None) -> Model:
-    """Automata from the labelled credentials, a bounded list (format, value), by default 150 of each public format; the rival from all of ``docs`` (text)."""
-    rows = docs.select("text").mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    """Automata from the labelled credentials, a bounded list (format, value), and the rival from all of ``docs`` (text).
+
+    By default the credentials are 150 made ones of each public format, and those that the corpus itself labels: values that
+    its texts assign to a password, secret, token or key, by shape.
+    """
+    rows, _ = stage(docs.select("text").mapInArrow(_seen, "pair int, n long, shape string, value string"))
+    pairs = rows.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(WIDE * WIDE, np.int64)
-    counts[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
-    return Model(labelled() if credentials is None else credentials, counts)
+    counts[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    if credentials is None:
+        values, _ = stage(rows.where("value is not null").select("shape", "value").distinct())
+        credentials = labelled() + [(f"corpus {shape}", value) for shape, value in taught(values)]
+    return Model(credentials, counts)
 
 
 def secrets(docs: DataFrame, credentials: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:

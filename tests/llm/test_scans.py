@@ -235,7 +235,7 @@ def test_simhash_against_brute_force(spark):
 
 
 def test_links_short_and_long_lists(spark):
-    from crateforge.llm.components import components
+    from crateforge.operators.components import components
 
     draw = np.random.default_rng(3)
     seeds = draw.integers(0, 2**63, 40, dtype=np.uint64)
@@ -250,3 +250,30 @@ def test_links_short_and_long_lists(spark):
         roots = {r.node: r.root for r in components(simhash.links(df, limit)).collect()}
         assert {s: roots.get(s, s) for s in signed} == want
     assert all(any(set(b) <= set(c) for b in simhash.BLOCKS) for c in __import__("itertools").combinations(range(8), 5))
+
+
+def test_a_format_that_only_the_corpus_labels_is_found(spark):
+    """Values of a ninth format are assigned in some texts and stand alone in others; FORMATS has none like it."""
+    import random
+
+    draw = random.Random(3)
+    new = lambda: "zq9_" + "".join(draw.choices("ABCDEFGHJKMNPQRSTVWXYZ23456789", k=28))
+    corpus = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(600).collect()]
+    alone = [new() for _ in range(40)]
+    texts = [f"{corpus[i][:300]} token = {new()} and more" for i in range(120)] + [f"{corpus[200 + i][:300]} see {k}, please" for i, k in enumerate(alone)] + corpus[300:]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, value string")
+    found, made = ({r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.found if s.kind == "format"} for r in secrets.secrets(docs, given).collect()} for given in (None, secrets.labelled()))
+    assert sum(alone[i - 120] in found[i] for i in range(120, 160)) >= 39
+    assert all(found[i] == made[i] for i in range(160, len(texts)))  # other texts gain no spans
+    assert not any(alone[i - 120] in made[i] for i in range(120, 160))  # without the corpus's own values the format is unknown
+
+
+def test_words_that_are_assigned_teach_no_words(spark):
+    """Passwords made of ordinary words are base spans, but ordinary words elsewhere stay clean."""
+    words = "correct horse battery staple mountain river window garden yellow orange purple silver".split()
+    texts = [f"password: {a}{b}{c} for door {i}" for i, (a, b, c) in enumerate((a, b, c) for a in words for b in words for c in words[:3])]
+    texts += [f"the {a}{b}{c} stands alone" for a in words for b in words for c in words[3:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.secrets(docs).collect()
+    alone = [r for r in found if r.doc_id >= 432]
+    assert sum(len(r.found) > 0 for r in alone) <= len(alone) / 50
