@@ -14,6 +14,11 @@ one bucket, which therefore builds its part of the trie alone and answers every
 A question is a compressed array of one block for one bucket, so that a very frequent gram or word is one entry of each
 block and no more.
 
+Contexts of NEAR bytes are not equally frequent, and a very frequent one would make its bucket as large as the corpus lets
+it. Buckets whose questions have more entries than ``bucket_entries`` are looked at: contexts that alone have as many are
+dealt by one byte more, their children likewise if need be, until whole contexts of ``order`` bytes are left. A child's
+bucket is given what it cannot know, the counts of the symbols after its parents, at most 256 each.
+
 Defined results: null and empty texts are one end token and the end symbol; very long texts are scored whole; a null doc_id
 counts as training; repeated rows count and are scored each; an empty training set gives V = N = 0 and a uniform model; an
 empty table gives no rows; extra columns, whatever their names, are left out.
@@ -27,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,9 +216,35 @@ def _arrays(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _gram_bucket(keys: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    near = (keys >> np.uint64(8)) & np.uint64((1 << (8 * min(NEAR, order))) - 1)
-    return (((near + np.uint64(1)) * Table.MULTIPLIER) >> np.uint64(33)).astype(np.int64) % buckets
+def _near(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` bytes next to the symbol."""
+    return (keys >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
+
+
+class Routes:
+    """To which bucket the question about a gram goes; ``hot`` has, by depth, the contexts that are dealt by one byte more."""
+
+    def __init__(self, order: int, buckets: int, hot: dict[int, np.ndarray] | None = None):
+        self.order, self.least, self.buckets, self.hot = order, min(NEAR, order), buckets, hot or {}
+
+    def depth(self, keys: np.ndarray) -> np.ndarray:
+        """How many bytes next to the symbol decide."""
+        depth, at = np.full(len(keys), self.least), np.arange(len(keys))
+        for d in range(self.least, self.order):
+            at = at[np.isin(_near(keys[at], d), self.hot.get(d, np.zeros(0, np.uint64)))]
+            depth[at] = d + 1
+        return depth
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Buckets from 0 on, and beyond 2^61 the parts of hot contexts."""
+        mixed = lambda near, d: (near + np.uint64(d)) * Table.MULTIPLIER
+        bucket = (mixed(_near(keys, self.least), 1) >> np.uint64(33)).astype(np.int64) % self.buckets
+        if self.hot:
+            depth = self.depth(keys)
+            for d in range(self.least + 1, self.order + 1):
+                at = np.flatnonzero(depth == d)
+                bucket[at] = (mixed(_near(keys[at], d), d) >> np.uint64(3)).astype(np.int64) | (1 << 61)
+        return bucket
 
 
 def _word_bucket(words: list[bytes], buckets: int) -> np.ndarray:
@@ -240,8 +272,12 @@ def _words(texts: list[bytes], held: list[bool]) -> Counter:
     return found
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary())])
-BLOCKS_SQL = "block long, kind string, bucket int, blob binary"
+BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("bucket", pa.int64()), ("blob", pa.binary()), ("entries", pa.int64())])
+BLOCKS_SQL = "block long, kind string, bucket long, blob binary, entries long"
+
+
+def _gram_question(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return _blob(np.diff(keys, prepend=np.uint64(0)), counts.astype("<u4"))
 
 
 def _ask(order: int, buckets: int, block_bytes: int):
@@ -250,16 +286,16 @@ def _ask(order: int, buckets: int, block_bytes: int):
     def block(number, docs, held, texts):
         ids = np.array([d or 0 for d in docs], "<i8")
         flags = [np.array(x, np.uint8) for x in ([d is None for d in docs], held)]
-        rows = [("text", -1, _blob(ids, *flags, np.array([len(t) for t in texts], "<u8"), np.frombuffer(b"".join(texts), np.uint8)))]
+        rows = [("text", -1, _blob(ids, *flags, np.array([len(t) for t in texts], "<u8"), np.frombuffer(b"".join(texts), np.uint8)), 0)]
         keys, n = _counted(texts, held, order)
-        for k, at in _dealt(_gram_bucket(keys, order, buckets)):
-            rows.append(("gram", k, _blob(np.diff(keys[at], prepend=np.uint64(0)), n[at].astype("<u4"))))
+        for k, at in _dealt(Routes(order, buckets)(keys)):
+            rows.append(("gram", k, _gram_question(keys[at], n[at]), len(at)))
         found = _words(texts, held)
         words, n = list(found), np.fromiter(found.values(), np.int64, len(found))
         for k, at in _dealt(_word_bucket(words, buckets)):
-            rows.append(("word", k, _blob(np.frombuffer(b"\n".join([words[i] for i in at.tolist()]), np.uint8), n[at].astype("<u4"))))
-        kinds, at, blobs = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), pa.array(kinds), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], schema=BLOCKS)
+            rows.append(("word", k, _blob(np.frombuffer(b"\n".join([words[i] for i in at.tolist()]), np.uint8), n[at].astype("<u4")), len(at)))
+        kinds, at, blobs, entries = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), pa.array(kinds), pa.array(at, pa.int64()), pa.array(blobs, pa.binary()), pa.array(entries, pa.int64())], schema=BLOCKS)
 
     def run(batches):
         from pyspark import TaskContext
@@ -300,18 +336,119 @@ def _short(order: int):
     return run
 
 
+def _sizes(routes: Routes, depth: int):
+    """Questions -> rows (near, n): how many entries each context of ``depth`` bytes has, of those that are dealt by as many."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                keys, _ = _question(blob.as_py())
+                near, n = np.unique(_near(keys[routes.depth(keys) == depth], depth), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int64)), pa.array(n)], names=["near", "n"])
+
+    return run
+
+
+def _parent(near: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each context of each depth."""
+    return near.astype(np.int64) | (depth << 56)
+
+
+def _split(routes: Routes):
+    """Questions to large buckets -> the same by the buckets of ``routes``, each with the numbers of its contexts' parents."""
+
+    def run(batches):
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                keys, n = _question(blob.as_py())
+                depth, rows = routes.depth(keys), []
+                for k, at in _dealt(routes(keys)):
+                    parents = {int(p) for d in range(routes.least, int(depth[at].max())) for p in _parent(np.unique(_near(keys[at][depth[at] > d], d)), d)}
+                    rows.append((k, _gram_question(keys[at], n[at]), len(at), sorted(parents)))
+                if rows:
+                    k, blobs, entries, parents = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block] * len(rows), pa.int64()), pa.array(["gram"] * len(rows)), pa.array(k, pa.int64()), pa.array(blobs, pa.binary()), pa.array(entries, pa.int64()), pa.array(parents, pa.list_(pa.int64()))],
+                        names=[*BLOCKS.names, "parents"],
+                    )
+
+    return run
+
+
+def _after_parents(routes: Routes):
+    """Questions to large buckets -> rows (parent, gram, n): the counts of the symbols after each hot context."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                keys, n = _question(blob.as_py())
+                depth = routes.depth(keys)
+                for d in range(routes.least, routes.order):
+                    at = (depth > d) & (n > 0)
+                    ((grams, c),) = orders(keys[at], n[at], range(d, d + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(_parent(_near(grams, d), d)), pa.array(grams.astype(np.int64)), pa.array(c)], names=["parent", "gram", "n"])
+
+    return run
+
+
+def _listed(table: pa.Table) -> pa.Table:
+    """A parent's symbols, at most 256, as one blob."""
+    table = table.sort_by("gram")
+    depth = np.array([table.column("parent")[0].as_py() >> 56], np.uint8)
+    blob = _blob(table.column("gram").to_numpy().astype("<u8"), table.column("n").to_numpy().astype("<u8"), depth)
+    return pa.table([table.column("parent")[:1], pa.array([blob], pa.binary())], names=["parent", "blob"])
+
+
+def dealt_anew(asked: DataFrame, order: int, buckets: int, bucket_entries: int) -> tuple[DataFrame, Routes]:
+    """The questions of ``asked``, those of hot contexts in buckets of their own; and their routes.
+
+    Hot contexts are few: each has more than ``bucket_entries`` of all entries.
+    """
+    spark, routes = asked.sparkSession, Routes(order, buckets)
+    questions = asked.where("kind <> 'text'")
+    full = questions.where("kind = 'gram'").groupBy("bucket").agg(F.sum("entries").alias("n")).where(F.col("n") > bucket_entries).select("bucket")
+    full, _ = stage(full)
+    if full.isEmpty():
+        return questions, routes
+    large, _ = stage(questions.where("kind = 'gram'").join(full, "bucket", "left_semi").select(*BLOCKS.names))
+    for depth in range(routes.least, order):
+        sizes = large.select("blob").mapInArrow(_sizes(routes, depth), "near long, n long").groupBy("near").agg(F.sum("n").alias("n"))
+        found = sizes.where(F.col("n") > bucket_entries).select("near").toArrow().column("near").to_numpy()
+        if not len(found):
+            break
+        routes = Routes(order, buckets, routes.hot | {depth: np.sort(found.astype(np.uint64))})
+    if not routes.hot:
+        return questions, routes
+    split, _ = stage(large.mapInArrow(_split(routes), BLOCKS_SQL + ", parents array<long>"))
+    after = large.select("blob").mapInArrow(_after_parents(routes), "parent long, gram long, n long").groupBy("parent", "gram").agg(F.sum("n").alias("n")).groupBy("parent").applyInArrow(_listed, "parent long, blob binary")
+    above = split.select("bucket", F.explode("parents").alias("parent")).distinct().join(after, "parent")
+    above = above.select(F.lit(-1).cast("long").alias("block"), F.lit("above").alias("kind"), "bucket", "blob", F.lit(256).cast("long").alias("entries"))
+    rest = questions.where("kind = 'word'").unionByName(questions.where("kind = 'gram'").join(full, "bucket", "left_anti").select(*BLOCKS.names))
+    return rest.unionByName(split.drop("parents")).unionByName(above), routes
+
+
 ANSWERS_SQL = BLOCKS_SQL + ", n long, v long"
 
 
 def _answer(sent, order: int):
     """One bucket: every block's questions -> the answers, in each question's order. A bucket of words adds its N and V."""
 
-    def grams(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
+    def tables(keys: np.ndarray, c: np.ndarray, above: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Grams of the orders that are not short: a context is whole here if it has as many bytes as decide, else it comes from above."""
+        depth, given = sent.value[1].depth(keys), [_arrays(b) for b in above]
+        found = []
+        for j in range(min(NEAR, order), order + 1):
+            here = depth <= j
+            of = [(g, n.astype(np.int64)) for g, n, d in given if d[0] == j]
+            found.append(_summed(np.concatenate((keys[here] & np.uint64((1 << (8 * (j + 1))) - 1), *(g for g, _ in of))), np.concatenate((c[here], *(n for _, n in of)))))
+        return found
+
+    def grams(blobs: list[bytes], above: list[bytes]) -> tuple[list[bytes], int, int]:
         asked = [_question(b) for b in blobs]
         keys, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
         c = np.bincount(at, np.concatenate([n for _, n in asked]), len(keys)).astype(np.int64)
         known = c > 0
-        value = Model([*sent.value, *orders(keys[known], c[known], range(min(NEAR, order), order + 1))]).logs(keys)
+        value = Model([*sent.value[0], *tables(keys[known], c[known], above)]).logs(keys)
         cuts = np.cumsum([len(k) for k, _ in asked])[:-1]
         return [_blob(value[x].astype("<f4").view("<u4")) for x in np.split(at, cuts)], 0, 0
 
@@ -324,9 +461,15 @@ def _answer(sent, order: int):
         return [_blob(c[x].astype("<u8")) for x in np.split(at, np.cumsum([len(p) for p in every])[:-1])], int(c.sum()), int((c > 0).sum())
 
     def run(table: pa.Table) -> pa.Table:
-        blobs, n, v = (words if table.column("kind")[0].as_py() == "word" else grams)(table.column("blob").to_pylist())
+        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        above = [b for b, k in zip(blobs, kinds) if k == "above"]
+        table = table.filter(pc.not_equal(table.column("kind"), "above"))
+        if not table.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())], names=[*BLOCKS.names, "n", "v"])
+        blobs = table.column("blob").to_pylist()
+        blobs, n, v = words(blobs) if kinds[0] == "word" else grams(blobs, above)
         first = lambda x: pa.array([x] + [0] * (len(blobs) - 1), pa.int64())
-        return pa.table([table.column("block"), table.column("kind"), table.column("bucket"), pa.array(blobs, pa.binary()), first(n), first(v)], names=["block", "kind", "bucket", "blob", "n", "v"])
+        return pa.table([table.column("block"), table.column("kind"), table.column("bucket"), pa.array(blobs, pa.binary()), table.column("entries"), first(n), first(v)], names=[*BLOCKS.names, "n", "v"])
 
     return run
 
@@ -334,7 +477,7 @@ def _answer(sent, order: int):
 SUMS_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
 
 
-def _sums(order: int, buckets: int):
+def _sums(order: int, buckets: int, routes):
     """One block: its texts and the answers to its questions -> sums per document."""
 
     def values(keys: np.ndarray, bucket: np.ndarray, answers: dict[int, np.ndarray], kind) -> np.ndarray:
@@ -353,7 +496,7 @@ def _sums(order: int, buckets: int):
         ends, raw = np.cumsum(sizes).astype(np.int64), raw.tobytes()
         texts = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         keys, _ = _counted(texts, held.tolist(), order)
-        value, of, score = values(keys, _gram_bucket(keys, order, buckets), answers["gram"], np.float32), Table(keys), []
+        value, of, score = values(keys, routes.value[1](keys), answers["gram"], np.float32), Table(keys), []
         for part in _chunks(texts):
             data, starts = _joined(part, order)
             real = _symbols(data)[order:]
@@ -377,10 +520,11 @@ def _sums(order: int, buckets: int):
 
 
 @tidy
-def score(docs: DataFrame, order: int = 5, modulus: int = 7, out: int = 2, block_bytes: int = 12 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, modulus: int = 7, out: int = 2, block_bytes: int = 12 << 20, bucket_bytes: int = 32 << 20, bucket_entries: int = 8_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``block_bytes`` of text make a block, and there is a bucket for every ``bucket_bytes``: neither changes a result.
+    ``block_bytes`` of text make a block, there is a bucket for every ``bucket_bytes``, and a context of more entries than
+    ``bucket_entries`` has buckets of its own: none of them changes a result.
     """
     spark = docs.sparkSession
     docs = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", modulus) == out).alias("held_out"))
@@ -390,11 +534,13 @@ def score(docs: DataFrame, order: int = 5, modulus: int = 7, out: int = 2, block
     asked, asked_path = stage(docs.mapInArrow(_ask(order, buckets, block_bytes), BLOCKS_SQL))
     short = asked.where("kind = 'gram'").select("blob").mapInArrow(_short(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     low = orders(short.column("gram").to_numpy().view(np.uint64), short.column("n").to_numpy(), range(min(NEAR, order)))
-    questions = asked.where("kind <> 'text'").repartition(2 * buckets, "kind", "bucket")
-    answers, answers_path = stage(questions.groupBy("kind", "bucket").applyInArrow(_answer(spark.sparkContext.broadcast(low), order), ANSWERS_SQL))
+    questions, routes = dealt_anew(asked, order, buckets, bucket_entries)
+    questions = questions.withColumn("about", F.col("kind") == "word").repartition(2 * buckets, "about", "bucket")
+    sent = spark.sparkContext.broadcast((low, routes))
+    answers, answers_path = stage(questions.groupBy("about", "bucket").applyInArrow(_answer(sent, order), ANSWERS_SQL))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     both = asked.where("kind = 'text'").unionByName(answers.drop("n", "v"))
-    sums, _ = stage(both.repartition(max(cores, -(-size // block_bytes)), "block").groupBy("block").applyInArrow(_sums(order, buckets), SUMS_SQL))
+    sums, _ = stage(both.repartition(max(cores, -(-size // block_bytes)), "block").groupBy("block").applyInArrow(_sums(order, buckets, sent), SUMS_SQL))
     discard(spark, asked_path)
     discard(spark, answers_path)
     return sums.select(

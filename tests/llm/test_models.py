@@ -92,6 +92,28 @@ def test_ppm_base_and_gain(spark):
     assert ppm.score(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("entries", [30, 100])
+def test_hot_contexts_are_dealt_by_more_bytes(spark, entries):
+    """One context dominates; at either bound, and at two depths, scores stay what they are, and no bucket but one of whole contexts is larger."""
+    draw = np.random.default_rng(5)
+    words = ["the end", "then", "thence", "other", "\x00\x00\x00\x00 nul", "日本", "entend", "content"]
+    texts = [" ".join(draw.choice(words, 40)) + " the " + "".join(map(chr, draw.integers(97, 123, 60))) for _ in range(120)] + [None, "", "the " * 500]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    want = {r.doc_id: tuple(r) for r in ppm.score(docs, block_bytes=2000).collect()}
+    got = {r.doc_id: tuple(r) for r in ppm.score(docs, block_bytes=2000, bucket_entries=entries).collect()}
+    assert got.keys() == want.keys() and all(got[i][:-1] == want[i][:-1] and abs(got[i][-1] - want[i][-1]) < 1e-4 for i in want)
+    plain = docs.withColumn("held_out", F.lit(False))
+    asked = plain.select("doc_id", "text", "held_out").mapInArrow(ppm._ask(5, 4, 2000), ppm.BLOCKS_SQL).cache()
+    before = asked.where("kind = 'gram'").groupBy("bucket").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0]
+    questions, routes = ppm.dealt_anew(asked, 5, 4, entries)
+    assert 3 in routes.hot and (entries == 100 or 4 in routes.hot)
+    after = questions.where("kind = 'gram'").groupBy("bucket").agg(F.sum("entries").alias("n"), F.count("*").alias("blocks"))
+    whole = after.where("bucket >= (1L << 61)")
+    assert whole.agg(F.max(F.col("n") / F.col("blocks"))).first()[0] <= 256
+    assert questions.where("kind = 'gram'").agg(F.sum("entries")).first() == asked.where("kind = 'gram'").agg(F.sum("entries")).first()
+    assert after.agg(F.max("n")).first()[0] < before
+
+
 def test_ppm_gains_on_the_base(spark):
     held = ppm.score(read(spark, LARGE, "documents")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
