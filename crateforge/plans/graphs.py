@@ -105,7 +105,7 @@ def graph_betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Descriptors that two artists must share.
-SHARED = 40
+SHARED = 34
 
 
 @query(f"""with m as materialized (select distinct artist_id a, descriptor_id i from @album join @album_descriptor using (album_id))
