@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateforge.sources.staging import discard, stage, tidy  # noqa: F401  the operators stage through this module
 
 SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Fewer rows in an Arrow batch, for what is run inside; the session's own setting is put back."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before) if before is not None else spark.conf.unset(BATCH)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.llm.common import discard, stage, tidy, wanted
+from crateforge.llm.common import discard, small_batches, stage, tidy, wanted
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -74,7 +74,7 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 class Encoder:
     """Ids of texts through a cache of words, of which those used once are dropped when it holds ``most``."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -287,7 +287,8 @@ def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 200_000, rounds:
     there are not enough pieces for all cores.
     """
     columns = [f.name for f in PIECES]
-    cut, _ = stage(cut)
+    with small_batches(cut.sparkSession):  # texts wait in Spark's buffers while the tokenizer works
+        cut, _ = stage(cut)
     count, cores = cut.count(), cut.sparkSession.sparkContext.defaultParallelism
     lengths = sorted((r["length"], r["count"]) for r in cut.groupBy("length").count().collect())  # capacity rows at most
     bound = bound_of(np.array([n for n, _ in lengths], np.int64), np.array([k for _, k in lengths], np.int64), capacity)
