@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from crateforge.operators.knn import SCHEMA, _matrix, _nearest, usable, weighted
 from crateforge.operators.ranges import numbered
-from crateforge.sources.staging import stage
+from crateforge.sources.staging import stage, tidy
 
 #: Pivots at most, whatever the number of vectors.
 MOST_PIVOTS = 512
@@ -143,6 +143,7 @@ class PivotIndex:
         return best.select("query_id", "neighbour_id", "rank", "distance"), visits
 
 
+@tidy
 def knn_pivot(vectors: DataFrame, k: int = 5, slider: float = 1.0, audio: int = 13, queries: DataFrame | None = None, pivots: int | None = None, ring: int = 1024, visitors: int = 4096) -> DataFrame:
     """All k nearest of every query, as ``knn_block`` gives them, without a broadcast of the base and without all pairs.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crateforge.functions import pages
 from crateforge.functions.text import HOST
+from crateforge.operators import lookup
 from crateforge.plans import catalog as c
 from crateforge.plans.catalog import table
 from crateforge.plans.registry import query
@@ -134,3 +135,30 @@ def timeline_records(spark: SparkSession, d: str) -> DataFrame:
     line = tag("div", "catalog_line", tag("div", "catalog_date", " ", F.date_format("ts", "d MMM yyyy"), " "), tag("span", "catalog_user", "user", F.col("event_id").cast("string")))
     shown = _all(rows, "album_id", "event_id", line).select("album_id", F.concat(F.lit('<div class="catalog_list" id="catalog_list">'), "html", F.lit("</div>")).alias("html"))
     return pages.records(shown, "timeline", "album_id").drop("place")
+
+
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every album is asked for; of three, one has a page of its name, one a page that only its address finds, one none."""
+    albums = c.album(spark, d).join(c.artist(spark, d), "artist_id").select("album_id", F.concat("title", F.lit(" (Live) & é")).alias("title"), F.col("name").alias("artist"))
+    listed = _all(c.descriptor_list(spark, d), "album_id", "pos", F.concat(F.lit(" "), F.col("name"), F.lit(" ,"))).withColumnRenamed("html", "descriptors")
+    named, placed = F.col("album_id") % 3 == 0, F.col("album_id") % 3 == 1
+    key = F.when(named, lookup.name_key(F.col("artist"), F.col("title")))
+    own = F.when(placed, F.concat(F.lit(f"{HOST}/release/album/"), F.lower(F.replace("artist", F.lit(" "), F.lit("-"))), F.lit("/order#"), F.col("album_id").cast("string"), F.lit("-live-and-e/")))
+    pages_of = albums.where(named | placed).join(listed, "album_id", "left").select(key.alias("name"), own.alias("url"), "descriptors")
+    return lookup.descriptors(albums.select("artist", "title"), pages_of)
+
+
+ASKED = "select c_name artist, 'Order#' || o_orderkey || ' (Live) & é' title, o_orderkey k from orders join customer on o_custkey = c_custkey"
+
+
+@query(f"""select artist, title, case k % 3 when 0 then 'name' when 1 then 'address' end found_by, case when k % 3 < 2 then coalesce(names, '') end descriptors
+    from ({ASKED}) left join (select album_id k, string_agg(name, '|' order by pos) names from @descriptor_list group by 1) using (k)""")
+def descriptor_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptors by name, then by address."""
+    return _lookup(spark, d).select("artist", "title", "found_by", F.array_join("descriptors", "|").alias("descriptors"))
+
+
+@query(f"select artist, title from ({ASKED}) where k % 3 = 2")
+def descriptor_not_found(spark: SparkSession, d: str) -> DataFrame:
+    """The names as asked, of which there is neither."""
+    return lookup.not_found(_lookup(spark, d))

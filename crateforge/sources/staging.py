@@ -11,6 +11,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 _open = threading.local()
+#: The temporary folder of each local application that names none; the setting itself cannot be changed in a running session.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,8 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="crateforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="crateforge-")
+        found = _own[app]
     return found
 
 

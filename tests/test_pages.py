@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crateforge.functions import pages
+from crateforge.operators import lookup
 
 CHART = """
 <div class="topcharts_itembox chart_item_release">
@@ -90,3 +91,20 @@ def test_many_pages_keep_their_order(spark):
     rows = spark.range(200).select(F.col("id").alias("page_id"), F.lit(CHART).alias("html")).repartition(7)
     found = pages.records(rows, "chart")
     assert found.count() == 400 and found.where("(place = 1) <> (artist = 'Radiohead')").count() == 0
+
+
+def test_lookup_by_name_then_by_address(spark):
+    asked = spark.createDataFrame([("Sigur Rós", "( )"), ("Beyoncé", "4 / Live & More"), ("Low", "Ones"), ("Low", "Ones"), (None, "x"), ("Nobody", "Knows")], "artist string, title string")
+    have = spark.createDataFrame(
+        [
+            ("Sigur Rós - ( )", "https://rateyourmusic.com/release/album/x/y/", " cold , atmospheric,, "), ("Other", "https://rateyourmusic.com/release/album/beyonce/4-live-and-more/", "warm"),
+            ("Low - Ones", "https://rateyourmusic.com/release/album/low/ones/", None), (None, "https://rateyourmusic.com/release/album/low/ones/", "slow"), (None, None, "lost"),
+        ],
+        "name string, url string, descriptors string",
+    )
+    found = lookup.descriptors(asked, have)
+    rows = sorted((tuple(r) for r in found.collect()), key=str)
+    assert rows == sorted(
+        [("Sigur Rós", "( )", ["cold", "atmospheric"], "name"), ("Beyoncé", "4 / Live & More", ["warm"], "address"), ("Low", "Ones", [], "name"), ("Low", "Ones", [], "name"), (None, "x", None, None), ("Nobody", "Knows", None, None)], key=str
+    )
+    assert sorted((tuple(r) for r in lookup.not_found(found).collect()), key=str) == [("Nobody", "Knows"), (None, "x")]
