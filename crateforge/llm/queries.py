@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crateforge.llm import decontaminate, divergence, embeddings, langid, packing, pii, ppm, quality, runs, secrets, simhash, tokencount, toxicity
 from crateforge.llm.common import read
@@ -25,8 +26,13 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read(spark, sf_dir, "documents"))
 
 
+def _with_scores(found: DataFrame) -> DataFrame:
+    """The scores of all spans, in the order of the line ``spans``, in place of the structs."""
+    return found.withColumn("scores", F.transform("found", lambda s: F.round(s["score"], 6))).drop("found")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii(read(spark, sf_dir, "documents")).drop("found")
+    return _with_scores(pii.pii(read(spark, sf_dir, "documents")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(read(spark, sf_dir, "documents")).drop("found")
+    return _with_scores(secrets.secrets(read(spark, sf_dir, "documents")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
