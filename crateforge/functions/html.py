@@ -112,10 +112,21 @@ def labelled(page: Column, tag: str, sibling: str, css_class: str | None = None)
 
 
 def records(pages: DataFrame, fields: dict[str, tuple[str, str | None]], key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, info): for each page the text of the first element of each field's (tag, class); absent ones have no entry."""
-    found = pages.select(key, *[F.get(elements(F.col(html), tag, css), 0).getField("text").alias(name) for name, (tag, css) in fields.items()])
-    info = F.map_from_arrays(F.array(*[F.lit(n) for n in fields]), F.array(*[F.col(n) for n in fields]))
-    return found.select(key, F.map_filter(info, lambda _, v: v.isNotNull()).alias("info"))
+    """(key, info): for each page, read once, the text of the first element of each field's (tag, class); absent ones have no entry."""
+
+    def first(page: str | None) -> list[tuple[str, str]]:
+        found: dict[str, str] = {}
+        for tag, attrs, text, _, _ in _read(page, {tag for tag, _ in fields.values()}):
+            for name, (wanted, css) in fields.items():
+                if name not in found and tag == wanted and _has_class(attrs, css):
+                    found[name] = " ".join("".join(text).split())
+        return [(name, found[name]) for name in fields if name in found]
+
+    @F.pandas_udf("array<struct<name:string,value:string>>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda p: [{"name": n, "value": v} for n, v in first(p)])
+
+    return pages.select(key, F.map_from_entries(run(F.col(html))).alias("info"))
 
 
 def listing(pages: DataFrame, tag: str, css_class: str | None = None, key: str = "page_id", html: str = "html", max_page: int | None = None) -> DataFrame:

@@ -187,3 +187,11 @@ def api_answers(spark: SparkSession, d: str) -> DataFrame:
     answers = [io.answer(spark, known, n, ["r_regionkey"]).withColumn("name", F.lit(n)) for n in ("regions", "nothing")]
     rows = F.from_json("body", "results array<struct<r_regionkey:long>>").getField("results")
     return answers[0].unionByName(answers[1]).select("name", "status", F.when(rows.isNotNull(), F.size(rows).cast("long")).alias("n"))
+
+
+@query("select (row_number() over (order by o_orderkey) - 1) // 1000 page, o_orderkey, o_orderstatus from orders")
+def api_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A result too large for one answer, as JSON documents of 1,000 rows, read back."""
+    body = io.json_pages(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    rows = F.from_json("body", "results array<struct<o_orderkey:long,o_orderstatus:string>>").getField("results")
+    return body.select("page", F.inline(rows))

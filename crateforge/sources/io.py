@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crateforge.functions.text import split_list
+from crateforge.operators.ranges import numbered
 
 SEPARATORS = (",", "\t", ";", "|")
 
@@ -84,11 +85,25 @@ def append_unfinished(todo: DataFrame, path: str, key: str, work) -> int:
     return n
 
 
-def json_response(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row: the rows of a small result as a JSON document {"results": [...]}."""
-    row = F.struct(*df.columns)
-    listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), row.alias("r"))))
-    return df.agg(F.to_json(F.struct(F.transform(listed, lambda x: x.getField("r")).alias("results"))).alias("body"))
+#: Rows of one JSON document; larger results are asked for by pages.
+MOST_ROWS = 100_000
+
+
+def _document(order: list[str], columns: list[str]):
+    listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("r"))))
+    return F.to_json(F.struct(F.transform(listed, lambda x: x.getField("r")).alias("results")))
+
+
+def json_response(df: DataFrame, order: list[str], most: int = MOST_ROWS) -> DataFrame:
+    """One row: the rows of a result of at most ``most`` rows as a JSON document {"results": [...]}; more are an error."""
+    refused = F.raise_error(F.lit(f"more than {most} rows: ask for pages")).cast("string")
+    return df.limit(most + 1).agg(F.when(F.count("*") > most, refused).otherwise(_document(order, df.columns)).alias("body"))
+
+
+def json_pages(df: DataFrame, order: list[str], page_rows: int = 1000) -> DataFrame:
+    """(page, body): a result of any size as documents of ``page_rows`` rows each, from page 0 on; ``order`` must be total. No rows, no pages."""
+    rows = numbered(df, order, "_place").withColumn("page", F.floor(F.col("_place") / F.lit(page_rows)).cast("long"))
+    return rows.groupBy("page").agg(_document(order, df.columns).alias("body"))
 
 
 def answer(spark: SparkSession, known: dict, name: str, order: list[str]) -> DataFrame:

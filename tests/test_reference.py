@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import json
 import math
 
 import duckdb
@@ -285,3 +286,13 @@ def test_stream_of_nothing_and_of_two_files(spark, tmp_path):
     events.limit(0).write.parquet(str(tmp_path / "none"))
     assert {(str(r.day), r.n) for r in timeline.stream_daily(spark, str(tmp_path / "e*"), events.schema).collect()} == {("2024-01-01", 4), ("2024-01-02", 2)}
     assert timeline.stream_daily(spark, str(tmp_path / "none"), events.schema).count() == 0
+
+
+def test_answers_that_are_too_large_are_refused(spark):
+    rows = spark.range(30).withColumnRenamed("id", "n")
+    assert json.loads(io.json_response(rows, ["n"], 30).first().body)["results"] == [{"n": i} for i in range(30)]
+    with pytest.raises(Exception, match="ask for pages"):
+        io.json_response(rows, ["n"], 29).collect()
+    pages = {r.page: [x["n"] for x in json.loads(r.body)["results"]] for r in io.json_pages(rows.repartition(4), ["n"], 12).collect()}
+    assert pages == {0: list(range(12)), 1: list(range(12, 24)), 2: list(range(24, 30))}
+    assert io.json_pages(rows.limit(0), ["n"]).collect() == []
