@@ -400,10 +400,19 @@ def album_infos(spark: SparkSession, d: str) -> DataFrame:
     return found.join(items, "page_id", "left").join(pages.select("page_id", F.length("html").alias("size")), "page_id").select("page_id", "title", F.coalesce("items", F.lit(0)).alias("items"), "size")
 
 
-@query()
+def _shown(tag: str) -> str:
+    """SQL for an element's text as the reader gives it: references resolved, white space as single blanks."""
+    text = f"regexp_extract(html, '<{tag}>([^<]*)<', 1)"
+    for a, b in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{a};?', '{b}', 'g')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""select page_id, {_shown("h1")} as name, {_shown("footer")} footer, {_shown('div class="ad"')} advert from pages""")
 def artist_infos(spark: SparkSession, d: str) -> DataFrame:
-    """Variable keys per page, as a map."""
-    return html.records(table(spark, d, "pages"), {"name": ("h1", None), "footer": ("footer", None), "advert": ("div", "ad")}).select("page_id", F.to_json("info").alias("info"))
+    """Fields by name, from a map of those that a page has."""
+    found = html.records(table(spark, d, "pages"), {"name": ("h1", None), "footer": ("footer", None), "advert": ("div", "ad")})
+    return found.select("page_id", *[F.try_element_at("info", F.lit(n)).alias(n) for n in ("name", "footer", "advert")])
 
 
 @query("select page_id, cast(i as int) as rank, m[i] as href from (select page_id, unnest(range(1, len(m) + 1)) i, m from (select page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1) m from pages))")
