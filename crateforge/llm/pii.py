@@ -8,6 +8,8 @@ threshold without a context word.
 Every pattern reads each run of characters once, so that time grows with the length of a text whatever it holds: very
 long texts, also of one run of digits, are scanned whole.
 
+Added spans overlap neither base spans nor each other: of those that would, the likelier stays.
+
 Defined results: null and empty texts have no spans; an empty table gives no rows; offsets are code points; repeated rows
 give repeated results; extra columns, whatever their names, are left out.
 """
@@ -15,6 +17,7 @@ give repeated results; extra columns, whatever their names, are left out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +115,18 @@ def ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of spans (kind, start, end, score, ...) that overlap the one of higher score stays, then the longer, the earlier, the one of the lesser kind."""
+    starts: list[int] = []
+    kept: dict[int, tuple] = {}
+    for s in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
+        at = bisect_left(starts, s[2])  # those before begin before its end
+        if not at or kept[starts[at - 1]][2] <= s[1]:
+            starts.insert(bisect_left(starts, s[1]), s[1])
+            kept[s[1]] = s
+    return [kept[a] for a in starts]
+
+
 def find(text: str, threshold: float = 0.6) -> tuple[list[tuple], list[tuple]]:
     """Base spans and all spans, each (kind, start, end, score, base), by kind, then start."""
     base = [(k, a, b, score(text, k, a, b), True) for k, a, b in base_spans(text)]
@@ -121,7 +136,8 @@ def find(text: str, threshold: float = 0.6) -> tuple[list[tuple], list[tuple]]:
     proposed += [("bank_code", *m.span()) for m in BANK_CODE.finditer(text) if weighted_sum(m[0])]
     taken = spans.Taken(base)
     more = [(k, a, b, s, False) for k, a, b in proposed if taken.free(a, b) and (s := score(text, k, a, b)) >= threshold]
-    return base, base + more
+    kept = set(apart(more))
+    return base, base + [s for s in more if s in kept]
 
 
 def pii(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
