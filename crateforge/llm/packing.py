@@ -74,7 +74,7 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 class Encoder:
     """Ids of texts through a cache of words, of which those used once are dropped when it holds ``most``."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
