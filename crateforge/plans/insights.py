@@ -38,8 +38,10 @@ def q04(spark: SparkSession, d: str) -> DataFrame:
     return c.artist(spark, d).join(rows, "artist_id").groupBy("name").agg(F.min("i").alias("i"), F.min("m").alias("m")).where("i > 5 and m > 0").select("name")
 
 
-def _recommended(spark: SparkSession, d: str) -> DataFrame:
-    return c.recommendation(spark, d, ALBUM).join(c.album(spark, d).select(F.col("album_id").alias("recommended_id"), "title"), "recommended_id")
+def _recommended(spark: SparkSession, d: str, album_id: int = ALBUM) -> DataFrame:
+    """One album's neighbours by title; the album is a bound parameter of the query."""
+    edges = c.recommendation(spark, d, album_id)
+    return spark.sql("select recommended_id, title, score from {edges} join {album} a on a.album_id = recommended_id where {edges}.album_id = :album_id", args={"album_id": album_id}, edges=edges, album=c.album(spark, d))
 
 
 @query(f"select recommended_id, title, score from @recommendation r join (select album_id recommended_id, title from @album) using (recommended_id) where r.album_id = {ALBUM} order by score desc, recommended_id")

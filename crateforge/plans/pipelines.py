@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from crateforge.functions import fuzzy, html, text
 from crateforge.operators import editjoin, encode, features, knn, loader, musicmap, pivots, skyband
+from crateforge.operators.store import MUSIC, Store, summary
 from crateforge.plans import catalog as c
 from crateforge.plans.catalog import table
 from crateforge.plans.registry import query
 from crateforge.sources import io
-from crateforge.sources.staging import stage, tidy
+from crateforge.sources.staging import shared_dir, stage, tidy
 from crateforge.streaming import stateful
 from crateforge.streaming import timeline as tl
 
@@ -277,6 +279,21 @@ def load_recs(spark: SparkSession, d: str) -> DataFrame:
     return loader.number_new(rows, ["album_id", "recommended_id"], ["album_id", "rank"], "recommendation_id", extra=["score"])
 
 
+@query("""select 'artist' as name, count(*) as rows, count(*) as keys from @artist where artist_id in (select artist_id from @album) union all select 'album', count(*), count(*) from @album
+    union all select 'descriptor', count(*), count(*) from @descriptor union all select 'album_descriptor', count(*), count(*) from @album_descriptor""")
+def store_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The store's tables: half of the albums, all of them twice, then all replaced; what is there at the end."""
+    tables = Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", MUSIC)
+    albums, bridge, names = c.album(spark, d), c.album_descriptor(spark, d), c.descriptor(spark, d)
+    artists = c.artist(spark, d).join(albums.select("artist_id"), "artist_id", "left_semi")
+    tables.insert("artist", artists)
+    tables.insert("album", albums.where("album_id % 2 = 0"))
+    tables.insert("album", albums)
+    tables.insert("album", albums)
+    tables.replace({"artist": artists, "album": albums, "descriptor": names, "album_descriptor": bridge})
+    return summary(tables)
+
+
 @query("select distinct l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders)")
 def check_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
     return loader.orphans(table(spark, d, "lineitem").select("l_orderkey"), table(spark, d, "orders"), "l_orderkey", "o_orderkey").distinct()
