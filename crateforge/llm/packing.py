@@ -4,8 +4,8 @@ Documents become token ids, are cut into pieces of at most ``capacity``, and the
 one for each core at least. Each partition is packed by best-fit decreasing; dual-feasible functions bound its bin count
 from below. Partitions above their bound give all their pieces, certified ones their least filled bin, to an exchange, which
 is dealt anew, into fewer partitions, and packed again by best-fit decreasing; the new packing is taken if it has fewer bins.
-The bound of all pieces together, from the counts of their lengths, certifies the whole: exchanges end when it is met, or
-when one gains nothing. The result says how many sequences there are and how many are proven necessary.
+The bound of all pieces together, from the counts of their lengths, certifies the whole: exchanges end when it is met; until
+then each takes eight times as many of the least filled bins as the one before. The result says how many sequences there are and how many are proven necessary.
 
 Tokens: white space separates what the tokenizer's patterns can match, so a text's ids are the ids of its
 white-space-separated words in order; words are looked up in a bounded cache and only new ones are encoded.
@@ -246,11 +246,11 @@ def bound_of(sizes: np.ndarray, counts: np.ndarray, capacity: int, depth: int =
     return best
 
 
-PACKED_SQL = PIECES_SQL + ", sequence_id long, offset long, gap long, loose boolean"
+PACKED_SQL = PIECES_SQL + ", sequence_id long, offset long, gap long, place int"
 
 
 def _pack(capacity: int, base: int):
-    """One partition: all its rows, packed; gap = bins over the proven bound; loose = in the least filled bin."""
+    """One partition: all its rows, packed; gap = bins over the proven bound; place = of the row's bin among all, the least filled first."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -264,7 +264,9 @@ def _pack(capacity: int, base: int):
         gap = len(fill) - lower_bound(lengths, capacity)
         first = (base << 56) + (TaskContext.get().partitionId() << 28)
         table = table.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
-        table = table.append_column("gap", pa.array(np.full(len(bins), gap))).append_column("loose", pa.array(bins == int(fill.argmin())))
+        place = np.empty(len(fill), np.int32)
+        place[np.argsort(fill, kind="stable")] = np.arange(len(fill))
+        table = table.append_column("gap", pa.array(np.full(len(bins), gap))).append_column("place", pa.array(place[bins]))
         yield from table.to_batches(max_chunksize=10_000)
 
     return run
@@ -280,7 +282,7 @@ def _bins(df: DataFrame) -> int:
 
 
 @tidy
-def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 200_000, rounds: int = 3, least_rows: int = 500) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 200_000, rounds: int = 4, least_rows: int = 500) -> DataFrame:
     """The pieces with sequence_id and offset, and on every row n_sequences and n_bound, the sequences proven necessary.
 
     Every partition holds at most about ``part_rows`` pieces, however large the input, and about ``least_rows`` at least, where
@@ -298,14 +300,15 @@ def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 200_000, rounds:
     for k in range(1, rounds + 1):
         if used <= bound:
             break
-        pool = done.where("gap > 0 or loose")
+        given = (F.col("gap") > 0) | (F.col("place") < 8 ** (k - 1))
+        pool = done.where(given)
         if pool.select(F.shiftright("sequence_id", 28).alias("part")).distinct().limit(2).count() < 2:
             break
         before = _bins(pool)
         again, path = _packed(pool.select(*columns), -(-pool.count() // part_rows), capacity, k)
         gained = before - _bins(again)
-        if gained <= 0:
+        if gained > 0:
+            done, used = done.where(~given).unionByName(again), used - gained
+        else:
             discard(cut.sparkSession, path)
-            break
-        done, used = done.where("not (gap > 0 or loose)").unionByName(again), used - gained
-    return done.drop("gap", "loose").withColumns({"n_sequences": F.lit(used).cast("long"), "n_bound": F.lit(bound).cast("long")})
+    return done.drop("gap", "place").withColumns({"n_sequences": F.lit(used).cast("long"), "n_bound": F.lit(bound).cast("long")})
