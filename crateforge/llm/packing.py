@@ -49,11 +49,12 @@ SPACE, ALNUM, MARK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
-def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words of all texts in a row, and how many each text has.
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of all texts, for each word in a row which of them it is, and how many words each text has.
 
     A mark that closes a word of ASCII letters or digits is a token group of its own and becomes a word. The tokenizer
-    folds case itself, so folding ASCII here changes nothing; only its special tokens, which have "<|", mind it.
+    folds case itself, so folding ASCII here changes nothing; only its special tokens, which have "<|", mind it. Words that
+    differ in the white space behind them count as distinct here.
     """
     raw = b"\n".join(texts) + b"\n"
     data = np.frombuffer(raw, np.uint8)
@@ -68,7 +69,10 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     space = SPACE[data]
     begins = ~space
     begins[1:] &= space[:-1]
-    return data.tobytes().split(), np.add.reduceat(begins, starts, dtype=np.int64)
+    at = np.flatnonzero(begins)
+    offsets = np.append(at, len(data)).astype(np.int32)
+    rows = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]).dictionary_encode()
+    return [w.rstrip() for w in rows.dictionary.to_pylist()], rows.indices.to_numpy(), np.add.reduceat(begins, starts, dtype=np.int64)
 
 
 class Encoder:
@@ -143,11 +147,12 @@ class Encoder:
         """Ids of each text, the end id last."""
         if len(self.code) > self.most:
             self._shrink()
-        words, counts = split_words(texts)
-        at = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        words, which, counts = words_of(texts)
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
         if self.code.new:
             self._learn()
-        np.add.at(self.uses, at, 1)
+        np.add.at(self.uses, codes, np.bincount(which, minlength=len(words)))
+        at = codes[which]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         flat = self.pool[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -160,7 +165,7 @@ class Encoder:
 ENCODERS: dict[str, Encoder] = {}
 
 
-def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool, chunk: int = 1 << 20):
+def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool, chunk: int = 4 << 20):
     def run(batches):
         if path not in ENCODERS:
             ENCODERS[path] = Encoder(path)
