@@ -110,3 +110,9 @@ def export_name(url: Column) -> Column:
     """A file name from an address: its last part that is not empty, spaces as underscores."""
     parts = F.filter(F.split(url, "/"), lambda x: x != "")
     return F.replace(F.try_element_at(parts, F.lit(-1)), F.lit(" "), F.lit("_"))
+
+
+def export_path(kind: str, at: Column, name: Column | None = None) -> Column:
+    """Where an export of a kind goes: the second it is made, the kind, and the name of what it is about, if it has one."""
+    parts = [F.lit("Exports/"), F.unix_seconds(at).cast("string"), F.lit(f"_export_{kind}")]
+    return F.concat(*parts, *([F.coalesce(F.concat(F.lit("_"), name), F.lit(""))] if name is not None else []))

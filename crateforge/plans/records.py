@@ -101,6 +101,13 @@ def export_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.export_name(F.concat(F.lit(f"{text.HOST}/artist/"), "p_name", F.lit("/"))).alias("name"))
 
 
+@query("select o_orderkey, 'Exports/' || cast(epoch(o_orderdate) as bigint) || '_export_album_Order#' || o_orderkey as path, 'Exports/' || cast(epoch(o_orderdate) as bigint) || '_export_chart' as chart from orders")
+def export_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with the time of the export, with and without a name."""
+    at, name = F.col("o_orderdate").cast("timestamp"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", text.export_path("album", at, name).alias("path"), text.export_path("chart", at).alias("chart"))
+
+
 @query("select c_custkey, '#00' || c_nationkey as colour, c_name || ', ' || c_mktsegment as line, cast(1000 + c_nationkey as varchar) as overall from customer")
 def scraped_fields(spark: SparkSession, d: str) -> DataFrame:
     """A style's colour, a text of several lines as one, and the rank among all."""

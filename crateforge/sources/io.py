@@ -100,6 +100,14 @@ def json_response(df: DataFrame, order: list[str], most: int = MOST_ROWS) -> Dat
     return df.limit(most + 1).agg(F.when(F.count("*") > most, refused).otherwise(_document(order, df.columns)).alias("body"))
 
 
+def write_pretty_json(df: DataFrame, path: str, order: list[str], most: int = MOST_ROWS) -> None:
+    """A small result as one indented JSON array in a text file, characters beyond ASCII as they are; more than ``most`` rows are an error."""
+    listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*df.columns).alias("r"))))
+    body = F.to_json(F.transform(listed, lambda x: x.getField("r")), {"pretty": "true"})
+    refused = F.raise_error(F.lit(f"more than {most} rows")).cast("string")
+    df.limit(most + 1).agg(F.when(F.count("*") > most, refused).otherwise(body).alias("value")).write.text(path)
+
+
 def json_pages(df: DataFrame, order: list[str], page_rows: int = 1000) -> DataFrame:
     """(page, body): a result of any size as documents of ``page_rows`` rows each, from page 0 on; ``order`` must be total. No rows, no pages."""
     rows = numbered(df, order, "_place").withColumn("page", F.floor(F.col("_place") / F.lit(page_rows)).cast("long"))

@@ -296,3 +296,13 @@ def test_answers_that_are_too_large_are_refused(spark):
     pages = {r.page: [x["n"] for x in json.loads(r.body)["results"]] for r in io.json_pages(rows.repartition(4), ["n"], 12).collect()}
     assert pages == {0: list(range(12)), 1: list(range(12, 24)), 2: list(range(24, 30))}
     assert io.json_pages(rows.limit(0), ["n"]).collect() == []
+
+
+def test_pretty_json_keeps_characters(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "Sigur Rós"), (1, "日本")], "n int, name string")
+    io.write_pretty_json(rows, str(tmp_path / "out"), ["n"])
+    (part,) = (tmp_path / "out").glob("part-*")
+    raw = part.read_text(encoding="utf-8")
+    assert json.loads(raw) == [{"n": 1, "name": "日本"}, {"n": 2, "name": "Sigur Rós"}]
+    assert "Sigur Rós" in raw and len(raw.splitlines()) > 4
+    assert sorted(map(tuple, io.read_json(spark, str(tmp_path / "out"), "n int, name string").collect())) == [(1, "日本"), (2, "Sigur Rós")]
