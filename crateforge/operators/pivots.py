@@ -97,7 +97,7 @@ def _visits(k: int):
 class PivotIndex:
     """Vectors (vec_id, embedding) of the greatest length, in rings, staged in the shared folder."""
 
-    def __init__(self, vectors: DataFrame, slider: float = 1.0, audio: int = 13, pivots: int | None = None, ring: int = 1024):
+    def __init__(self, vectors: DataFrame, slider: float = 1.0, audio: int = 13, pivots: int | None = None, ring: int = 4096):
         spark = vectors.sparkSession
         base = usable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), weighted("embedding", slider, audio).alias("v"))
         self.width = base.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
@@ -105,7 +105,7 @@ class PivotIndex:
         self.rows, self.spark, self.ring = base.count(), spark, ring
         if not self.rows:
             return
-        most = min(MOST_PIVOTS, pivots or max(1, round(self.rows**0.5)))
+        most = min(MOST_PIVOTS, pivots or max(1, self.rows // ring))  # cells of a ring or two: more cells are more visits
         chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()  # bounded: MOST_PIVOTS vectors
         self.pivots = spark.sparkContext.broadcast(np.unique(_matrix(chosen, "vec_id", "v")[1], axis=0))
         placed = base.mapInArrow(_assigned(self.pivots), "vec_id long, v array<double>, cell int, d double")
@@ -144,7 +144,7 @@ class PivotIndex:
 
 
 @tidy
-def knn_pivot(vectors: DataFrame, k: int = 5, slider: float = 1.0, audio: int = 13, queries: DataFrame | None = None, pivots: int | None = None, ring: int = 1024, visitors: int = 4096) -> DataFrame:
+def knn_pivot(vectors: DataFrame, k: int = 5, slider: float = 1.0, audio: int = 13, queries: DataFrame | None = None, pivots: int | None = None, ring: int = 4096, visitors: int = 4096) -> DataFrame:
     """All k nearest of every query, as ``knn_block`` gives them, without a broadcast of the base and without all pairs.
 
     Vectors that cannot be compared (null ids, null vectors or components, shorter than the longest) neither ask nor are

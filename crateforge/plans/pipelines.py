@@ -38,7 +38,7 @@ def knn_tiled(spark: SparkSession, d: str) -> DataFrame:
 @query(KNN)
 def knn_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Without a broadcast of the base: queries visit only the rings that can hold a neighbour."""
-    return pivots.knn_pivot(table(spark, d, "embeddings"), 5, audio=10**6, ring=256).withColumn("distance", F.round("distance", 4))
+    return pivots.knn_pivot(table(spark, d, "embeddings"), 5, audio=10**6).withColumn("distance", F.round("distance", 4))
 
 
 SLIDERS = (0.0, 0.5, 1.0, 2.0)
