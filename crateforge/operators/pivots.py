@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crateforge.operators.knn import SCHEMA, _matrix, _nearest, usable, weighted
+from crateforge.operators.knn import SCHEMA, Base, _matrix, _nearest, found_table, usable, weighted
 from crateforge.operators.ranges import numbered
 from crateforge.sources.staging import stage, tidy
 
@@ -55,8 +55,7 @@ def _own_ring(k: int):
 
     def run(table: pa.Table) -> pa.Table:
         ids, x = _matrix(table, "vec_id", "v")
-        found = _nearest(ids, x, ids, x, k)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "neighbour_id", "distance"])
+        return found_table(_nearest(ids, x, Base(ids, x), k))
 
     return run
 
@@ -85,11 +84,8 @@ def _visits(k: int):
 
     def run(asked: pa.Table, ring: pa.Table) -> pa.Table:
         if not asked.num_rows or not ring.num_rows:
-            found = [np.zeros(0)] * 3
-        else:
-            ids, x = _matrix(asked, "query_id", "v")
-            found = _nearest(ids, x, *_matrix(ring, "vec_id", "v"), k)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "neighbour_id", "distance"])
+            return found_table([np.zeros(0)] * 3)
+        return found_table(_nearest(*_matrix(asked, "query_id", "v"), Base(*_matrix(ring, "vec_id", "v")), k, asked.column("bound").to_numpy() * (1 + SLACK)))
 
     return run
 

@@ -159,3 +159,32 @@ def test_skyband_of_nothing(spark):
     assert skyband.skyband(empty).collect() == []
     one = spark.createDataFrame([(1, [1.0] * 20)], empty.schema)
     assert skyband.skyband(one).collect() == [] and skyband.skyband(one, limit=0).collect() == []
+
+
+def _plain_nearest(ids, x, k):
+    out = set()
+    for i, q in zip(ids, x):
+        with np.errstate(all="ignore"):
+            d = np.sqrt(np.add.accumulate(np.square(q - x), axis=1)[:, -1])
+        d[ids == i] = np.inf
+        out |= {(i, ids[j], d[j]) for j in np.lexsort((ids, d))[:k] if np.isfinite(d[j])}
+    return out
+
+
+@pytest.mark.parametrize("size,shift", [(1.0, 0.0), (1e-3, 100.0), (0.0, 5.0), (1e150, 0.0)])
+def test_nearest_are_exact_and_few_pairs_are_measured(monkeypatch, size, shift):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 16)) * size + shift
+    x[7], x[8, 2], x[20:40] = np.nan, np.inf, x[20]  # no distance at all; copies, whose ties go to the smaller id
+    ids, measured, direct = rng.permutation(900).astype(np.int64), [], knn._direct
+    monkeypatch.setattr(knn, "_direct", lambda a, b: measured.append(len(a)) or direct(a, b))
+    found = knn._nearest(ids, x, knn.Base(ids, x), 5, chunk=128)
+    assert set(zip(*(f.tolist() for f in found))) == _plain_nearest(ids, x, 5)
+    if size == 1.0:
+        assert sum(measured) < 900 * 900 / 10
+
+
+def test_blocks_do_not_grow_in_number_with_the_table():
+    assert knn.sides(500, 256) == 2 and knn.sides(0, 256) == 1
+    assert knn.sides(10**5, 256) == knn.sides(10**6, 256) == knn.SIDES
+    assert 10**7 / knn.sides(10**7, 256) <= knn.WIDEST
