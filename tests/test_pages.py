@@ -108,3 +108,17 @@ def test_lookup_by_name_then_by_address(spark):
         [("Sigur Rós", "( )", ["cold", "atmospheric"], "name"), ("Beyoncé", "4 / Live & More", ["warm"], "address"), ("Low", "Ones", [], "name"), ("Low", "Ones", [], "name"), (None, "x", None, None), ("Nobody", "Knows", None, None)], key=str
     )
     assert sorted((tuple(r) for r in lookup.not_found(found).collect()), key=str) == [("Nobody", "Knows"), (None, "x")]
+
+
+def test_album_titles_cut_within_a_reference(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    titles = ["a &amp;&amp;&amp", "b &lt;x&gt; &quot;c&quot; &#39;d&#39; &am", "&", "e & f &amp;lt;", "&amp", "g &#3"]
+    rows = [(i, f"<html><head><title>{t}</title></head><body><ul><li>1</li><li>2</li></ul></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = set(con.execute(oracle_sql()["album_infos"]).fetchall())
+    assert {tuple(r) for r in queries()["album_infos"](spark, str(tmp_path)).collect()} == want
