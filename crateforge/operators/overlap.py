@@ -1,28 +1,100 @@
-"""Pairs of sets that share at least so many items, by a prefix filter over rare items: weighted bipartite projection."""
+"""Pairs of sets that share at least so many items: bits over a small vocabulary, a prefix filter over rare items beyond it."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateforge.operators.blocks import meet
+from crateforge.operators.knn import sides
+from crateforge.operators.ranges import numbered
+from crateforge.sources.staging import stage, tidy
 
+#: Items up to which sets are compared as bits: in so few, most sets share the rarest items of most others.
+MOST_BITS = 1024
 
-def overlap_join(members: DataFrame, least: int, key: str = "key", item: str = "item", block: int = 4096) -> DataFrame:
+
+def _bits(width: int):
+    """Rows (node, codes) -> (node, bits)."""
+
+    def run(batches):
+        for batch in batches:
+            codes = batch.column("codes")
+            held = np.zeros((batch.num_rows, width * 64), np.uint8)
+            held[np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy())), codes.flatten().to_numpy()] = 1
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in np.packbits(held, axis=1)], pa.binary())], names=["node", "bits"])
+
+    return run
+
+
+def _pairs(least: int, width: int, tile: int = 1 << 20):
+    """Two blocks of sets (the same one twice, or two) -> (x, y, shared) of the pairs that share enough."""
+
+    def words(table: pa.Table, name: str) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint64).reshape(-1, width)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            x, y, a, b = left.column("node").to_numpy(), right.column("other").to_numpy(), words(left, "bits"), words(right, "other_bits")
+            same, step = left.column("qb")[0] == left.column("bb")[0], max(1, tile // len(y))
+            for k in range(0, len(x), step):
+                shared = np.zeros((len(a[k : k + step]), len(b)), np.uint16)
+                for w in range(width):
+                    shared += np.bitwise_count(a[k : k + step, None, w] & b[None, :, w])
+                i, j = np.nonzero(shared >= least)
+                keep = x[i + k] < y[j] if same else np.ones(len(i), bool)
+                for part, values in zip(parts, (x[i + k][keep], y[j][keep], shared[i, j][keep].astype(np.int64))):
+                    part.append(values)
+        return pa.table([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), pa.int64()) for p in parts], names=["x", "y", "shared"])
+
+    return run
+
+
+def _by_bits(classes: DataFrame, vocabulary: DataFrame, items: int, least: int, block: int) -> DataFrame:
+    """(x, y, shared): blocks of classes meet pairwise, each pair of blocks once."""
+    width = -(-items // 64)
+    codes = numbered(vocabulary, ["item"], "code")
+    coded = classes.select("node", F.explode("items").alias("item")).join(codes, "item").groupBy("node").agg(F.collect_list("code").alias("codes"))
+    held, _ = stage(coded.mapInArrow(_bits(width), "node long, bits binary"))
+    n = sides(held.count(), block)
+    own = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    left = held.withColumn("qb", own).withColumn("bb", F.explode(F.sequence(F.col("qb"), F.lit(n - 1))))
+    right = held.select(F.col("node").alias("other"), F.col("bits").alias("other_bits"), own.alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("bb"))))
+    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(_pairs(least, width), "x long, y long, shared long")
+
+
+def _by_prefix(classes: DataFrame, least: int, block: int) -> DataFrame:
+    """(x, y, shared) of classes that meet in the s - least + 1 rarest items of each, s being its size."""
+    each = classes.select("node", F.explode("items").alias("item"))
+    rarity = each.groupBy("item").agg(F.count("*").alias("n"))
+    sets = each.join(rarity, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("by_n")).select("node", F.col("by_n").getField("item").alias("items"))
+    prefix = sets.select("node", "items", F.explode(F.slice("items", F.lit(1), F.size("items") - F.lit(least - 1))).alias("item"))
+    left, right = prefix.select("item", F.col("node").alias("x"), F.col("items").alias("x_items")), prefix.select("item", F.col("node").alias("y"), F.col("items").alias("y_items"))
+    shared = F.size(F.array_intersect("x_items", "y_items"))
+    return meet(right, left, ["item"], (F.col("x") < F.col("y")) & (shared >= least), block).select("x", "y", shared.cast("long").alias("shared")).distinct()
+
+
+@tidy
+def overlap_join(members: DataFrame, least: int, key: str = "key", item: str = "item", block: int = 4096, most_bits: int = MOST_BITS) -> DataFrame:
     """(a, b, shared) of all pairs a < b of keys whose sets of items share at least ``least`` (1 or more).
 
-    ``members`` has a row (key, item) for each item of a key; repeats count once, nulls not at all. Of a set of s items, two
-    that share ``least`` must meet in the s - least + 1 rarest of each, so only those are looked up; lists of items that many
-    keys have are dealt into blocks. Smaller sets than ``least`` are left out.
+    ``members`` has a row (key, item) for each item of a key; repeats count once, nulls not at all. Keys with equal sets are
+    one class, and only classes are compared: as bits, if there are ``most_bits`` items at most, else by a prefix filter over
+    rare items, whose long lists are dealt into blocks. Smaller sets than ``least`` are left out.
     """
     if least < 1:
         raise ValueError("sets that share nothing are not joined")
     rows = members.select(F.col(key).alias("key"), F.col(item).alias("item")).where("key is not null and item is not null").distinct()
-    rarity = rows.groupBy("item").agg(F.count("*").alias("n"))
-    sets = rows.join(rarity, "item").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("by_n"))
-    sets = sets.where(F.size("by_n") >= least).select("key", F.col("by_n").getField("item").alias("items"))
-    prefix = sets.select("key", "items", F.explode(F.slice("items", F.lit(1), F.size("items") - F.lit(least - 1))).alias("item"))
-    left, right = prefix.select("item", F.col("key").alias("a"), F.col("items").alias("a_items")), prefix.select("item", F.col("key").alias("b"), F.col("items").alias("b_items"))
-    shared = F.size(F.array_intersect("a_items", "b_items"))
-    met = meet(right, left, ["item"], (F.col("a") < F.col("b")) & (shared >= least), block)
-    return met.select("a", "b", shared.cast("long").alias("shared")).distinct()
+    sets, _ = stage(rows.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items")).where(F.size("items") >= least))
+    classes, _ = stage(sets.groupBy("items").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    of, _ = stage(sets.join(classes, "items").select("node", "key", "n", F.size("items").cast("long").alias("shared")))
+    vocabulary, _ = stage(classes.select(F.explode("items").alias("item")).distinct())
+    items = vocabulary.count()
+    pairs = _by_bits(classes, vocabulary, items, least, block) if 0 < items <= most_bits else _by_prefix(classes, least, block)
+    across = pairs.join(of.select(F.col("node").alias("x"), F.col("key").alias("p")), "x").join(of.select(F.col("node").alias("y"), F.col("key").alias("q")), "y")
+    several = of.where("n > 1")
+    within = meet(several.select("node", F.col("key").alias("b")), several.select("node", F.col("key").alias("a"), "shared"), ["node"], F.col("a") < F.col("b"), block)
+    return across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared").unionByName(within.select("a", "b", "shared"))

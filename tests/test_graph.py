@@ -183,3 +183,14 @@ def test_overlap_join_equals_all_pairs(spark, least, block):
     assert found == {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
     with pytest.raises(ValueError):
         overlap_join(spark.createDataFrame(rows, "key long, item long"), 0)
+
+
+@pytest.mark.parametrize("most_bits,block", [(1024, 4096), (1024, 9), (1, 4096), (1, 5)])
+def test_overlap_join_of_copies_and_common_items(spark, most_bits, block):
+    rnd = random.Random(12)
+    sets = [set(rnd.sample(range(70), rnd.randrange(30, 50))) for _ in range(40)]
+    sets += [sets[0]] * 12 + [sets[1]] * 5  # copies are one class, and all their pairs come out
+    rows = [(k, i * 7) for k, s in enumerate(sets) for i in s]
+    want = {(a, b, len(sets[a] & sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 25}
+    found = [tuple(r) for r in overlap_join(spark.createDataFrame(rows, "key long, item long"), 25, block=block, most_bits=most_bits).collect()]
+    assert set(found) == want and len(found) == len(want) > 76
