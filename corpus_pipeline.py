@@ -30,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose five-word shingles are similar to 0.8 or more stays, that of the smallest doc_id.
 
+    Candidates are the links of the SimHash operator, and texts that share positional bytes; shingle sets decide.
     Texts without words, null ones too, are copies of each other; of rows repeated whole one stays.
     """
     return similar.dedup(docs)

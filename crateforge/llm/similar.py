@@ -1,7 +1,8 @@
-"""Near-duplicates by similarity of word shingles, through the same inverted index on byte positions with count filtering.
+"""Near-duplicates: SimHash links and texts that share positional bytes are candidates, verified by their word shingles.
 
-A SimHash of 64 bits at 3 bits' distance finds few of the pairs whose five-word shingles have a Jaccard similarity of 0.8
-(figures in the README). For that similarity, a text's fingerprint is therefore 60 positional bytes, each the hash of the
+Texts are fingerprinted and linked by the SimHash operator (64 bits, 3 bits' distance, ``simhash.links``). That finds few of
+the pairs whose five-word shingles have a Jaccard similarity of 0.8 (figures in the README), so that the same index on byte
+positions with count filtering is asked once more, over 60 positional bytes, each the hash of the
 shingle that is least under one of 60 permutations: two texts share a positional byte with the probability of their
 similarity. The index lists each distinct text under 15 keys of 4 positions; within a list shared positional bytes are
 tallied, pairs that reach the minimum go on, and the shingle sets of those are compared exactly.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crateforge.llm.common import stage, tidy
-from crateforge.llm.simhash import _stars
+from crateforge.llm.simhash import MAX_BITS, _stars, fingerprint, links
 from crateforge.operators.components import components
 
 POSITIONS, PER_KEY, LEAST = 60, 4, 38
@@ -60,7 +61,7 @@ def positional(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(size: int):
-    """Rows (digest, text) -> (digest, keys, bytes): each text's keys and positional bytes, copies in a batch once."""
+    """Rows (digest, text) -> (digest, keys, bytes, fp): each text's keys, positional bytes and SimHash, copies in a batch once."""
 
     def run(batches):
         for batch in batches:
@@ -70,9 +71,10 @@ def _signed(size: int):
                 first = list({d: i for i, d in reversed(list(enumerate(digests)))}.values())
                 texts = part.column("text").cast(pa.binary())
                 least = np.stack([positional(shingles(texts[i].as_py() or b"", size)) for i in first])
+                fps = np.array([fingerprint(texts[i].as_py() or b"") for i in first], np.uint64).view(np.int64)
                 keys = (least.reshape(-1, KEYS, PER_KEY) * MIX).sum(axis=2, dtype=np.uint64).view(np.int64)
                 raw = [r.tobytes() for r in (least >> np.uint64(20)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in first]), pa.array(list(keys), pa.list_(pa.int64())), pa.array(raw, pa.binary())], names=["digest", "keys", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in first]), pa.array(list(keys), pa.list_(pa.int64())), pa.array(raw, pa.binary()), pa.array(fps)], names=["digest", "keys", "bytes", "fp"])
 
     return run
 
@@ -141,7 +143,7 @@ def _verify(similarity: float):
 
     def one(table: pa.Table):
         node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        apart, raw = table.column("a")[0] != table.column("b")[0], _raw(table)
+        apart, raw, fp = table.column("a")[0] != table.column("b")[0], _raw(table), table.column("fp").to_numpy().view(np.uint64)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         sizes, root = np.array([len(x) for x in sets]), np.arange(len(node))
         for i in range(len(node) - 1):
@@ -150,7 +152,9 @@ def _verify(similarity: float):
             if apart:
                 may &= block[more:] != block[i]
             at = np.flatnonzero(may) + more
-            for j in at[(raw[at] == raw[i]).sum(axis=1) >= LEAST]:
+            close = (raw[at] == raw[i]).sum(axis=1) >= LEAST
+            close |= np.bitwise_count(fp[at] ^ fp[i]) <= MAX_BITS
+            for j in at[close]:
                 if root[j] != root[i]:
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9:
@@ -173,6 +177,15 @@ def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
     return pairs.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")}).drop("other", "blocks")
 
 
+def simhash_links(signed: DataFrame) -> DataFrame:
+    """Edges (u, v) of nodes whose components are those of all SimHash links among the rows (node, fp)."""
+    first = signed.groupBy("fp").agg(F.min("node").alias("first"))
+    same = signed.join(first, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("u", "v")]
+    near = links(first.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return same.unionByName(near)
+
+
 @tidy
 def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, list_block: int = 1024, block: int = 256) -> DataFrame:
     """(digest, root) of every distinct text of ``docs`` (text): texts of a group have one root.
@@ -181,7 +194,7 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, list_block:
     shingle sets are made for the texts that have a candidate only.
     """
     rows = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = rows.mapInArrow(_signed(size), "digest string, keys array<long>, bytes binary").groupBy("digest").agg(F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
+    signed = rows.mapInArrow(_signed(size), "digest string, keys array<long>, bytes binary, fp long").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("keys", "bytes", "fp")])
     signed, _ = stage(signed.withColumn("node", F.monotonically_increasing_id()))
     keyed = signed.select("node", "bytes", F.posexplode("keys").alias("band", "key"))
     long, _ = stage(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > list_block))
@@ -189,13 +202,13 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, list_block:
     order = ["band", "key", "a", "b"]
     lists = _dealt(listed, F.ceil(F.coalesce("n", F.lit(1)) / F.lit(list_block)).cast("int")).select(*order, "node", "block", (F.col("a") != F.col("b")).alias("apart"), "bytes")
     stars = lists.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_grouped(order, _tally), "u long, v long")
-    near, _ = stage(components(stars))
+    near, _ = stage(components(stars.unionByName(simhash_links(signed))))
     counts = near.groupBy("root").agg(F.count("*").alias("n"))
-    members, _ = stage(near.join(counts, "root").join(signed.select("node", "digest", "bytes"), "node"))
+    members, _ = stage(near.join(counts, "root").join(signed.select("node", "digest", "bytes", "fp"), "node"))
     texts = rows.groupBy("digest").agg(F.first("text").alias("text")).join(members.select("digest"), "digest", "left_semi")
     members = members.join(texts.mapInArrow(_shingled(size), "digest string, shingles binary"), "digest")
     order = ["root", "a", "b"]
-    met = _dealt(members, F.ceil(F.col("n") / F.lit(block)).cast("int")).select(*order, "node", "block", "bytes", "shingles")
+    met = _dealt(members, F.ceil(F.col("n") / F.lit(block)).cast("int")).select(*order, "node", "block", "bytes", "fp", "shingles")
     roots = components(met.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_grouped(order, _verify(similarity)), "u long, v long"))
     return signed.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
 

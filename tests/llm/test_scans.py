@@ -298,3 +298,14 @@ def test_words_that_are_assigned_teach_no_words(spark):
     found = secrets.secrets(docs).collect()
     alone = [r for r in found if r.doc_id >= 432]
     assert sum(len(r.found) > 0 for r in alone) <= len(alone) / 50
+
+
+def test_near_duplicates_go_through_simhash_links(spark, monkeypatch):
+    """Without one shared positional byte, SimHash links alone unite a pair whose shingles are similar enough, and no other."""
+    from crateforge.llm import similar
+
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(similar, "LEAST", similar.POSITIONS + 1)  # the other candidates never reach it
+    assert {r.doc_id for r in similar.dedup(rows).collect()} == {0, 2}
