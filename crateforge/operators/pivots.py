@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crateforge.operators.knn import SCHEMA, Base, _matrix, _nearest, found_table, usable, weighted
+from crateforge.operators.knn import SCHEMA, Base, _matrix, _nearest, found_table, sides, usable, weighted
 from crateforge.operators.ranges import numbered
 from crateforge.sources.staging import stage, tidy
 
@@ -93,12 +93,13 @@ def _visits(k: int):
 class PivotIndex:
     """Vectors (vec_id, embedding) of the greatest length, in rings, staged in the shared folder."""
 
-    def __init__(self, vectors: DataFrame, slider: float = 1.0, audio: int = 13, pivots: int | None = None, ring: int = 4096):
+    def __init__(self, vectors: DataFrame, slider: float = 1.0, audio: int = 13, pivots: int | None = None, ring: int | None = None):
         spark = vectors.sparkSession
         base = usable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), weighted("embedding", slider, audio).alias("v"))
         self.width = base.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
         base = base.where(F.size("v") == self.width)
-        self.rows, self.spark, self.ring = base.count(), spark, ring
+        self.rows, self.spark = base.count(), spark
+        self.ring = ring = ring or -(-max(self.rows, 1) // sides(self.rows, 4096))  # visits are copies, so the number of rings must not grow
         if not self.rows:
             return
         most = min(MOST_PIVOTS, pivots or max(1, self.rows // ring))  # cells of a ring or two: more cells are more visits
@@ -120,8 +121,9 @@ class PivotIndex:
         other = (F.col("to") != F.col("own_cell")) | (F.col("ring") != F.col("own_ring"))
         return asked.join(self.rings.select(F.col("cell").alias("to"), "ring", "inner", "outer"), "to").where(near & other).select("query_id", F.col("to").alias("cell"), "ring", "bound")
 
-    def neighbours(self, k: int = 5, queries: DataFrame | None = None, visitors: int = 4096) -> tuple[DataFrame, DataFrame]:
+    def neighbours(self, k: int = 5, queries: DataFrame | None = None, visitors: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(query_id, neighbour_id, rank, distance) of all vectors, or of those whose vec_id is in ``queries``; and the staged visits."""
+        visitors = visitors or self.ring
         groups = self.members.groupBy("cell", "ring")
         own, _ = stage(groups.applyInArrow(_own_ring(k), "query_id long, neighbour_id long, distance double"))
         asked = self.members if queries is None else self.members.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
@@ -140,7 +142,7 @@ class PivotIndex:
 
 
 @tidy
-def knn_pivot(vectors: DataFrame, k: int = 5, slider: float = 1.0, audio: int = 13, queries: DataFrame | None = None, pivots: int | None = None, ring: int = 4096, visitors: int = 4096) -> DataFrame:
+def knn_pivot(vectors: DataFrame, k: int = 5, slider: float = 1.0, audio: int = 13, queries: DataFrame | None = None, pivots: int | None = None, ring: int | None = None, visitors: int | None = None) -> DataFrame:
     """All k nearest of every query, as ``knn_block`` gives them, without a broadcast of the base and without all pairs.
 
     Vectors that cannot be compared (null ids, null vectors or components, shorter than the longest) neither ask nor are
