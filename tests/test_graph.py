@@ -194,3 +194,22 @@ def test_overlap_join_of_copies_and_common_items(spark, most_bits, block):
     want = {(a, b, len(sets[a] & sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 25}
     found = [tuple(r) for r in overlap_join(spark.createDataFrame(rows, "key long, item long"), 25, block=block, most_bits=most_bits).collect()]
     assert set(found) == want and len(found) == len(want) > 76
+
+
+def _staged(monkeypatch) -> list[int]:
+    """Rows of every table that a measure stages from now on."""
+    rows, stage = [], graph.stage
+
+    def counting(df):
+        staged = stage(df)
+        rows.append(staged[0].count())
+        return staged
+
+    monkeypatch.setattr(graph, "stage", counting)
+    return rows
+
+
+def test_power_iterations_stage_a_table_for_eight_rounds(spark, monkeypatch):
+    rows = _staged(monkeypatch)
+    graph.pagerank(_table(spark, PAIRS))
+    assert len(rows) <= 3 + 25  # about 140 rounds
