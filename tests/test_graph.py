@@ -213,3 +213,20 @@ def test_power_iterations_stage_a_table_for_eight_rounds(spark, monkeypatch):
     rows = _staged(monkeypatch)
     graph.pagerank(_table(spark, PAIRS))
     assert len(rows) <= 3 + 25  # about 140 rounds
+
+
+def test_searches_stage_no_row_for_each_source_and_node(spark, monkeypatch):
+    """600 sources, so that bits lie in two parts and all words; a path is reached from all of them."""
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(0, i) for i in range(100, 700)]
+    near = _around(pairs)
+    sources = spark.createDataFrame([(i,) for i in range(100, 700)], "node long")
+    rows = _staged(monkeypatch)
+    found = graph.distances(_table(spark, pairs), sources, 12)
+    assert max(rows) <= 2 * len(near) and max(rows) < 600 * 600
+    got = found.groupBy("node", "distance").agg(F.count("*").alias("n")).collect()
+    want: dict[tuple[int, int], int] = {}
+    for s in range(100, 700):
+        for v, k in _levels(near, s).items():
+            if k <= 12:
+                want[v, k] = want.get((v, k), 0) + 1
+    assert {(r.node, r["distance"]): r.n for r in got} == want
