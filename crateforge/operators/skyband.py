@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crateforge.operators.knn import BROADCAST_LIMIT, _matrix, slider_weight, usable
+from crateforge.operators.knn import BROADCAST_LIMIT, Base, _direct, _matrix, sides, slider_weight, usable
 
 SCHEMA = "query_id long, neighbour_id long, audio2 double, mood2 double"
+#: Corners of a skyband that are held against all others.
+STEPS = 8
 NAMES = ["query_id", "neighbour_id", "audio2", "mood2"]
 
 
@@ -44,8 +46,8 @@ def band(ids: np.ndarray, audio2: np.ndarray, mood2: np.ndarray, k: int) -> np.n
     return np.array(kept, np.int64) if some is None else some[np.array(kept, np.int64)]
 
 
-def _bands(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, audio: int, tile: int = 64) -> pa.RecordBatch:
-    """Every query's skyband within a block, self left out by id."""
+def _direct_bands(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, audio: int, tile: int = 64) -> pa.RecordBatch:
+    """Every query's skyband within a block, self left out by id; every pair is measured."""
     parts: list[list[np.ndarray]] = [[], [], [], []]
     for start in range(0, len(ids), tile):
         q = x[start : start + tile]
@@ -57,10 +59,71 @@ def _bands(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarra
             near = other[band(base_ids[other], two[0, row, other], two[1, row, other], k)]
             for part, values in zip(parts, (np.full(len(near), query), base_ids[near], two[0, row, near], two[1, row, near])):
                 part.append(values)
-    columns = [np.concatenate(p) if p else np.zeros(0) for p in parts]
+    return _batch([np.concatenate(p) if p else np.zeros(0) for p in parts])
+
+
+def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(columns)], names=NAMES)
 
 
+def _corners(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEPS pairs of squared distances of a skyband in order of the first: k of its candidates are within both of a pair."""
+    audio2, mood2 = found[1], found[2]
+    if len(audio2) < k:
+        return np.full(STEPS, np.inf), np.full(STEPS, np.inf)
+    ends = np.linspace(k, len(audio2), STEPS).astype(int)
+    return audio2[ends - 1], np.array([np.partition(mood2[:e], k - 1)[k - 1] for e in ends])
+
+
+def _bands(ids: np.ndarray, x: np.ndarray, base: Base, k: int, audio: int, tile: int = 64, chunk: int = 1 << 15, piece: int = 1 << 15) -> pa.RecordBatch:
+    """The same as ``_direct_bands``; a pair is measured only if products of single precision do not show that k found so far dominate it."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for start in range(0, len(ids), tile):
+        own_ids, q = ids[start : start + tile], x[start : start + tile]
+        (side_a, own_a), (side_m, own_m) = base.asked(q)
+        found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * len(q)
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            """Measures pairs, in order of the query, and keeps what belongs to the skybands."""
+            other = base.ids[j] != own_ids[i]
+            i, j = i[other], j[other]
+            two = [np.concatenate([_direct(q[i[p : p + piece], of], base.x[j[p : p + piece], of]) for p in range(0, len(i), piece)] or [np.zeros(0)]) for of in base.parts]  # noqa: B023
+            rows, first = np.unique(i, return_index=True)
+            for row, low, high in zip(rows.tolist(), first.tolist(), [*first.tolist()[1:], len(i)]):
+                new = [np.concatenate((old, more[low:high])) for old, more in zip(found[row], (base.ids[j], *two))]  # noqa: B023
+                at = band(*new, k)
+                found[row] = tuple(c[at] for c in new)  # noqa: B023
+
+        for at in range(0, len(base.ids), chunk):
+            with np.errstate(all="ignore"):
+                low_a, low_m = side_a @ base.side[0][at : at + chunk].T, side_m @ base.side[1][at : at + chunk].T
+            seen = np.zeros(low_a.shape, bool)
+            if not at and low_a.shape[1] > 2 * (k + 1):  # the nearest at some weights, by which the others are judged
+                scale_a, scale_m = max(float((low_a + own_a[:, None]).mean()), 1e-30), max(float((low_m + own_m[:, None]).mean()), 1e-30)
+                for share in np.linspace(0.02, 0.98, STEPS, dtype=np.float32):
+                    near = np.argpartition(low_a * (share / scale_a) + low_m * ((1 - share) / scale_m), k, axis=1)[:, : k + 1]
+                    np.put_along_axis(seen, near, True, axis=1)
+                take(*np.nonzero(seen))
+            audio2, mood2 = (np.array(c).reshape(len(q), STEPS) for c in zip(*[_corners(f, k) for f in found]))
+            open_pairs = ~seen
+            for step in range(STEPS):
+                a, m = base.most(audio2[:, step], own_a), base.most(mood2[:, step], own_m)
+                open_pairs &= ~((low_a > a[:, None]) & (low_m > m[:, None]))
+            i, j = np.nonzero(open_pairs)
+            take(i, j + at)
+        for row, (near, a, m) in enumerate(found):
+            for part, values in zip(parts, (np.full(len(near), own_ids[row]), near, a, m)):
+                part.append(values)
+    return _batch([np.concatenate(p) if p else np.zeros(0) for p in parts])
+
+
+def _block_bands(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, audio: int) -> pa.RecordBatch:
+    """Blocks with components that are not finite are measured directly."""
+    if not (np.isfinite(x).all() and np.isfinite(base).all()):
+        return _direct_bands(ids, x, base_ids, base, k, audio)
+    return _bands(ids, x, Base(base_ids, base, (slice(0, audio), slice(audio, None))), k, audio)
+
+
 def _merge(k: int):
     def run(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_numpy() for c in NAMES]
@@ -87,18 +150,21 @@ def skyband(vectors: DataFrame, k: int = 5, audio: int = 13, queries: DataFrame
         sent = base.sparkSession.sparkContext.broadcast(_matrix(base.toArrow(), "vec_id", "v"))
 
         def run(batches):
+            ids, x = sent.value
+            of = Base(ids, x, (slice(0, audio), slice(audio, None))) if np.isfinite(x).all() else None
             for batch in batches:
-                yield _bands(*_matrix(batch, "vec_id", "v"), *sent.value, k, audio)
+                asking = _matrix(batch, "vec_id", "v")
+                yield _bands(*asking, of, k, audio) if of else _direct_bands(*asking, ids, x, k, audio)
 
         return asked.repartition(max(2, base.sparkSession.sparkContext.defaultParallelism), "vec_id").mapInArrow(run, SCHEMA)
-    blocks = -(-rows // block)
+    blocks = sides(rows, block)
     cell = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     def meet(q: pa.Table, b: pa.Table) -> pa.Table:
         if not q.num_rows or not b.num_rows:  # a side without rows has no columns either
             return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())] * 2, names=NAMES)
-        return pa.Table.from_batches([_bands(*_matrix(q, "vec_id", "v"), *_matrix(b, "base_id", "base_v"), k, audio)])
+        return pa.Table.from_batches([_block_bands(*_matrix(q, "vec_id", "v"), *_matrix(b, "base_id", "base_v"), k, audio)])
 
     left = asked.withColumn("qb", cell).withColumn("bb", every)
     # names of its own: grouped together, columns that both sides have from one table would be taken for one

@@ -188,3 +188,18 @@ def test_blocks_do_not_grow_in_number_with_the_table():
     assert knn.sides(500, 256) == 2 and knn.sides(0, 256) == 1
     assert knn.sides(10**5, 256) == knn.sides(10**6, 256) == knn.SIDES
     assert 10**7 / knn.sides(10**7, 256) <= knn.WIDEST
+
+
+@pytest.mark.parametrize("steps", [3, 0])
+def test_bounds_leave_the_skyband_whole_and_few_pairs_measured(steps, monkeypatch):
+    """With ``steps`` the components are whole numbers, so that many distances tie."""
+    rng = np.random.default_rng(1)
+    ids, x = rng.permutation(3000), rng.integers(0, steps, (3000, 20)).astype(float) if steps else rng.normal(size=(3000, 20))
+    measured, direct = [], skyband._direct
+    monkeypatch.setattr(skyband, "_direct", lambda a, b: measured.append(len(a)) or direct(a, b))
+    base = knn.Base(ids, x, (slice(0, 8), slice(8, None)))
+    got = skyband._bands(ids[:200], x[:200], base, 5, 8, chunk=1000)
+    want = skyband._direct_bands(ids[:200], x[:200], ids, x, 5, 8)
+    rows = lambda found: sorted(zip(*found.to_pydict().values()))
+    assert rows(got) == rows(want)
+    assert sum(measured) < (2 * 200 * 3000 if steps else 200 * 3000 // 2)
