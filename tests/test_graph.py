@@ -215,6 +215,20 @@ def test_power_iterations_stage_a_table_for_eight_rounds(spark, monkeypatch):
     assert len(rows) <= 3 + 25  # about 140 rounds
 
 
+def test_eigenvector_of_two_like_parts_settles_in_few_rounds(spark, monkeypatch):
+    """Rings with chords, one of them denser by an edge, hang together by one edge: plain power iteration takes over 1,000 rounds."""
+    part = [(i, (i + k) % 40) for i in range(40) for k in (1, 2, 5)]
+    pairs = part + [(100 + u, 100 + v) for u, v in part] + [(0, 20), (0, 100)]
+    nodes = sorted({x for p in pairs for x in p})
+    near = _around(pairs)
+    m = np.array([[float(b in near[a]) for b in nodes] for a in nodes])
+    want = np.abs(np.linalg.eigh(m)[1][:, -1])
+    rows = _staged(monkeypatch)
+    got = {r.node: r.centrality for r in graph.eigenvector(_table(spark, pairs), tolerance=1e-7).collect()}
+    assert [got[x] for x in nodes] == pytest.approx(want, abs=1e-5)
+    assert len(rows) <= 2 + 32
+
+
 def test_searches_stage_no_row_for_each_source_and_node(spark, monkeypatch):
     """600 sources, so that bits lie in two parts and all words; a path is reached from all of them."""
     pairs = [(i, i + 1) for i in range(0, 40)] + [(0, i) for i in range(100, 700)]
