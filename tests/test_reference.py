@@ -306,3 +306,12 @@ def test_pretty_json_keeps_characters(spark, tmp_path):
     assert json.loads(raw) == [{"n": 1, "name": "日本"}, {"n": 2, "name": "Sigur Rós"}]
     assert "Sigur Rós" in raw and len(raw.splitlines()) > 4
     assert sorted(map(tuple, io.read_json(spark, str(tmp_path / "out"), "n int, name string").collect())) == [(1, "日本"), (2, "Sigur Rós")]
+
+
+def test_tasks_that_count_an_albums_descriptors_stay_bounded(spark, monkeypatch):
+    from crateforge.plans import insights
+
+    monkeypatch.setattr(insights, "TRACKS", 100)
+    tracks = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = insights.q06_approx(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert f", {-(-tracks // 100)}), REPARTITION_BY_NUM" in plan
