@@ -173,6 +173,31 @@ def test_betweenness(spark, block):
     assert max(abs(got[u] - want[u]) for u in want) < 1e-9
 
 
+def test_betweenness_has_no_row_for_each_source_and_node(spark, monkeypatch):
+    """What is staged grows with nodes and edges, not with sources times nodes; beyond the limit rows give the same."""
+    sizes, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: sizes.append(df.count()) or stage(df))
+    some = spark.createDataFrame([(u,) for u in NEAR], "node long")
+    got = {r.node: r.betweenness for r in graph.betweenness(_table(spark, PAIRS), some).collect()}
+    assert max(sizes) <= sum(map(len, NEAR.values()))
+    monkeypatch.setattr(graph, "stage", stage)
+    rows = {r.node: r.betweenness for r in graph.betweenness(_table(spark, PAIRS), some, limit=0).collect()}
+    want = _plain_betweenness(NEAR, NEAR)
+    assert got.keys() == rows.keys() == want.keys() and all(max(abs(x[u] - want[u]) for u in want) < 1e-9 for x in (got, rows))
+    assert graph.betweenness(_table(spark, PAIRS).limit(0)).collect() == []
+
+
+def test_shares_follow_edges_in_pieces(monkeypatch):
+    nodes = sorted(NEAR)
+    at = {u: i for i, u in enumerate(nodes)}
+    start, to = np.cumsum([0] + [len(NEAR[u]) for u in nodes]), np.array([at[v] for u in nodes for v in NEAR[u]])
+    want = _plain_betweenness(NEAR, NEAR)
+    for most in (1, 7, 1 << 20):
+        monkeypatch.setattr(graph, "FOLLOWED", most)
+        got = graph._shares(np.arange(len(nodes)), start, to) / 2
+        assert max(abs(got[at[u]] - want[u]) for u in nodes) < 1e-9
+
+
 @pytest.mark.parametrize(("least", "block"), [(1, 4096), (2, 5), (4, 4096)])
 def test_overlap_join_equals_all_pairs(spark, least, block):
     rnd = random.Random(5)
