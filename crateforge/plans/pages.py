@@ -14,6 +14,8 @@ from crateforge.plans.registry import query
 
 #: Rows on a chart page.
 PAGE_ROWS = 40
+#: Pieces of pages a partition: what a task writes out, and a worker reads, must not grow with the tables.
+PIECES = 1 << 16
 
 
 def tag(name: str, css: str, *inside: Column | str) -> Column:
@@ -21,9 +23,15 @@ def tag(name: str, css: str, *inside: Column | str) -> Column:
     return F.concat(F.lit(f'<{name} class="{css}">'), *[x if isinstance(x, Column) else F.lit(x) for x in inside], F.lit(f"</{name}>"))
 
 
-def _all(rows: DataFrame, key: str, order: str, html: Column) -> DataFrame:
-    """(key, html): the pieces of each key in order, one after the other."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), html.alias("html")))).alias("parts"))
+def _dealt(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """``rows``, about as many as ``of`` has, dealt by their key into partitions of about PIECES, one for each core at least."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-of.count() // PIECES)), key)
+
+
+def _all(rows: DataFrame, key: str, order: str, html: Column, of: DataFrame) -> DataFrame:
+    """(key, html): the pieces of each key in order, one after the other; ``of`` is the table that has them."""
+    pieces = _dealt(rows.select(key, F.struct(F.col(order).alias("at"), html.alias("html")).alias("piece")), key, of)
+    listed = pieces.groupBy(key).agg(F.array_sort(F.collect_list("piece")).alias("parts"))
     return listed.select(key, F.array_join(F.col("parts").getField("html"), "\n").alias("html"))
 
 
@@ -38,7 +46,7 @@ def chart_pages(spark: SparkSession, d: str) -> DataFrame:
         tag("div", "topcharts_item_releasedate", " (", F.date_format("o_orderdate", "d MMMM yyyy"), ") "),
         F.when(F.col("album_id") % 11 == 0, F.lit("")).otherwise(genres), F.when(F.col("album_id") % 7 == 0, F.lit("<br>")).otherwise(counts),
     )
-    return _all(rows.withColumn("page_id", F.floor(F.col("album_id") / PAGE_ROWS)), "page_id", "album_id", box)
+    return _all(rows.withColumn("page_id", F.floor(F.col("album_id") / PAGE_ROWS)), "page_id", "album_id", box, table(spark, d, "orders"))
 
 
 @query("""select cast(o_orderkey as varchar) as rank, c_name artist, 'Order#' || o_orderkey album, strftime(o_orderdate, '%-d %B %Y') date,
@@ -55,8 +63,9 @@ def album_pages(spark: SparkSession, d: str) -> DataFrame:
     line = lambda name, value: F.concat(F.lit("<tr><th>"), F.lit(name), F.lit("</th><td>"), value, F.lit("</td></tr>"))
     tracks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("album_id"), "l_linenumber", "l_partkey")
     named = tracks.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").withColumn("at", F.struct("l_linenumber", "p_name"))
-    listed = _all(named, "album_id", "at", F.concat(F.lit("<li>"), tag("span", "tracklist_title", tag("span", "rendered_text", " ", F.col("p_name"), " ")), F.lit("</li>"))).withColumnRenamed("html", "tracks")
-    rows = c.album(spark, d).join(c.artist(spark, d), "artist_id").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("album_id"), "o_orderdate", "o_orderpriority"), "album_id").join(listed, "album_id")
+    listed = _all(named, "album_id", "at", F.concat(F.lit("<li>"), tag("span", "tracklist_title", tag("span", "rendered_text", " ", F.col("p_name"), " ")), F.lit("</li>")), table(spark, d, "lineitem")).withColumnRenamed("html", "tracks")
+    rows = c.album(spark, d).join(c.artist(spark, d), "artist_id").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("album_id"), "o_orderdate", "o_orderpriority"), "album_id")
+    rows = _dealt(rows, "album_id", tracks).join(listed, "album_id")
     html = F.concat(
         tag("div", "album_title", F.col("title"), "\n\nBy ", F.col("name")), F.lit('<table class="album_info">'), line("Type", F.lit("Album")), line("Released", F.date_format("o_orderdate", "d MMMM yyyy")),
         line("Genres", F.concat("o_orderpriority", F.lit("\n"), F.coalesce("uri", F.lit("none")))), line("Share", F.lit("x")), F.lit('</table><ul id="tracks">'), F.col("tracks"),
@@ -85,8 +94,8 @@ def artist_pages(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit('<span class="disco_year_ym" title=" '), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit('">'), F.date_format("o_orderdate", "yyyy"), F.lit("</span>")),
         tag("div", "disco_avg_rating", "3.5"), tag("div", "disco_ratings", F.format_number(F.col("o_orderkey") * 7, 0)), tag("div", "disco_reviews", F.format_number("o_totalprice", 0)),
     )
-    part = lambda status, name: _all(releases.where(status), "artist_id", "o_orderkey", release).withColumnRenamed("html", name)
-    rows = customers.join(part("o_orderstatus = 'F'", "f"), "artist_id", "left").join(part("o_orderstatus <> 'F'", "o"), "artist_id", "left")
+    part = lambda status, name: _all(releases.where(status), "artist_id", "o_orderkey", release, releases).withColumnRenamed("html", name)
+    rows = _dealt(customers, "artist_id", releases).join(part("o_orderstatus = 'F'", "f"), "artist_id", "left").join(part("o_orderstatus <> 'F'", "o"), "artist_id", "left")
     section = lambda title, kind, held: F.concat(F.lit(f'<div class="disco_header_top"><h3> {title} </h3></div>\n<div id="disco_type_{kind}">'), F.coalesce(held, F.lit("")), F.lit("</div>"))
     header = lambda name, value: F.concat(tag("div", "info_hdr", name), F.lit("<div>"), value, F.lit("</div>"))
     html = F.concat(
@@ -124,7 +133,7 @@ def disco_details(spark: SparkSession, d: str) -> DataFrame:
     shown = F.concat(F.lit("#"), (k % 50 + 1).cast("string"), F.lit(" for "), F.date_format("o_orderdate", "yyyy"), F.lit(", #"), F.format_number(1000 + k, 0), F.lit(" overall"))
     html = F.concat(F.lit('<table class="album_info"><tr><th>Ranked</th><td>'), shown, F.lit("</td></tr><tr><th>Genres</th><td>rock\n folk</td></tr></table>"))
     own = table(spark, d, "orders").where(k % 3 == 0).select(F.concat(F.lit(f"{HOST}/release/"), k.cast("string"), F.lit("/")).alias("url"), html.alias("html"))
-    found = pages.with_details(pages.records(artist_pages(spark, d), "discography", "artist_id"), own)
+    found = pages.with_details(pages.records(artist_pages(spark, d), "discography", "artist_id"), _dealt(own, "url", table(spark, d, "orders")))
     return found.select("artist_id", "name", "rank_year", "rank_overall", F.try_element_at("info", F.lit("Genres")).alias("genres"))
 
 
@@ -133,14 +142,14 @@ def timeline_records(spark: SparkSession, d: str) -> DataFrame:
     """Dates and users of the catalog lines of every album's page."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("album_id"), "event_id", "ts")
     line = tag("div", "catalog_line", tag("div", "catalog_date", " ", F.date_format("ts", "d MMM yyyy"), " "), tag("span", "catalog_user", "user", F.col("event_id").cast("string")))
-    shown = _all(rows, "album_id", "event_id", line).select("album_id", F.concat(F.lit('<div class="catalog_list" id="catalog_list">'), "html", F.lit("</div>")).alias("html"))
+    shown = _all(rows, "album_id", "event_id", line, rows).select("album_id", F.concat(F.lit('<div class="catalog_list" id="catalog_list">'), "html", F.lit("</div>")).alias("html"))
     return pages.records(shown, "timeline", "album_id").drop("place")
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
     """Every album is asked for; of three, one has a page of its name, one a page that only its address finds, one none."""
     albums = c.album(spark, d).join(c.artist(spark, d), "artist_id").select("album_id", F.concat("title", F.lit(" (Live) & é")).alias("title"), F.col("name").alias("artist"))
-    listed = _all(c.descriptor_list(spark, d), "album_id", "pos", F.concat(F.lit(" "), F.col("name"), F.lit(" ,"))).withColumnRenamed("html", "descriptors")
+    listed = _all(c.descriptor_list(spark, d), "album_id", "pos", F.concat(F.lit(" "), F.col("name"), F.lit(" ,")), table(spark, d, "lineitem")).withColumnRenamed("html", "descriptors")
     named, placed = F.col("album_id") % 3 == 0, F.col("album_id") % 3 == 1
     key = F.when(named, lookup.name_key(F.col("artist"), F.col("title")))
     own = F.when(placed, F.concat(F.lit(f"{HOST}/release/album/"), F.lower(F.replace("artist", F.lit(" "), F.lit("-"))), F.lit("/order#"), F.col("album_id").cast("string"), F.lit("-live-and-e/")))

@@ -1,9 +1,12 @@
 """Records of hand-written pages."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from crateforge.functions import pages
 from crateforge.operators import lookup
+from crateforge.plans import pages as plans
 
 CHART = """
 <div class="topcharts_itembox chart_item_release">
@@ -122,3 +125,28 @@ def test_album_titles_cut_within_a_reference(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     want = set(con.execute(oracle_sql()["album_infos"]).fetchall())
     assert {tuple(r) for r in queries()["album_infos"](spark, str(tmp_path)).collect()} == want
+
+
+def _shape(node):
+    return node.tag, node.attrs, node.classes, [c if isinstance(c, str) else _shape(c) for c in node.children]
+
+
+def test_plain_markup_is_read_as_by_the_tolerant_reader():
+    plain = '<div class="a b"> </div> <br> <td style="x:1;y:2"> text R&amp;B &lt 0>1 <a href="/x?y=1" class="album"> </a> <x1> </h1> </span> é'.split(" ")
+    odd = "<br/> <p < > </ <!-- <script> </script> <SPAN> </SPAN> <i class='q'> <title> </title> <textarea> <b> </b > &#39; <1> <img src=\"&amp;\"> <?pi?>".split(" ")
+    rnd, seen = random.Random(3), 0
+    for k in range(4000):
+        page = "".join(rnd.choice(plain + odd * (k % 2)) for _ in range(rnd.randrange(10)))
+        reader = pages._Tree()
+        reader.feed(page)
+        reader.close()
+        assert _shape(pages.tree(page)) == _shape(reader.root), page
+        seen += bool(pages.PLAIN.fullmatch(page))
+    assert seen > 1400
+
+
+def test_pages_are_dealt_to_every_core(spark):
+    """Before, small stages were put together again, and one task read all artists' pages."""
+    for made in (plans.artist_pages, plans.album_pages, plans.chart_pages):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert [r["rank"] for r in _records(spark, "chart", *[CHART] * 5000)] == ["1", "2"] * 5000  # more records than leave at once
