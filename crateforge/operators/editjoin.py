@@ -5,6 +5,10 @@ edits holds one of them unchanged, and at a place that the difference in length
 and Feng's partition-based join). So segments are an inverted index (length, number, content), the longer string looks up
 its substrings at the possible places, and only pairs that meet there are compared, inside the join.
 
+For one edit the halves of short strings are common, so that most pairs that share one are far apart. There a string is
+listed under itself and each of its deletions instead: two strings within one edit share one of these, and those that do are
+at most two edits apart.
+
 Strings of ``edits`` characters or fewer cannot be cut: two of them are always within the edits; one of them and a longer
 string must share a character, as the longer one needs more than ``edits`` edits otherwise.
 """
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crateforge.operators.blocks import meet
+from crateforge.sources.staging import stage
 
 
 def _segment(number: Column, length: Column, edits: int) -> tuple[Column, Column]:
@@ -58,6 +63,13 @@ def candidates(strings: DataFrame, edits: int) -> DataFrame:
     return meet(segments(names, edits), probes(names, edits), ["length", "number", "part"], _ahead()).select("name", "other").distinct()
 
 
+def deletions(strings: DataFrame) -> DataFrame:
+    """(name, part): each string, and what it is without one of its characters."""
+    cut = lambda at: F.concat(F.substring(F.col("name"), F.lit(1), at - 1), F.substring(F.col("name"), at + 1, F.length("name")))
+    parts = F.transform(F.sequence(F.lit(0), F.length("name")), lambda at: F.when(at == 0, F.col("name")).otherwise(cut(at)))
+    return strings.select("name", F.explode(F.array_distinct(parts)).alias("part"))
+
+
 def edit_join(strings: DataFrame, edits: int, block: int = 4096) -> DataFrame:
     """(first, second, distance) of all pairs first < second of distinct non-null ``strings`` (name) within ``edits`` edits.
 
@@ -68,6 +80,10 @@ def edit_join(strings: DataFrame, edits: int, block: int = 4096) -> DataFrame:
         return names.select(F.col("name").alias("first"), F.col("name").alias("second"), F.lit(0).cast("long").alias("distance"))
     names = strings.select("name").where("name is not null").distinct()
     near = F.levenshtein("name", "other", edits) >= 0
+    if edits == 1:
+        listed, _ = stage(deletions(names))
+        pairs = meet(listed.withColumnRenamed("name", "other"), listed, ["part"], (F.col("name") < F.col("other")) & near, block)
+        return pairs.select(F.col("name").alias("first"), F.col("other").alias("second")).distinct().withColumn("distance", F.lit(1).cast("long"))
     cut = meet(segments(names, edits), probes(names, edits), ["length", "number", "part"], _ahead() & near, block).select("name", "other")
 
     def letters(rows: DataFrame, column: str) -> DataFrame:

@@ -53,6 +53,20 @@ def test_edit_join_compares_candidates_only(spark):
     assert editjoin.edit_join(rows.limit(0), 2).collect() == editjoin.edit_join(rows, 0).collect() == []
 
 
+def test_one_edit_compares_few_pairs_of_common_halves(spark):
+    """Words made of few halves: by halves all pairs of a half meet, by deletions only what is two edits apart at most."""
+    rnd = random.Random(2)
+    halves = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(60)]
+    names = sorted({a + b for a in halves for b in halves[:30]} | {"abcdabcd", "abcdabc", "abcdabcx", "xabcdabcd"})
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    listed = editjoin.deletions(rows)
+    met = listed.join(listed.withColumnRenamed("name", "other"), "part").where("name < other").select("name", "other").distinct()
+    assert met.where(F.levenshtein("name", "other") > 2).isEmpty() and met.count() * 20 < editjoin.candidates(rows, 1).count()
+    want = {(a, b) for a in ("abcdabcd", "abcdabc", "abcdabcx", "xabcdabcd") for b in names if a != b and _edits(a, b) == 1}
+    got = {(r["first"], r["second"]) for r in editjoin.edit_join(rows, 1).collect()}
+    assert {p for p in got if {"abcdabcd", "abcdabc", "abcdabcx", "xabcdabcd"} & {*p}} == {(min(p), max(p)) for p in want}
+
+
 def _plain_matches(words, names, n, cutoff):
     out = {}
     for w in {w for w in words if w is not None}:
