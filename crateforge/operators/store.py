@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateforge.operators.loader import insert_unseen, orphans
-from crateforge.sources.staging import discard
+from crateforge.sources.staging import discard, stage
 
 
 @dataclass(frozen=True)
@@ -58,15 +58,21 @@ class Store:
         """Adds the rows whose key is new, of several with one key the first in the order of all columns; returns how many."""
         table, there = self.tables[name], self.read(name)
         columns = there.columns
-        fresh = insert_unseen(rows.select(*columns), there, list(table.keys), columns).select(*columns)
-        for column, (parent, key) in table.references.items():
-            known = self.read(parent) if parent != name else there.unionByName(fresh)
-            lost = orphans(fresh, known, column, key).select(column).limit(1).collect()
-            if lost:
-                raise ValueError(f"{name}.{column} {lost[0][0]!r} is not in {parent}.{key}")
-        loads = self._loads(name)
-        path = f"{self.root}/{name}/load={loads[-1] + 1 if loads else 0}"
-        fresh.write.mode("overwrite").parquet(path)
+        fresh, held = insert_unseen(rows.select(*columns), there, list(table.keys), columns).select(*columns), None
+        try:
+            if table.references:  # they and the load read the new rows, which are worked out once
+                fresh, held = stage(fresh)
+            for column, (parent, key) in table.references.items():
+                known = self.read(parent) if parent != name else there.unionByName(fresh)
+                lost = orphans(fresh.select(column).distinct(), known, column, key).limit(1).collect()
+                if lost:
+                    raise ValueError(f"{name}.{column} {lost[0][0]!r} is not in {parent}.{key}")
+            loads = self._loads(name)
+            path = f"{self.root}/{name}/load={loads[-1] + 1 if loads else 0}"
+            fresh.write.mode("overwrite").parquet(path)
+        finally:
+            if held:
+                discard(self.spark, held)
         return self.spark.read.schema(table.schema).parquet(path).count()
 
     def clear(self, *names: str) -> None:

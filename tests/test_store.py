@@ -68,3 +68,21 @@ def test_a_load_that_did_not_end_does_not_count(spark, store, tmp_path):
 def test_tables_are_listed_after_what_they_point_to(spark, tmp_path):
     with pytest.raises(ValueError):
         Store(spark, str(tmp_path), {"child": Table("id long, up long", ("id",), {"up": ("parent", "id")}), "parent": Table("id long", ("id",))})
+
+
+def test_new_rows_are_worked_out_once(spark, tmp_path):
+    """Whatever a table points to: the references and the load read the same rows."""
+    from pyspark.sql import functions as F
+
+    from crateforge.operators.store import Store, Table
+
+    two = Store(spark, f"file://{tmp_path}/once", {"a": Table("k long", ("k",)), "b": Table("k long, x long, y long", ("k",), {"x": ("a", "k"), "y": ("a", "k")})})
+    two.insert("a", spark.range(10).select(F.col("id").alias("k")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        seen.add(1)
+        return k
+
+    rows = spark.range(10).select(F.udf(counted, "long").asNondeterministic()("id").alias("k"), F.col("id").alias("x"), F.col("id").alias("y"))
+    assert two.insert("b", rows) == 10 and seen.value == 10
