@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crateforge.operators import graph
+from crateforge.operators import graph, overlap
 from crateforge.operators.components import components
 from crateforge.operators.overlap import overlap_join
 
@@ -269,3 +269,29 @@ def test_searches_stage_no_row_for_each_source_and_node(spark, monkeypatch):
             if k <= 12:
                 want[v, k] = want.get((v, k), 0) + 1
     assert {(r.node, r["distance"]): r.n for r in got} == want
+
+
+def _broadcast(df) -> list[str]:
+    """The columns of each file that a broadcast reads first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [part.split("FileScan parquet [", 1)[1].split("]", 1)[0] for part in plan.split("BroadcastExchange")[1:] if "FileScan parquet [" in part]
+
+
+@pytest.mark.parametrize("most_bits", [1024, 1])
+def test_overlap_join_sends_no_sets_to_the_driver(spark, most_bits, monkeypatch):
+    """Where sets are bits, neither on the way nor in the result is a table of them or of their keys broadcast; keys may be strings."""
+    rnd, plans, stage = random.Random(3), [], overlap.stage
+
+    def seen(df):
+        plans.append(df)
+        return stage(df)
+
+    monkeypatch.setattr(overlap, "stage", seen)
+    sets = {f"k{k}": set(rnd.sample(range(50), rnd.randrange(20, 30))) for k in range(60)}
+    sets |= {f"c{k}": sets["k0"] for k in range(50)}  # more copies than rows that they are dealt to
+    rows = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "key string, item long")
+    found = overlap_join(rows, 15, block=16, most_bits=most_bits)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 15}
+    sent = [columns for plan in [*plans, found] for columns in _broadcast(plan)]
+    assert most_bits == 1 or not [columns for columns in sent if "keys" in columns or "node" in columns], sent
