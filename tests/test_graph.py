@@ -295,3 +295,36 @@ def test_overlap_join_sends_no_sets_to_the_driver(spark, most_bits, monkeypatch)
     assert len(got) == len(set(got)) and set(got) == {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 15}
     sent = [columns for plan in [*plans, found] for columns in _broadcast(plan)]
     assert most_bits == 1 or not [columns for columns in sent if "keys" in columns or "node" in columns], sent
+
+
+@pytest.mark.parametrize("limit", [graph.EDGE_LIMIT, 0])
+def test_searches_from_sets_of_sources(spark, limit, monkeypatch):
+    """Over 64 sources, two parts, nodes without ways between them; small pieces of edges and of unpacked nodes."""
+    if limit:
+        monkeypatch.setattr(graph, "SPREAD", 3)
+    pairs = [(i, i + 1) for i in range(6)] + [(i % 7, i) for i in range(100, 180)] + [(100, 300), (900, 901)]
+    near = _around(pairs)
+    asked = [*range(100, 180), 900, 12345]
+    sources = spark.createDataFrame([(i,) for i in asked], "node long")
+    want = {(s, v, k) for s in asked if s in near for v, k in _levels(near, s).items()}
+    edges = _table(spark, pairs)
+    got = [tuple(r) for r in graph.distances(edges, sources, limit=limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if limit:
+        assert {tuple(r) for r in graph.distances(edges, sources, 2).collect()} == {w for w in want if w[2] <= 2}
+    ends = {s: [k for a, _, k in want if a == s] for s in asked if s in near}
+    found = graph.eccentricities(edges, sources, limit=limit, block=50)
+    got = {r.node: (r.eccentricity, r.reached, round(r.closeness, 9)) for r in found.collect()}
+    assert got == {s: (max(d), len(d), round((len(d) - 1) ** 2 / sum(d) / (len(near) - 1), 9)) for s, d in ends.items()}
+    assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "int", "bigint", "double"]
+    assert graph.distances(edges.limit(0), sources, limit=limit).collect() == graph.eccentricities(edges.limit(0), sources, limit=limit).collect() == []
+
+
+def test_ends_of_sources_need_no_row_of_a_level(spark, monkeypatch):
+    """What is staged for eccentricities are edges, nodes and a row for each source; and they are read twice without a second search."""
+    pairs = [(i, i + 1) for i in range(40)] + [(0, i) for i in range(100, 300)]
+    rows = _staged(monkeypatch)
+    ends = graph.eccentricities(_table(spark, pairs), spark.createDataFrame([(i,) for i in range(100, 300)], "node long"))
+    assert len(rows) <= 6 and sum(rows) <= 2 * len(pairs) + 3 * len(_around(pairs)) + 3 * 200
+    plan = graph.extent(ends)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
