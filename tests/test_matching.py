@@ -217,3 +217,31 @@ def test_bounds_leave_the_skyband_whole_and_few_pairs_measured(steps, monkeypatc
     rows = lambda found: sorted(zip(*found.to_pydict().values()))
     assert rows(got) == rows(want)
     assert sum(measured) < (2 * 200 * 3000 if steps else 200 * 3000 // 2)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_a_base_that_passes_by_leaves_each_query_its_skyband_alone(spark, odd, monkeypatch):
+    """Beyond the limit, too, a query's rows are its skyband, not those of each block of the base; with a vector that is not finite all pairs are measured."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 12))
+    if odd:
+        x[7, 3] = np.inf
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    with np.errstate(all="ignore"):
+        want = skyband._direct_bands(np.arange(400), x, np.arange(400), x, 3, 5).to_pydict()
+    found = skyband.skyband(v, 3, audio=5, limit=0, block=50)
+    key = lambda rows: sorted(map(str, rows))
+    assert key(tuple(r) for r in found.collect()) == key(zip(*want.values()))
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_that_wait_are_bounded(monkeypatch):
+    rng = np.random.default_rng(7)
+    ids, x, waiting, merge = np.arange(3000), rng.normal(size=(3000, 10)), [], skyband._Search._merge
+    monkeypatch.setattr(skyband._Search, "_merge", lambda self: (waiting.append(sum(len(c[0]) for c in self.new)), merge(self))[1])
+    for base in (skyband._base(ids, x, 4), None):
+        search = skyband._Search(ids[:40], x[:40], 3, 4)
+        search.meet(ids, x, base, 100)
+        got, want = search.result().to_pydict(), skyband._direct_bands(ids[:40], x[:40], ids, x, 3, 4).to_pydict()
+        assert sorted(zip(*got.values())) == sorted(zip(*want.values()))
+    assert max(waiting) <= 40 * (skyband.WAITING + skyband.LEAST + 100)
