@@ -76,8 +76,7 @@ def edit_join(strings: DataFrame, edits: int, block: int = 4096) -> DataFrame:
     Empty strings are strings; no edits give no pairs of distinct strings; an empty table gives no rows.
     """
     if edits < 1:
-        names = strings.select("name").limit(0)
-        return names.select(F.col("name").alias("first"), F.col("name").alias("second"), F.lit(0).cast("long").alias("distance"))
+        return strings.sparkSession.createDataFrame([], "first string, second string, distance long")
     names = strings.select("name").where("name is not null").distinct()
     near = F.levenshtein("name", "other", edits) >= 0
     if edits == 1:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crateforge.functions import fuzzy
 from crateforge.operators import editjoin, knn, pivots, skyband
+from crateforge.plans import pipelines
 
 
 def _edits(a: str, b: str) -> int:
@@ -245,3 +246,12 @@ def test_candidates_that_wait_are_bounded(monkeypatch):
         got, want = search.result().to_pydict(), skyband._direct_bands(ids[:40], x[:40], ids, x, 3, 4).to_pydict()
         assert sorted(zip(*got.values())) == sorted(zip(*want.values()))
     assert max(waiting) <= 40 * (skyband.WAITING + skyband.LEAST + 100)
+
+
+def test_word_variants_take_words_of_any_length(spark, tmp_path):
+    """Short words are words: one of seven letters and one of eight are a pair, and so are two of two."""
+    texts = ["Spellin spelling, colour color", "a an on; straße strasse", None, "ünder under 12345678"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = sorted({"spellin", "spelling", "colour", "color", "a", "an", "on", "straße", "strasse", "ünder", "under"})
+    want = {(a, b, 1) for i, a in enumerate(words) for b in words[i + 1 :] if _edits(a, b) == 1}
+    assert {tuple(r) for r in pipelines.word_variants(spark, str(tmp_path)).collect()} == want >= {("spellin", "spelling", 1), ("an", "on", 1), ("a", "an", 1)}
